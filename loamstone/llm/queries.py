@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm import collapsing, distinctive, leakage, mixing, nearduplicates, ranking, splitting
+from loamstone.llm import collapsing, distinctive, leakage, mixing, nearduplicates, ranking, sentences, splitting
 from loamstone.llm.tokens import TOKEN_PATTERN_SQL
 from loamstone.session import read_table
 
@@ -84,8 +84,13 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_report(spark, d).filter("out_of_reach").select("mix_id", "source")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    prose = read_table(spark, d, "documents").filter(F.col("kind").isin("note", "turn", "capsule", "digest"))
+    return sentences.split_sentences(prose)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_ranking, p4_found, p4_groups, p5_found, p5_scores, p7_found, p7_leaks, p8_found, p8_report, p8_mix)
+    names = (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_ranking, p4_found, p4_groups, p5_found, p5_scores, p7_found, p7_leaks, p8_found, p8_report, p8_mix, p9_found)
     return {f.__name__: f for f in names}
 
 

@@ -87,14 +87,16 @@ def right_key(text: str, at: int, ceiling: int) -> str:
 def candidates(text: str, block: tuple[int, int]):
     """(mark start, end with quotes, start of the next token, inside a quotation) for the marks of a block."""
     floor, ceiling = block
-    depth, straight, at = 0, False, floor
+    depth, low, straight, at = 0, 0, False, floor
     for m in _CANDIDATE.finditer(text, floor, ceiling):
         a, b = m.span()
         for c in text[at:a]:
             if c == '"':
                 straight = not straight
+            elif c == "“" and low:  # closes a quotation that „ opened
+                depth, low = max(0, depth - 1), low - 1
             elif c in _QUOTE_OPEN:
-                depth += 1
+                depth, low = depth + 1, low + (c == "„")
             elif c in _QUOTE_CLOSE:
                 depth = max(0, depth - 1)
         mark_end = a
@@ -106,8 +108,8 @@ def candidates(text: str, block: tuple[int, int]):
         for c in tail:
             if c == '"':
                 straight = not straight
-            elif c == "“" and depth:
-                depth -= 1
+            elif c == "“" and low:
+                depth, low = max(0, depth - 1), low - 1
             elif c in _QUOTE_CLOSE:
                 depth = max(0, depth - 1)
         at = b

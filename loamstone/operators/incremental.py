@@ -14,6 +14,7 @@ import os
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loamstone.session import materialise
 
@@ -96,15 +97,16 @@ class PartitionedTarget:
     def __init__(self, path: str, key: str, partitions: int = 64):
         self.path, self.key, self.partitions = path.rstrip("/"), key, partitions
 
-    def _current(self) -> str | None:
+    def _current(self) -> dict:
         try:
             with open(f"{self.path}/CURRENT") as f:
-                return json.load(f)["prints"]
+                return json.load(f)
         except FileNotFoundError:
-            return None
+            return {}
 
     def read(self, spark) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/data").drop("_part")
+        """The target's rows. Before the first run there is no table."""
+        return spark.read.schema(StructType.fromJson(self._current()["schema"])).parquet(f"{self.path}/data").drop("_part")
 
     def run(self, source: DataFrame, transform=lambda df: df, fail_before_commit: bool = False) -> int:
         """Bring the target up to ``source``; gives the number of partitions recomputed.
@@ -119,15 +121,15 @@ class PartitionedTarget:
             if f.dataType.typeName() in ("map", "array", "struct"):
                 hashed = hashed.withColumn(f.name, F.to_json(f.name))
         now = materialise(fingerprints(hashed, ["_part"], list(source.columns)))
-        before = self._current()
+        current = self._current()
+        before = current.get("prints")
         if before is None:
             stored = spark.createDataFrame([], now.schema)
         else:
             stored = spark.read.parquet(f"{self.path}/prints/{before}")
         todo = [r[0] for r in changed_partitions(now, stored, ["_part"]).collect()]  # at most `partitions` numbers
+        out = transform(flat.filter(F.col("_part").isin(todo)).drop("_part")).withColumn("_part", partition_of(F.col(self.key), self.partitions))
         if todo:
-            out = transform(flat.filter(F.col("_part").isin(todo)).drop("_part"))
-            out = out.withColumn("_part", partition_of(F.col(self.key), self.partitions))
             (out.repartition(len(todo), "_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(f"{self.path}/data"))
             left = {r[0] for r in now.select("_part").collect()}
             for gone in set(todo) - left:
@@ -138,7 +140,7 @@ class PartitionedTarget:
         now.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/prints/{name}")
         os.makedirs(self.path, exist_ok=True)
         with open(f"{self.path}/CURRENT.new", "w") as f:
-            json.dump({"prints": name}, f)
+            json.dump({"prints": name, "schema": out.schema.jsonValue()}, f)
         os.replace(f"{self.path}/CURRENT.new", f"{self.path}/CURRENT")
         return len(todo)
 

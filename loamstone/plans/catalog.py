@@ -1,36 +1,14 @@
-"""Registered queries of the core operators, and their SQL."""
+"""All registered core queries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from loamstone.plans import maintenance, retrieval  # noqa: F401  (they register their queries)
+from loamstone.plans.registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-from loamstone.operators import incremental
-from loamstone.session import read_table
-
-
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    tables = [read_table(spark, d, t) for t in ("scanned", "manifest", "sync_runs")]
-    return incremental.open_run_changes(*tables).select("run_id", "doc_id")
-
-
-P6_SQL = r"""
-with state as (
-  select run_id, doc_id, r.index_profile_hash as profile,
-    arg_max(coalesce(content_hash, sha256(text || chr(10) || metadata_json)), mtime) as content_hash
-  from scanned join sync_runs r using (run_id) where status = 'open' group by all),
-done as (
-  select doc_id, content_hash, m.index_profile_hash from manifest m join sync_runs r using (run_id) where status = 'ok'
-  qualify row_number() over (partition by doc_id order by run_id desc, indexed_at desc) = 1)
-select run_id, doc_id from state s left join done d using (doc_id)
-where not coalesce(s.content_hash = d.content_hash and s.profile = d.index_profile_hash, false)
-"""
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_found": p6_found}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p6_found": P6_SQL}
+    return dict(SQL)

@@ -51,14 +51,16 @@ def read_fields(text: str) -> list[tuple[str, str]] | None:
             pairs = json.loads(text[start : end + 1], object_pairs_hook=list, parse_int=str, parse_float=str)
         except ValueError:
             pairs = None
-        if isinstance(pairs, list) and len(pairs) > 1 and not any(isinstance(v, (list, dict)) for _, v in pairs):
+        if isinstance(pairs, list) and any(isinstance(v, (list, dict)) for _, v in pairs):
+            return None
+        if isinstance(pairs, list) and len(pairs) > 1:
             rest = text[:start] + text[end + 1 :]
             if not _KEEP.sub("", rest):
                 return [(k, _scalar(v)) for k, v in pairs]
     body = _unwrap(text)
     if body[:1] in "{[(" and body[-1:] in "}])":
         body = body[1:-1]
-    for split in _SPLITS:
+    for most, split in zip((_NAME_WORDS, _NAME_WORDS, _NAME_WORDS, 1), _SPLITS):  # prose has commas, so names are stricter there
         parts = [p for p in split.split(body) if _KEEP.sub("", p)]
         if len(parts) < 2:
             continue
@@ -66,7 +68,7 @@ def read_fields(text: str) -> list[tuple[str, str]] | None:
         for p in parts:
             m = _FIELD.match(p)
             name = m and m.group(1).strip()
-            if not name or len(re.split(r"[\s_\-]+", name)) > _NAME_WORDS or not _KEEP.sub("", name):
+            if not name or len(re.split(r"\s+" if most == 1 else r"[\s_\-]+", name)) > most or not _KEEP.sub("", name):
                 break
             fields.append((name, m.group(2).strip()))
         else:

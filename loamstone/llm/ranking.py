@@ -78,14 +78,13 @@ def first_component(wide: DataFrame, columns: list[str], directions: list[int])
     """
     k = len(columns)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    row = wide.agg(*[F.corr(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs if i != j], *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(columns)]).first()
-    matrix = np.zeros((k, k))
-    for i in range(k):
-        matrix[i, i] = 1.0 if row[f"v{i}"] else 0.0
+    row = wide.agg(*[F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    cov = np.zeros((k, k))
     for i, j in pairs:
-        if i != j:
-            c = row[f"c{i}_{j}"]
-            matrix[i, j] = matrix[j, i] = 0.0 if c is None or c != c else c
+        cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
+    spread = np.sqrt(np.diag(cov).clip(min=0.0))
+    spread[spread < 1e-12] = np.inf
+    matrix = cov / np.outer(spread, spread)
     if not matrix.any():
         return np.asarray(directions, float) / np.sqrt(k), matrix
     loadings = np.linalg.eigh(matrix)[1][:, -1]

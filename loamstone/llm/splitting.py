@@ -143,7 +143,7 @@ def lay_pieces(body: str, spans: list[tuple[int, int]], limit: int, overlap: int
     while n - a > limit:
         middle = a + max(overlap, limit // 2)
         b, best = a + limit, HARD
-        for low, high in ((middle, a + limit), (a + overlap, middle)):
+        for low, high in ((max(a + overlap, middle - 1), a + limit), (a + overlap, middle - 1)):
             for i in range(high, low, -1):
                 if levels[i] > best:
                     b, best = i, levels[i]
@@ -217,12 +217,13 @@ def _scan_long(batch_iter, range_chars: int):
 _TAIL = pa.schema([("doc_id", pa.int64()), ("r", pa.int64()), ("cut_char", pa.int64()), ("cut_token", pa.int64()), ("cut_level", pa.int32())])
 
 
-def last_cut(body: str, carry: int, limit: int, char_base: int, token_base: int) -> tuple[int, int, int]:
-    """The cut that closes a range: the best boundary among its last ``limit`` tokens."""
+def last_cut(body: str, carry: int, limit: int, overlap: int, char_base: int, token_base: int) -> tuple[int, int, int]:
+    """The cut that closes a range: the best boundary among its last ``limit`` tokens. It leaves
+    ``overlap`` tokens of the range before it, which the next range then finds in its neighbour."""
     spans = token_spans(body, carry)
     n = len(spans)
     best, at = -1, None
-    for i in range(n - 1, max(0, n - 1 - limit), -1):
+    for i in range(n - 1, max(overlap, n - 1 - limit), -1):
         gap = body[spans[i - 1][1] : spans[i][0]]
         level = level_of(gap)
         if level > best:
@@ -252,7 +253,7 @@ def _cut_tails(batch_iter):
     def rows():
         for batch in batch_iter:
             for x in batch.to_pylist():
-                cut = last_cut(x["body"], x["carry"], max(1, x["chunk_size"] - x["overlap"]), x["char_base"], x["token_base"])
+                cut = last_cut(x["body"], x["carry"], max(1, x["chunk_size"] - x["overlap"]), x["overlap"], x["char_base"], x["token_base"])
                 yield (x["doc_id"], x["r"], *cut)
 
     yield from batches(rows(), _TAIL)
@@ -277,7 +278,7 @@ def _cut_long(batch_iter):
                 begin_char = 0 if x["r"] == 0 else x["from_char"] - base
                 if x["r"] and begin_tok < x["from_token"] - token_base:
                     i = begin_tok
-                    begin_char = 0 if i == 0 else spans[i - 1][1] + cut_in_gap(both_full[spans[i - 1][1] : spans[i][0]])
+                    begin_char = (spans[0][0] if carry else 0) if i == 0 else spans[i - 1][1] + cut_in_gap(both_full[spans[i - 1][1] : spans[i][0]])
                 end_char = len(both) if x["is_last"] else x["cut_char"] - base
                 if x["r"] and not x["is_last"] and x["cut_token"] == x["from_token"]:  # nothing but white space is new
                     begin_tok, begin_char = end_tok, x["from_char"] - base
@@ -322,6 +323,8 @@ def split_documents(docs: DataFrame, size: Column | int, overlap: Column | int,
     without a document have no pieces; a text without tokens is one piece of none; a repeated document
     is cut once.
 
+    A range with fewer tokens than the overlap shortens it.
+
     Texts of one range never leave their task. Longer ones are cut by range: only a boundary row a
     range, and then each range with its left neighbour, is shuffled.
     """

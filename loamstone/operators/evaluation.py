@@ -42,7 +42,7 @@ def alpha_sweep(pool: DataFrame, qrels: DataFrame, alphas: list[float], k: int =
     ``pool`` has (query_id, doc_id, chunk_idx, rank, score, cosine): candidates are drawn and compared once,
     and only their order is made anew for each weight."""
     grid = pool.select("*", F.explode(F.array(*[F.lit(a) for a in alphas])).alias("alpha"))
-    mixed = grid.withColumn("mixed", F.round(F.col("alpha") * F.col("score") + (1 - F.col("alpha")) * F.col("cosine"), PLACES))
+    mixed = grid.withColumn("mixed", F.round(F.col("alpha") * F.col("score") + (1 - F.col("alpha")) * F.col("cosine"), 9))
     cell = W.partitionBy("alpha", "query_id")
     first = W.partitionBy("alpha", "query_id", "doc_id").orderBy(F.col("mixed").desc(), "rank")
     docs = mixed.withColumn("_n", F.row_number().over(first)).filter("_n = 1")

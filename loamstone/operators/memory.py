@@ -50,7 +50,7 @@ def remember_batch(texts: DataFrame, stored_hashes: DataFrame, min_chars: int =
     reason = low_signal_reason("clean", min_chars)
     gated = clean.withColumn("low", low_signal("clean", min_chars)).withColumn("refused", F.col("low") & ~F.coalesce("forced", F.lit(False)))
     capsule, _, _ = rich_text("clean", "clean", detail_chars)
-    gated = gated.withColumn("capsule_text", F.when(~F.col("refused"), capsule)).withColumn("low_signal_reason", F.when("refused", reason))
+    gated = gated.withColumn("capsule_text", F.when(~F.col("refused"), capsule)).withColumn("low_signal_reason", F.when(F.col("refused"), reason))
     kept = gated.filter(~F.col("refused") & F.col("explicit_id").isNull()).groupBy("raw_hash").agg(F.min("request_id").alias("first_request"))
     known = stored_hashes.groupBy("raw_hash").agg(F.min("doc_id").alias("stored_id"))
     new_ids = kept.join(known, "raw_hash", "left").withColumn("new_id", F.coalesce("stored_id", F.concat(F.lit("mem-"), F.left(F.sha2(F.concat("raw_hash", F.lit(":"), F.col("first_request").cast("string")), 256), F.lit(32)))))

@@ -21,6 +21,8 @@ from loamstone.functions.text import index_tokens
 # The usual parameters of BM25.
 K1, B = 1.2, 0.75
 PLACES = 6
+#: A blend of rounded scores needs more places, or its ties would fall on halves.
+BLEND_PLACES = 9
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -159,7 +161,7 @@ def blended(pool: DataFrame, alpha: float, vectors: DataFrame | None, query_vect
     else:
         out = out.join(vectors.select("doc_id", F.col("embedding").alias("_d")), "doc_id", "left")
     mixed = alpha * F.col("score") + (1 - alpha) * cosine_unit(F.col("_q"), F.col("_d"))
-    return out.withColumn("score", F.round(mixed, PLACES)).drop("_q", "_d")
+    return out.withColumn("score", F.round(mixed, BLEND_PLACES)).drop("_q", "_d")
 
 
 def cut_and_rank(pool: DataFrame, k: Column | int, order: list[Column]) -> DataFrame:

@@ -177,7 +177,7 @@ _WITH_COS = "left join embeddings v on v.vec_id + 1000 = p.doc_id left join embe
 
 
 def _hybrid_sql(alpha: float) -> str:
-    return f"with {BM25}, {_pool(40)}, mixed as (select p.* replace (round({alpha} * score + {1 - alpha} * {_COS}, 6) as score) from pool p {_WITH_COS}) {_cut(10, 'mixed', 'score desc, rank')}"
+    return f"with {BM25}, {_pool(40)}, mixed as (select p.* replace (round({alpha} * score + {1 - alpha} * {_COS}, 9) as score) from pool p {_WITH_COS}) {_cut(10, 'mixed', 'score desc, rank')}"
 
 
 def _hybrid(spark, d, alpha: float):
@@ -197,7 +197,7 @@ def hybrid_alpha_00(spark, d):
 
 @query(f"""with {BM25}, {_pool(50)}, spread as (
   select *, max(raw_score) over (partition by query_id) as hi, min(raw_score) over (partition by query_id) as lo from pool),
-mixed as (select p.query_id, doc_id, chunk_idx, raw_score, rank, round(0.5 * case when hi - lo >= 1e-6 then (raw_score - lo) / (hi - lo) else 0 end + 0.5 * {_COS}, 6) as score from spread p {_WITH_COS})
+mixed as (select p.query_id, doc_id, chunk_idx, raw_score, rank, round(0.5 * case when hi - lo >= 1e-6 then (raw_score - lo) / (hi - lo) else 0 end + 0.5 * {_COS}, 9) as score from spread p {_WITH_COS})
 {_cut(20, 'mixed', 'score desc, rank')}""")
 def dense_minmax_rerank(spark, d):
     pool = search.top_candidates(search.bm25_many(searches(spark, d), *index(spark, d)), 50)
@@ -325,7 +325,7 @@ _ALPHAS = [1.0, 0.7, 0.5, 0.3, 0.0]
 
 @query(f"""with {BM25}, {_pool(40)}, cells as (select unnest([1.0, 0.7, 0.5, 0.3, 0.0])::double as alpha),
 cos as materialized (select p.*, {_COS} as cosine from pool p {_WITH_COS}),
-mixed as (select cos.*, alpha, round(alpha * score + (1 - alpha) * cosine, 6) as mixed from cos, cells),
+mixed as (select cos.*, alpha, round(alpha * score + (1 - alpha) * cosine, 9) as mixed from cos, cells),
 ranked as (select alpha, query_id, doc_id, row_number() over (partition by alpha, query_id order by mixed desc, rank) as rank from (
   select * from mixed qualify row_number() over (partition by alpha, query_id, doc_id order by mixed desc, rank) = 1)), {_JUDGED},
 {_metrics_sql('ranked', 'cross join cells', 'alpha')}

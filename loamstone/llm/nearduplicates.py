@@ -48,47 +48,60 @@ def _scramble(h: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """64-bit hashes of the runs of ``words`` tokens of a text; token hashes are kept a while."""
+    """64-bit hashes of the runs of ``words`` tokens of texts; token hashes are kept a while."""
 
     def __init__(self, words: int = WORDS):
         self.words, self.known = words, {}
 
-    def __call__(self, text: str) -> np.ndarray:
-        tokens = TOKEN.findall(text.lower())
-        if len(tokens) < self.words:
-            return np.empty(0, np.uint64)
-        known = self.known
+    def token_hashes(self, text: str) -> list[int]:
+        known, out = self.known, []
         if len(known) > 500_000:
             known.clear()
-        h = np.empty(len(tokens), np.uint64)
-        for i, t in enumerate(tokens):
+        for t in TOKEN.findall(text.lower()):
             x = known.get(t)
             if x is None:
                 x = known[t] = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
-            h[i] = x
-        n = len(tokens) - self.words + 1
+            out.append(x)
+        return out
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """The distinct run hashes of each text, in ascending order."""
+        each = [self.token_hashes(t) for t in texts]
+        h = np.array([x for e in each for x in e], np.uint64)
+        n = max(0, len(h) - self.words + 1)
         acc = np.zeros(n, np.uint64)
         for j in range(self.words):
-            acc = _scramble(acc * _MIX[2] + h[j : j + n] + _MIX[3])
-        return np.unique(acc)
+            acc = acc * _MIX[2] + h[j : j + n]
+        acc = _scramble(acc)
+        out, at = [], 0
+        for e in each:
+            out.append(np.unique(acc[at : at + max(0, len(e) - self.words + 1)]))  # runs across texts are left out
+            at += len(e)
+        return out
+
+    def __call__(self, text: str) -> np.ndarray:
+        return self.many([text])[0]
 
 
-def fingerprint(shingles: np.ndarray) -> np.ndarray:
-    """The least of every hash function over the set, a slice at a time."""
-    best = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 2048):
-        part = shingles[at : at + 2048, None] * _MULTIPLY + _ADD
-        part ^= part >> np.uint64(32)
-        np.minimum(best, part.min(axis=0), out=best)
-    return best
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of slots for each (non-empty) set: the least of every hash function over it."""
+    edges = np.cumsum([0, *map(len, sets)])[:-1]
+    h = np.concatenate(sets)
+    slots = np.empty((SLOTS, len(sets)), np.uint64)
+    for k in range(SLOTS):
+        x = h * _MULTIPLY[k]
+        x += _ADD[k]
+        x ^= x >> np.uint64(32)
+        slots[k] = np.minimum.reduceat(x, edges)
+    return np.ascontiguousarray(slots.T)
 
 
 def block_keys(slots: np.ndarray) -> np.ndarray:
-    """A 64-bit key a block, different from block to block."""
-    rows = slots.reshape(BLOCKS, ROWS)
-    acc = np.arange(1, BLOCKS + 1, dtype=np.uint64) * _MIX[4]
+    """A 64-bit key a block and text, different from block to block."""
+    rows = slots.reshape(len(slots), BLOCKS, ROWS)
+    acc = np.arange(1, BLOCKS + 1, dtype=np.uint64) * _MIX[4] + np.zeros((len(slots), 1), np.uint64)
     for j in range(ROWS):
-        acc = _scramble(acc * _MIX[5] + rows[:, j])
+        acc = _scramble(acc * _MIX[5] + rows[:, :, j])
     return acc
 
 
@@ -98,24 +111,41 @@ _SKETCH = pa.schema(
 _SKETCH_SQL = "doc_id bigint, n bigint, set_a bigint, set_b bigint, bit0 bigint, bit1 bigint, bit2 bigint, blocks array<bigint>, shingles array<bigint>"
 
 
+#: Shingles that are fingerprinted at once; a longer text is a group of its own.
+_GROUP = 20_000
+
+
 def _sketch(batch_iter, words: int):
     shingler = Shingler(words)
     for batch in batch_iter:
         ids, texts = (c.to_pylist() for c in batch.columns)
-        cols: list[list] = [[] for _ in _SKETCH]
-        for doc_id, text in zip(ids, texts):
-            s = shingler(text)
-            if not len(s):
-                continue
-            slots = fingerprint(s)
-            bits = np.packbits((slots >> np.uint64(11)).astype(np.uint8) & 1).view(np.int64)
-            for c, v in zip(cols, (doc_id, len(s), s.sum(dtype=np.uint64).astype(np.int64), (s * _MIX[6] ^ (s >> np.uint64(17))).sum(dtype=np.uint64).astype(np.int64), *bits, block_keys(slots).view(np.int64), s.view(np.int64))):
-                c.append(v)
-            if sum(map(len, cols[-1])) > 2_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SKETCH)], schema=_SKETCH)
-                cols = [[] for _ in _SKETCH]
-        if cols[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SKETCH)], schema=_SKETCH)
+        group, chars = [], 0
+        for i, text in enumerate(texts):
+            group.append(i)
+            chars += len(text)
+            if chars > 5 * _GROUP or i + 1 == len(texts):
+                sets = shingler.many([texts[k] for k in group])
+                kept = [(ids[k], s) for k, s in zip(group, sets) if len(s)]
+                group, chars = [], 0
+                if kept:
+                    yield _sketch_batch([k for k, _ in kept], [s for _, s in kept])
+
+
+def _sketch_batch(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    slots = fingerprints(sets)
+    bits = np.ascontiguousarray(np.packbits((slots >> np.uint64(11)).astype(np.uint8) & 1, axis=1)).view(np.int64)
+    keys = block_keys(slots).view(np.int64)
+    lists = lambda flat, sizes: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(flat, pa.int64()))
+    sums = [(s.sum(dtype=np.uint64), (s * _MIX[6] ^ (s >> np.uint64(17))).sum(dtype=np.uint64)) for s in sets]
+    columns = [
+        pa.array(ids, pa.int64()),
+        pa.array([len(s) for s in sets], pa.int64()),
+        *(pa.array(np.array([x[k] for x in sums], np.uint64).view(np.int64)) for k in (0, 1)),
+        *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(3)),
+        lists(keys.reshape(-1), [BLOCKS] * len(ids)),
+        lists(np.concatenate(sets).view(np.int64), [len(s) for s in sets]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=_SKETCH)
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:

@@ -96,7 +96,7 @@ class Collection:
 
     def _read(self, kind: str, schema: str, snapshot: dict | None = None) -> DataFrame:
         snapshot = snapshot or self._snapshot()
-        paths = [f"{self.path}/{b['folder']}/{kind}" for b in snapshot["buckets"].values() if b["documents"]]
+        paths = [f"{self.path}/{info['folder']}/{kind}/b={b}" for b, info in snapshot["buckets"].items() if info[kind]]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def documents(self) -> DataFrame:
@@ -112,56 +112,64 @@ class Collection:
         return F.pmod(F.xxhash64(column), F.lit(self._meta()["buckets"])).cast("int")
 
     def _commit(self, upserts: DataFrame | None, deletes: list[str]) -> None:
-        """Write the touched buckets anew and swap the snapshot. Called under the lock."""
+        """Write the touched buckets anew, all in one job a table, and swap the snapshot. Called under the lock."""
         snapshot = self._snapshot()
-        gone = self.spark.createDataFrame([(d,) for d in deletes], "doc_id string")
-        keys = gone if upserts is None else gone.union(upserts.select("doc_id"))
-        touched = [r[0] for r in keys.select(self._bucket().alias("b")).distinct().collect()]  # at most the number of buckets
-        name = f"v{snapshot['version'] + 1:08d}-{uuid.uuid4().hex[:8]}"
-        for b in touched:
-            old = snapshot["buckets"].get(str(b))
-            docs = self.spark.createDataFrame([], DOCUMENT)
-            if old and old["documents"]:
-                docs = self.spark.read.schema(DOCUMENT).parquet(f"{self.path}/{old['folder']}/documents")
-            docs = docs.join(keys.filter(self._bucket() == b).distinct(), "doc_id", "left_anti")
-            if upserts is not None:
-                docs = docs.unionByName(upserts.filter(self._bucket() == b))
-            snapshot["buckets"][str(b)] = self._write_bucket(docs, f"{name}/b={b}")
+        keys = self.spark.createDataFrame([(d,) for d in deletes], "doc_id string")
+        if upserts is not None:
+            keys = upserts.select("doc_id") if not deletes else keys.union(upserts.select("doc_id"))
+        touched = {str(r[0]) for r in keys.select(self._bucket().alias("b")).distinct().collect()}  # at most the number of buckets
+        old = {"buckets": {b: i for b, i in snapshot["buckets"].items() if b in touched}}
+        docs = upserts
+        if any(i["documents"] for i in old["buckets"].values()):
+            kept = self._read("documents", DOCUMENT, old).join(keys.distinct(), "doc_id", "left_anti")
+            docs = kept if upserts is None else kept.unionByName(upserts)
+        self._publish(snapshot, docs, touched)
+
+    def _publish(self, snapshot: dict, docs: DataFrame | None, touched: set[str]) -> None:
+        """Write ``docs`` as the whole content of the touched buckets and make that the current version."""
         snapshot["version"] += 1
+        folder = f"v{snapshot['version']:08d}-{uuid.uuid4().hex[:8]}"
+        counts = {} if docs is None else self._write(docs, folder)
+        empty = {"folder": folder, "documents": 0, "chunks": 0, "postings": 0, "tokens": 0}
+        for b in touched:
+            snapshot["buckets"][b] = empty | counts.get(b, {})
         self._put("CURRENT", snapshot)
 
-    def _write_bucket(self, docs: DataFrame, folder: str) -> dict:
+    def _write(self, docs: DataFrame, folder: str) -> dict[str, dict]:
+        """Documents, chunks and postings of some buckets, and the counts of each bucket."""
         out = f"{self.path}/{folder}"
-        docs.select(*[f.split()[0] for f in DOCUMENT.split(", ")]).write.mode("overwrite").parquet(f"{out}/documents")
-        docs = self.spark.read.schema(DOCUMENT).parquet(f"{out}/documents")
+        put = lambda df, kind: df.hint("rebalance", "b").write.partitionBy("b").parquet(f"{out}/{kind}")  # noqa: E731  (even files, also for a large bucket)
+        put(docs.select(*[f.split()[0] for f in DOCUMENT.split(", ")], self._bucket().alias("b")), "documents")
+        docs = self.spark.read.schema(f"{DOCUMENT}, b int").parquet(f"{out}/documents")
         chunks = chunk_documents_exact(docs, self.chunking.chunk_size, self.chunking.overlap)
         if self.encoder is not None:
             encoder = self.encoder
             chunks = encode_column(chunks, "chunk_text", lambda: encoder)
         else:
             chunks = chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
-        chunks.write.mode("overwrite").parquet(f"{out}/chunks")
-        chunks = self.spark.read.schema(CHUNK).parquet(f"{out}/chunks")
-        posts = search.postings(chunks).select("term", "doc_id", "chunk_idx", "dl", "tf")
-        posts.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{out}/postings")  # row groups by term are skipped
-        posts = self.spark.read.schema(POSTING).parquet(f"{out}/postings")
-        n = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("token_count"), F.lit(0))).first()
-        length = posts.select("doc_id", "chunk_idx", "dl").distinct().agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0]
-        return {"folder": folder, "documents": docs.count(), "chunks": n[0], "tokens": n[1], "terms": length}
+        put(chunks.withColumn("b", self._bucket()), "chunks")
+        chunks = self.spark.read.schema(f"{CHUNK}, b int").parquet(f"{out}/chunks")
+        posts = search.postings(chunks).select("term", "doc_id", "chunk_idx", "dl", "tf").withColumn("b", self._bucket())
+        # Files sorted by term: a search reads the row groups of its words.
+        posts.hint("rebalance", "b").sortWithinPartitions("b", "term").write.partitionBy("b").parquet(f"{out}/postings")
+        found: dict[str, dict] = {}
+        for r in docs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a bucket
+            found[str(r["b"])] = {"documents": r["n"]}
+        terms = F.size(search.index_tokens("chunk_text"))
+        for r in chunks.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("token_count").alias("t"), F.sum(terms).alias("p")).collect():
+            found[str(r["b"])] |= {"chunks": r["n"], "tokens": r["t"], "postings": r["p"]}
+        return found
 
     def compact(self, keep_versions: bool = False) -> int:
         """Remove folders that no bucket refers to and rewrite buckets of many small files; gives the number
         of folders removed. Readers of older versions must have finished."""
         with self.lock:
             snapshot = self._snapshot()
-            for b, info in list(snapshot["buckets"].items()):
-                base = f"{self.path}/{info['folder']}/documents"
-                if info["documents"] and sum(f.endswith(".parquet") for f in os.listdir(base)) > 24:
-                    docs = self.spark.read.schema(DOCUMENT).parquet(base).coalesce(1)
-                    snapshot["buckets"][b] = self._write_bucket(docs, f"v{snapshot['version'] + 1:08d}-{uuid.uuid4().hex[:8]}/b={b}")
-            snapshot["version"] += 1
-            self._put("CURRENT", snapshot)
-            used = {i["folder"].split("/")[0] for i in snapshot["buckets"].values()}
+            files = lambda b, i: sum(f.endswith(".parquet") for f in os.listdir(f"{self.path}/{i['folder']}/documents/b={b}"))
+            many = {b: i for b, i in snapshot["buckets"].items() if i["documents"] and files(b, i) > 24}
+            if many:
+                self._publish(snapshot, self._read("documents", DOCUMENT, {"buckets": many}), set(many))
+            used = {i["folder"] for i in snapshot["buckets"].values()}
             old = [] if keep_versions else [d for d in os.listdir(self.path) if d.startswith("v") and d not in used]
             for d in old:
                 shutil.rmtree(f"{self.path}/{d}")
@@ -259,7 +267,7 @@ class Collection:
         info = snapshot["buckets"].get(str(b))
         row = None
         if info and info["documents"]:
-            row = self.spark.read.schema(DOCUMENT).parquet(f"{self.path}/{info['folder']}/documents").filter(F.col("doc_id") == doc_id).first()
+            row = self.spark.read.schema(DOCUMENT).parquet(f"{self.path}/{info['folder']}/documents/b={b}").filter(F.col("doc_id") == doc_id).first()
         if row is None:
             raise UnknownDocument(doc_id)
         return {"doc_id": row["doc_id"], "text": row["text"], "metadata": {k: json.loads(v) for k, v in (row["metadata"] or {}).items() if k != limits.RESERVED_KEY}, "created_at": row["created_at"]}
@@ -271,7 +279,8 @@ class Collection:
     def stats(self) -> dict:
         """Documents, chunks, tokens and bytes on disk."""
         buckets = self._snapshot()["buckets"].values()
-        disk = sum(os.path.getsize(os.path.join(d, f)) for b in buckets for d, _, fs in os.walk(f"{self.path}/{b['folder']}") for f in fs)
+        where = [f"{self.path}/{i['folder']}/{kind}/b={b}" for b, i in self._snapshot()["buckets"].items() for kind in ("documents", "chunks", "postings")]
+        disk = sum(os.path.getsize(os.path.join(d, f)) for w in where for d, _, fs in os.walk(w) for f in fs)
         return {k: sum(b[k] for b in buckets) for k in ("documents", "chunks", "tokens")} | {"disk_bytes": disk}
 
     def manifest_digest(self, source_id: str | None = None, prefix: str | None = None) -> tuple[str, int]:
@@ -293,7 +302,7 @@ class Collection:
 
     def corpus_stats(self) -> DataFrame:
         buckets = self._snapshot()["buckets"].values()
-        chunks, terms = sum(b["chunks"] for b in buckets), sum(b["terms"] for b in buckets)
+        chunks, terms = sum(b["chunks"] for b in buckets), sum(b["postings"] for b in buckets)
         return self.spark.createDataFrame([(chunks, terms / chunks if chunks else 0.0)], "n_chunks bigint, avgdl double")
 
     def search(self, query: str, top_k: int = 16, filter: search.SearchFilter | None = None, mode: str = "post", exclude: list[str] | None = None, dense_alpha: float = 1.0, query_vector: list[float] | None = None, syntax: bool = False) -> dict:
@@ -334,10 +343,10 @@ class Collection:
             pool = pool.join(self.spark.createDataFrame([(d,) for d in exclude], "doc_id string"), "doc_id", "left_anti")
         order = [F.col("rank")]
         if alpha < 1:
-            qv = self.spark.createDataFrame([("", [float(x) for x in vector])], "query_id string, embedding array<float>")
+            asked = F.array(*[F.lit(float(x)) for x in vector])
             vectors = self.chunks().select("doc_id", "chunk_idx", F.col("embedding").alias("_d"))
-            pool = pool.join(vectors, ["doc_id", "chunk_idx"], "left").crossJoin(F.broadcast(qv.select(F.col("embedding").alias("_q"))))  # one row
-            pool = pool.withColumn("score", F.round(alpha * F.col("score") + (1 - alpha) * search.cosine_unit(F.col("_q"), F.col("_d")), search.BLEND_PLACES)).drop("_q", "_d")
+            pool = pool.join(vectors, ["doc_id", "chunk_idx"], "left")
+            pool = pool.withColumn("score", F.round(alpha * F.col("score") + (1 - alpha) * search.cosine_unit(asked, F.col("_d")), search.BLEND_PLACES)).drop("_d")
             order = [F.col("score").desc(), F.col("rank")]
         return search.cut_and_rank(pool, k, order)
 

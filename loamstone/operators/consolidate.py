@@ -44,10 +44,10 @@ def is_digest(doc_id: Column, kind: Column) -> Column:
 def term_weights(docs: DataFrame, max_df: int = 64) -> DataFrame:
     """(doc_id, term, tf, df, weight) of terms in 2 to ``max_df`` documents; weight is tf * ln(n / df)."""
     tf = docs.select("doc_id", F.explode(grouping_terms("text")).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    n = docs.count()
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df").between(2, max_df))
     # Terms over max_df are gone from df, so the join has no hot key.
-    return tf.join(df, "term").crossJoin(F.broadcast(n)).select("doc_id", "term", "tf", "df", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 9).alias("weight"))  # n is one row
+    return tf.join(df, "term").select("doc_id", "term", "tf", "df", F.round(F.col("tf") * F.log(F.lit(float(n)) / F.col("df")), 9).alias("weight"))
 
 
 def top_terms(weights: DataFrame, per_doc: int = 8) -> DataFrame:

@@ -12,11 +12,11 @@ from loamstone.functions.text import answer_form, contains_answer, squad_form
 PLACES = 6
 
 
-def ranking_metrics(ranked: DataFrame, qrels: DataFrame, k: int, by: list[str] | None = None, clip: bool = True, cells: DataFrame | None = None) -> DataFrame:
+def ranking_metrics(ranked: DataFrame, qrels: DataFrame, k: int, by: list[str] | None = None, clip: bool = True, cells: list | None = None) -> DataFrame:
     """(by..., query_id, ndcg, mrr, recall) of every query that has a relevant document.
 
     ``ranked`` has (by..., query_id, doc_id, rank) with ranks from 1, ``qrels`` (query_id, doc_id).
-    Relevance is yes or no. ``cells`` are the values of ``by`` that every query is measured under. With ``clip`` the ideal list is no longer than the one returned.
+    Relevance is yes or no. ``cells`` are the values of the one column ``by`` that every query is measured under. With ``clip`` the ideal list is no longer than the one returned.
     """
     by = by or []
     rel = qrels.select("query_id", "doc_id").distinct()
@@ -28,7 +28,7 @@ def ranking_metrics(ranked: DataFrame, qrels: DataFrame, k: int, by: list[str] |
         F.min(F.when(F.col("_rel") == 1, F.col("rank"))).alias("first"),
         F.count_if(F.col("_rel") == 1).alias("found"),
     )
-    expected = n_rel.crossJoin(F.broadcast(cells)) if cells is not None else n_rel  # cells of a sweep: a handful
+    expected = n_rel.withColumn(by[0], F.explode(F.array(*map(F.lit, cells)))) if cells is not None else n_rel
     joined = expected.join(per, [*by, "query_id"], "left")
     size = F.least(F.col("n_rel"), F.coalesce("n", F.lit(0)) if clip else F.lit(k))
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), size.cast("int"))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
@@ -47,8 +47,7 @@ def alpha_sweep(pool: DataFrame, qrels: DataFrame, alphas: list[float], k: int =
     first = W.partitionBy("alpha", "query_id", "doc_id").orderBy(F.col("mixed").desc(), "rank")
     docs = mixed.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
     ranked = docs.withColumn("rank", F.row_number().over(cell.orderBy(F.col("mixed").desc(), "rank"))).select("alpha", "query_id", "doc_id", "rank")
-    cells = pool.sparkSession.createDataFrame([(a,) for a in alphas], "alpha double")
-    metrics = ranking_metrics(ranked, qrels, k, ["alpha"], cells=cells)
+    metrics = ranking_metrics(ranked, qrels, k, ["alpha"], cells=alphas)
     return mean_metrics(metrics, ["alpha"])
 
 
@@ -144,7 +143,8 @@ def paired_bootstrap(pairs: DataFrame, resamples: int = 1000, seed: int = 17) ->
     weight = sum(((u(F.col("s")) > c).cast("int") for c in cuts), F.lit(0))
     means = draws.withColumn("w", weight).groupBy("s").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("m"))
     bounds = means.agg(F.expr("percentile_disc(0.025) WITHIN GROUP (ORDER BY m)").alias("low"), F.expr("percentile_disc(0.975) WITHIN GROUP (ORDER BY m)").alias("high"))
-    return pairs.agg(F.avg(F.col("b") - F.col("a")).alias("mean_delta")).crossJoin(bounds).select(*[F.round(c, PLACES).alias(c) for c in ("mean_delta", "low", "high")])  # one row each
+    mean = pairs.agg(F.avg(F.col("b") - F.col("a"))).first()[0]
+    return bounds.select(F.round(F.lit(mean).cast("double"), PLACES).alias("mean_delta"), *[F.round(c, PLACES).alias(c) for c in ("low", "high")])
 
 
 def seeded_sample(rows: DataFrame, category: str, key: str, n: int, seed: int = 17) -> DataFrame:

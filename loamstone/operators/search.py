@@ -66,9 +66,9 @@ def bm25_many(queries: DataFrame, posts: DataFrame, stats: DataFrame) -> DataFra
     terms = query_terms(queries)
     wanted = posts.join(terms.select("term").distinct(), "term", "left_semi")
     df = term_stats(wanted)
-    scored = terms.join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
-    weight = scored.select("query_id", "term", "avgdl", (idf(F.col("n_chunks"), F.col("df")) * F.col("qtf")).alias("w"))
-    hits = wanted.join(weight, "term").select("query_id", "doc_id", "chunk_idx", (F.col("w") * tf_norm(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("s"))
+    n, avgdl = stats.first()  # two numbers
+    weight = terms.join(df, "term").select("query_id", "term", (idf(F.lit(float(n or 0)), F.col("df")) * F.col("qtf")).alias("w"))
+    hits = wanted.join(weight, "term").select("query_id", "doc_id", "chunk_idx", (F.col("w") * tf_norm(F.col("tf"), F.col("dl"), F.lit(float(avgdl or 1.0)))).alias("s"))
     return hits.groupBy("query_id", "doc_id", "chunk_idx").agg(F.round(F.sum("s"), PLACES).alias("raw_score"))
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -28,22 +25,12 @@ def stream_into(collection: Collection, stream: DataFrame, checkpoint: str, ordi
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def session_rounds(stream: DataFrame, ttl_ms: int = 600_000) -> DataFrame:
-    """(session_id, round, new_docs) for a stream of hits (session_id, doc_id, at): every batch of a session
-    is a round that counts the documents it had not seen; a session idle for ``ttl_ms`` is forgotten."""
-
-    def rounds(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seen, n = (set(state.get[0]), state.get[1]) if state.exists else (set(), 0)
-        ids = {d for f in frames for d in f["doc_id"]}
-        new = ids - seen
-        state.update((sorted(seen | ids), n + 1))
-        state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({"session_id": [key[0]], "round": [n + 1], "new_docs": [len(new)]})
-
-    return stream.groupBy("session_id").applyInPandasWithState(rounds, "session_id string, round long, new_docs long", "seen array<string>, n long", "update", "ProcessingTimeTimeout")
+def search_sessions(hits: DataFrame, ttl: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
+    """(session_id, began, ended, hits, documents) for a stream or table of hits (session_id, doc_id, at): a
+    session ends once it was idle for ``ttl``; the same id later is another session. Documents are counted
+    approximately, so that the state of a session stays small."""
+    windows = hits.withWatermark("at", late).groupBy(F.session_window("at", ttl).alias("w"), "session_id").agg(F.count(F.lit(1)).alias("hits"), F.approx_count_distinct("doc_id").alias("documents"))
+    return windows.select("session_id", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "hits", "documents")
 
 
 def event_windows(stream: DataFrame, at: str = "ts", late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:

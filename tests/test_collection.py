@@ -12,7 +12,7 @@ from loamstone.errors import Conflict, InvalidInput, InvalidQuery, SchemaError,
 from loamstone.operators.consolidate import Options, digest_id
 from loamstone.operators.interleave import Knobs
 from loamstone.operators.search import SearchFilter
-from loamstone.streaming.sync import session_rounds, stream_into
+from loamstone.streaming.sync import event_windows, search_sessions, stream_into
 
 LONG = "The deployment of the billing service was moved to Monday because the database migration took longer than expected."
 
@@ -290,11 +290,14 @@ def test_stream_into_a_collection(spark, engine, tmp_path):
     assert c.fetch_doc("a")["text"] == "new words" and c.stats()["documents"] == 2
 
 
-def test_session_rounds_stream(spark, tmp_path):
-    src = str(tmp_path / "hits")
-    df = spark.createDataFrame([("s", "a"), ("s", "b"), ("t", "a")], "session_id string, doc_id string")
-    df.coalesce(1).write.parquet(src)
-    q = session_rounds(spark.readStream.schema(df.schema).parquet(src)).writeStream.format("memory").queryName("rounds").outputMode("update").option("checkpointLocation", str(tmp_path / "cp2")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert {(r["session_id"], r["round"], r["new_docs"]) for r in spark.table("rounds").collect()} == {("s", 1, 2), ("t", 1, 1)}
+def test_search_sessions_end_when_idle(spark):
+    at = datetime(2031, 1, 1, 12)
+    rows = [("s", "a", at), ("s", "b", at + timedelta(minutes=5)), ("s", "a", at + timedelta(minutes=30)), ("t", "a", at)]
+    out = search_sessions(spark.createDataFrame(rows, "session_id string, doc_id string, at timestamp")).collect()
+    assert sorted((r["session_id"], r["hits"], r["documents"]) for r in out) == [("s", 1, 1), ("s", 2, 2), ("t", 1, 1)]
+
+
+def test_event_windows(spark):
+    rows = [(datetime(2031, 1, 1, 12, m), "view", 1.5) for m in (0, 4, 6)]
+    out = event_windows(spark.createDataFrame(rows, "ts timestamp, event_type string, value double")).collect()
+    assert sorted((r["n"], r["total"]) for r in out) == [(1, 1.5), (2, 3.0)]

@@ -136,12 +136,12 @@ def plan_mix(docs: DataFrame, targets: DataFrame, sizes: DataFrame | None = None
     docs = one_row_per_key(docs.select("doc_id", "text", "source"), "doc_id")
     sized = materialise(docs.select("doc_id", source_name("source").alias("source"), F.coalesce(token_count(F.col("text")), F.lit(0)).alias("tokens")))
     per_source = materialise(sized.groupBy("source").agg(F.sum("tokens").alias("available"), F.count(F.lit(1)).alias("docs")))
-    total = per_source.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("all_tokens"))
+    total = per_source.agg(F.coalesce(F.sum("available"), F.lit(0))).first()[0]
     asked = targets.filter("mix_id is not null").select("mix_id", source_name("source").alias("source"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("target_share", "max_repeats", "budget_ratio")])
     asked = asked.filter("source is not null").groupBy("mix_id", "source").agg(F.max(F.struct("target_share", "max_repeats", "budget_ratio")).alias("t")).select("mix_id", "source", "t.*")
-    plan = asked.join(per_source, "source", "left").crossJoin(F.broadcast(total))  # one row
+    plan = asked.join(per_source, "source", "left")
     plan = plan.withColumn("available", F.coalesce("available", F.lit(0))).withColumn("docs", F.coalesce("docs", F.lit(0)))
-    plan = plan.withColumn("wanted", F.col("target_share") * F.col("budget_ratio") * F.col("all_tokens"))
+    plan = plan.withColumn("wanted", F.col("target_share") * F.col("budget_ratio") * F.lit(total))
     reach = F.col("max_repeats") * F.col("available")
     ratio = F.when(F.col("available") > 0, F.least(F.col("wanted") / F.col("available"), F.col("max_repeats").cast("double"))).otherwise(0.0)
     return sized, plan.withColumn("out_of_reach", reach < F.col("wanted")).withColumn("repeats", ratio)

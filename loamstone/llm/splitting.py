@@ -358,11 +358,10 @@ def split_by_profile(docs: DataFrame, profiles: DataFrame, range_chars: int = DE
     """:func:`split_documents` with each document's profile: its own, else (none or an unknown one)
     the default profile. ``profiles`` is a handful of settings; repeated rows count once."""
     p = profiles.select("index_profile_hash", "chunk_size", "overlap", "is_default").distinct()
-    default = p.filter("is_default").agg(F.min(F.struct("chunk_size", "overlap")).alias("d"))
+    size, overlap = p.filter("is_default").agg(F.min(F.struct("chunk_size", "overlap")).alias("d")).select("d.chunk_size", "d.overlap").first()  # one row
     own = p.groupBy("index_profile_hash").agg(F.min(F.struct("chunk_size", "overlap")).alias("p"))
-    joined = docs.select("doc_id", "text", "index_profile_hash").join(own, "index_profile_hash", "left").crossJoin(F.broadcast(default))  # one row
-    pick = lambda c: F.coalesce(F.col(f"p.{c}"), F.col(f"d.{c}"))
-    return split_documents(joined, pick("chunk_size"), pick("overlap"), range_chars)
+    joined = docs.select("doc_id", "text", "index_profile_hash").join(own, "index_profile_hash", "left")
+    return split_documents(joined, F.coalesce("p.chunk_size", F.lit(size)), F.coalesce("p.overlap", F.lit(overlap)), range_chars)
 
 
 def oversized(pieces: DataFrame) -> DataFrame:

@@ -32,7 +32,6 @@ KNOWN_SHARE = 0.5
 BLOCK_TOKENS = 60_000
 #: Tokens of an item that are searched as one section; sections overlap by a run.
 SECTION = 4_000
-_SEGMENT = 4_096
 
 
 def _sections(items: DataFrame) -> DataFrame:
@@ -105,11 +104,14 @@ def _summed(passages: DataFrame, weights, matrix, gram: bool) -> np.ndarray:
                     padded[w - 1 : w - 1 + len(product)] = product
                     np.add.at(acc, ids, idf[ids][:, None] * window_sums(padded, w)[: len(ids)])
         slots = np.flatnonzero(np.abs(acc).sum(axis=1))
-        yield pd.DataFrame({"slot": slots, "v": list(acc[slots])})
+        if len(slots):
+            yield pd.DataFrame({"slot": slots, "v": pd.Series(acc[slots].tolist(), dtype=object)})
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        summed = pdf.groupby("slot")["v"].apply(lambda v: np.sum(np.stack(v.to_list()), axis=0))
-        return pd.DataFrame({"slot": summed.index, "v": summed.to_list()})
+        slots, place = np.unique(pdf["slot"].to_numpy(), return_inverse=True)
+        summed = np.zeros((len(slots), width))
+        np.add.at(summed, place, np.stack(pdf["v"].to_list()))
+        return pd.DataFrame({"slot": slots, "v": pd.Series(summed.tolist(), dtype=object)})
 
     parts = passages.mapInPandas(partial, schema)
     rows = parts.groupBy(F.pmod("slot", F.lit(16))).applyInPandas(total, schema).collect()  # a row a vocabulary term of the block
@@ -156,6 +158,29 @@ def common_subsequence(doc: np.ndarray, item: np.ndarray) -> int:
     return len(item) - bin(v).count("1")
 
 
+#: Item passages whose cosine to a leader is this or more join its group.
+_GROUPED = 0.8
+
+
+def grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, leaders, radii, edges): unit vectors in groups around leaders, each vector in the group of
+    its nearest; ``edges`` delimit the groups in ``order``, radii are their largest angles."""
+    leaders = np.empty((0, rows.shape[1]), rows.dtype)
+    for at in range(0, len(rows), 512):
+        part = rows[at : at + 512]
+        far = np.flatnonzero((part @ leaders.T).max(axis=1) < _GROUPED) if len(leaders) else np.arange(len(part))
+        while len(far):
+            leaders = np.concatenate([leaders, part[far[:1]]])
+            far = far[part[far] @ leaders[-1] < _GROUPED]
+    like = np.concatenate([rows[at : at + 4096] @ leaders.T for at in range(0, len(rows), 4096)])
+    own, cos = like.argmax(axis=1), like.max(axis=1)
+    order = np.argsort(own, kind="stable")
+    edges = np.searchsorted(own[order], np.arange(len(leaders) + 1))
+    radii = np.zeros(len(leaders), rows.dtype)
+    np.maximum.at(radii, own, np.arccos(np.clip(cos, -1.0, 1.0)).astype(rows.dtype))
+    return order, leaders, radii, edges
+
+
 class _Searcher:
     """Finds candidate items of a document in one block of items."""
 
@@ -163,7 +188,7 @@ class _Searcher:
         self.terms, self.idf, self.space = block["terms"], block["idf"], block["space"]
         self.passages, self.owner, self.items = block["passages"], block["owner"], block["items"]
         self.unknown = block["unknown"] ** 2
-        self.short = block["short"]
+        self.groups = block["groups"]
 
     def ids(self, text: str) -> np.ndarray:
         terms = self.terms
@@ -172,34 +197,39 @@ class _Searcher:
     def candidates(self, ids: np.ndarray, cosine: float) -> dict[int, tuple[float, int]]:
         """{section: (best cosine, window start)}."""
         found: dict[int, tuple[float, int]] = {}
-        for width, (first, last) in self.short.items():
+        for width in self.groups:
             if len(ids) >= width:
-                self._search(ids, width, first, last, cosine, found)
+                self._search(ids, width, cosine, found)
         return found
 
-    def _search(self, ids, width, first, last, cosine, found) -> None:
+    def _search(self, ids, width, cosine, found) -> None:
         known = ids >= 0
         mass = np.where(known, self.idf[ids] ** 2, self.unknown)
         part = np.concatenate([[0.0], np.cumsum(np.where(known, mass, 0.0))])
         whole = np.concatenate([[0.0], np.cumsum(mass)])
-        share = (part[width:] - part[:-width]) / (whole[width:] - whole[:-width])
+        share = np.minimum(1.0, (part[width:] - part[:-width]) / (whole[width:] - whole[:-width]))
         starts = np.flatnonzero(share >= KNOWN_SHARE - 1e-9)
-        items = self.passages[first:last]
-        owner = self.owner[first:last]
-        for s in range(0, len(starts), 256):
-            some = starts[s : s + 256]
-            spots = some[:, None] + np.arange(width)
-            t = ids[spots]
-            vectors = np.where((t >= 0)[:, :, None], self.space[t], 0.0).sum(axis=1)
-            norm = np.sqrt((vectors * vectors).sum(axis=1))
-            vectors = vectors / np.maximum(norm, 1e-12)[:, None]
-            # Latent cosine, made smaller by the weight of tokens that no item has.
-            like = (vectors.astype(np.float32) @ items.T) * np.sqrt(share[some])[:, None].astype(np.float32)
-            rows, cols = np.nonzero(like >= cosine)
-            for row, col in zip(rows.tolist(), cols.tolist()):
-                c, o = float(like[row, col]), int(owner[col])
-                if o not in found or c > found[o][0]:
-                    found[o] = (c, int(some[row]))
+        for at in range(0, len(starts), 256):
+            self._compare(ids, starts[at : at + 256], width, share, cosine, found)
+
+    def _compare(self, ids, starts, width, share, cosine, found) -> None:
+        """Windows against item passages: first their groups' leaders, then the groups within reach. The
+        angle to a member is at least the angle to its leader less the group's radius, so none is lost."""
+        t = ids[starts[:, None] + np.arange(width)]
+        vectors = np.where((t >= 0)[:, :, None], self.space[t], 0.0).sum(axis=1)
+        vectors = (vectors / np.maximum(np.sqrt((vectors * vectors).sum(axis=1)), 1e-12)[:, None]).astype(np.float32)
+        # Latent cosine, made smaller by the weight of tokens that no item has.
+        faded = np.sqrt(share[starts]).astype(np.float32)
+        reach = np.arccos(np.minimum(1.0, (cosine - 1e-5) / faded))
+        leaders, radii, edges = self.groups[width]
+        near = np.arccos(np.clip(vectors @ leaders.T, -1.0, 1.0)) <= reach[:, None] + radii + 1e-3
+        for g in np.flatnonzero(near.any(axis=0)).tolist():
+            rows = np.flatnonzero(near[:, g])
+            like = (vectors[rows] @ self.passages[edges[g] : edges[g + 1]].T) * faded[rows, None]
+            for r, c in zip(*(x.tolist() for x in np.nonzero(like >= cosine - 1e-5))):
+                value, o = float(like[r, c]), int(self.owner[edges[g] + c])
+                if o not in found or value > found[o][0]:
+                    found[o] = (value, int(starts[rows[r]]))
 
     def check(self, ids: np.ndarray, section: int, start: int, lcs_share: float) -> tuple[int, int, float, bool]:
         """(longest run, subsequence, its share of the item, answer there)."""
@@ -224,24 +254,29 @@ def _block(sections: list, docs: DataFrame, passages: DataFrame, rank: int) -> d
     def number(frames):
         known = shared.value
         for pdf in frames:
-            yield pd.DataFrame({"ids": [[known[t] for t in w] for w in pdf["words"]]})
+            yield pd.DataFrame({"ids": pd.Series([[known[t] for t in w] for w in pdf["words"]], dtype=object)})
 
     numbered = passages.select("words").mapInPandas(number, "ids array<bigint>")
     space = randomised_svd(numbered, idf, rank) * idf[:, None]
-    rows, owner, items, short = [], [], [], {}
+    rows, owner, items = [], [], []
     lengths = [min(RUN, len(s["words"])) for s in sections]
+    groups = {}
     for width in sorted(set(lengths)):  # items shorter than a run are searched whole
-        first = sum(map(len, owner))
+        vs, owns = [], []
         for k, s in enumerate(sections):
             if lengths[k] == width:
-                ids = np.array([terms[t] for t in s["words"]])
-                v = window_sums(space[ids], width)
-                rows.append(v / np.maximum(np.sqrt((v * v).sum(axis=1)), 1e-12)[:, None])
-                owner.append(np.full(len(v), k))
-        short[width] = (first, sum(map(len, owner)))
+                v = window_sums(space[[terms[t] for t in s["words"]]], width)
+                vs.append(v / np.maximum(np.sqrt((v * v).sum(axis=1)), 1e-12)[:, None])
+                owns.append(np.full(len(v), k))
+        unit, own = np.concatenate(vs).astype(np.float32), np.concatenate(owns)
+        order, leaders, radii, edges = grouped(unit)
+        first = sum(map(len, owner))
+        rows.append(unit[order])
+        owner.append(own[order])
+        groups[width] = (leaders, radii, edges + first)
     for s in sections:
         items.append((s["item_id"], np.array([terms[t] for t in s["words"]]), np.array([terms.get(t, -2) for t in s["answer"]], np.int64)))
-    return {"terms": terms, "idf": idf, "space": space, "passages": np.concatenate(rows).astype(np.float32), "owner": np.concatenate(owner), "items": items, "unknown": float(idf.max()), "short": short}
+    return {"terms": terms, "idf": idf, "space": space, "passages": np.concatenate(rows), "owner": np.concatenate(owner), "items": items, "unknown": float(idf.max()), "groups": groups}
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, cosine: float = COSINE, lcs_share: float = LCS_SHARE, rank: int = RANK, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -280,9 +315,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, cosine: float = COSINE, lcs_sh
                         if not (ids >= 0).any():
                             continue
                         for section, (c, start) in searcher.candidates(ids, cosine).items():
-                            run, lcs, share, there = searcher.check(ids, section, start, lcs_share)
+                            checked = searcher.check(ids, section, start, lcs_share)
                             item_id, _, answer = searcher.items[section]
-                            yield item_id, doc_id, c, run, lcs, share, there, bool(len(answer))
+                            yield item_id, doc_id, c, *checked, bool(len(answer))
 
             yield from batches(rows(), schema, 1000)
 

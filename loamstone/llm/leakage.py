@@ -158,6 +158,8 @@ def common_subsequence(doc: np.ndarray, item: np.ndarray) -> int:
     return len(item) - bin(v).count("1")
 
 
+#: Cosine of equal windows, rounding aside.
+_REPEATED = 0.999
 #: Item passages whose cosine to a leader is this or more join its group.
 _GROUPED = 0.8
 
@@ -231,11 +233,14 @@ class _Searcher:
                 if o not in found or value > found[o][0]:
                     found[o] = (value, int(starts[rows[r]]))
 
-    def check(self, ids: np.ndarray, section: int, start: int, lcs_share: float) -> tuple[int, int, float, bool]:
-        """(longest run, subsequence, its share of the item, answer there)."""
+    def check(self, ids: np.ndarray, section: int, cosine: float, start: int, lcs_share: float) -> tuple[int, int, float, bool] | None:
+        """(longest run, subsequence, its share of the item, answer there), or None if the pair is neither:
+        a repeated run has a window of cosine 1, a paraphrase enough of the item near its best window."""
         _, item, answer = self.items[section]
         near = ids[max(0, start - len(item)) : start + RUN + len(item)]
         lcs = common_subsequence(near, item)
+        if cosine < _REPEATED and lcs < lcs_share * len(item):
+            return None
         there = bool(len(answer)) and longest_run(near, answer) == len(answer)
         return longest_run(ids, item), lcs, lcs / len(item), there
 
@@ -315,9 +320,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, cosine: float = COSINE, lcs_sh
                         if not (ids >= 0).any():
                             continue
                         for section, (c, start) in searcher.candidates(ids, cosine).items():
-                            checked = searcher.check(ids, section, start, lcs_share)
-                            item_id, _, answer = searcher.items[section]
-                            yield item_id, doc_id, c, *checked, bool(len(answer))
+                            checked = searcher.check(ids, section, c, start, lcs_share)
+                            if checked:
+                                item_id, _, answer = searcher.items[section]
+                                yield item_id, doc_id, c, *checked, bool(len(answer))
 
             yield from batches(rows(), schema, 1000)
 

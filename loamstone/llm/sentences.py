@@ -11,12 +11,14 @@ neighbour opens one.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,17 +38,20 @@ MARKS = ".!?。！？।؟…"
 CLOSERS = "\"'”’»」』）)\\]“"
 OPENERS = "\"'“‘«„「『（(\\[¿¡"
 _QUOTE_OPEN, _QUOTE_CLOSE = "“«„「『", "”»」』"
+_QUOTES = re.compile(f'["{_QUOTE_OPEN}{_QUOTE_CLOSE}]')
 _THAI = "฀-๿"
 _CJK = "぀-ヿ㐀-鿿０-９"
 _NEVER_LAST = frozenset("e.g i.e vs fig no nr sec cap approx ca cf z.b vgl bzw dr mr mrs p.es p.ej c.-à-d т.е рис гл см напр".split())
 
 _CANDIDATE = re.compile(f"[{MARKS}]+[{CLOSERS}]*")
 _SPACE = re.compile(r"\s+")
+_LINE_ENDS = re.compile(r"\n+")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 _LEFT = re.compile(rf"[^\s{OPENERS}{CLOSERS},;:，、；：]+$")
 _RIGHT = re.compile(rf"[{OPENERS}]*([^\s{OPENERS}{CLOSERS},;:.!?。！？।؟…，、；：]*)")
 _IS_CJK = re.compile(f"[{_CJK}]")
 _THAI_SPACE = re.compile(rf"(?:(?<=[{_THAI}])|(?<=[{_THAI}][?!.])|(?<=[{_THAI}][{CLOSERS}]))\s+(?=[{_THAI}A-Za-z0-9{OPENERS}])|(?<=\S)\s+(?=[{_THAI}])")
+_HAS_THAI = re.compile(f"[{_THAI}]")
 _MID_WORD = re.compile(rf"(?<=[^\s{MARKS}{CLOSERS}])\s+([^\s{OPENERS}{CLOSERS},;:{MARKS}，、；：]+)|[，、]([{_CJK}]{{2}})")
 _DIGITS = re.compile(r"\d+")
 
@@ -54,7 +59,7 @@ _DIGITS = re.compile(r"\d+")
 def blocks(text: str, by_line: bool) -> list[tuple[int, int]]:
     """Spans between empty lines, and in turns between line ends."""
     spans, at = [], 0
-    for m in (re.compile(r"\n+") if by_line else _PARAGRAPH).finditer(text):
+    for m in (_LINE_ENDS if by_line else _PARAGRAPH).finditer(text):
         spans.append((at, m.start()))
         at = m.end()
     spans.append((at, len(text)))
@@ -90,7 +95,8 @@ def candidates(text: str, block: tuple[int, int]):
     depth, low, straight, at = 0, 0, False, floor
     for m in _CANDIDATE.finditer(text, floor, ceiling):
         a, b = m.span()
-        for c in text[at:a]:
+        for q in _QUOTES.finditer(text, at, a):
+            c = q.group()
             if c == '"':
                 straight = not straight
             elif c == "“" and low:  # closes a quotation that „ opened
@@ -214,17 +220,26 @@ class Model:
             float(many and lower),
         ]
 
-    def ends(self, x: list[float]) -> bool:
-        return float(np.dot(self.weights, x)) > 0.0
-
     def cut(self, text: str, by_line: bool) -> list[tuple[int, int]]:
         """Sentence spans in code points, white space around them excluded."""
+        spans, places, rows = blocks(text, by_line), [], []
+        for k, block in enumerate(spans):
+            for a, b, follows, quoted in candidates(text, block):
+                if follows < block[1]:
+                    places.append((k, b))
+                    rows.append(self.features(text, block, a, b, follows, quoted))
+        ends: list[list[int]] = [[] for _ in spans]
+        if rows:
+            for (k, b), yes in zip(places, (np.array(rows) @ self.weights > 0.0).tolist()):
+                if yes:
+                    ends[k].append(b)
+        thai = _HAS_THAI.search(text)
         out = []
-        for block in blocks(text, by_line):
-            ends = [b for a, b, follows, quoted in candidates(text, block) if follows < block[1] and self.ends(self.features(text, block, a, b, follows, quoted))]
-            ends.extend(m.start() for m in _THAI_SPACE.finditer(text, *block) if m.start() > block[0])
+        for block, own in zip(spans, ends):
+            if thai:
+                own = sorted({*own, *(m.start() for m in _THAI_SPACE.finditer(text, *block) if m.start() > block[0])})
             at = block[0]
-            for end in [*sorted(set(ends)), block[1]]:
+            for end in [*own, block[1]]:
                 part = text[at:end]
                 bare = part.strip()
                 if bare:
@@ -239,28 +254,44 @@ def _prose(docs: DataFrame, turns: str) -> DataFrame:
     return docs.select("doc_id", "text", F.coalesce(F.col("kind") == turns, F.lit(False)).alias("by_line"))
 
 
-def _labelled(batch_iter, model):
-    """(hash, label, features) of candidates with a reliable label."""
-    schema = pa.schema([("label", pa.int32()), ("x", pa.list_(pa.float64()))])
-
-    def rows():
-        m = model.value
-        for batch in batch_iter:
-            for _, text, by_line in zip(*(c.to_pylist() for c in batch.columns)):
-                spans = blocks(text, by_line)
-                for k, block in enumerate(spans):
-                    for a, b, follows, quoted in candidates(text, block):
-                        if follows >= block[1]:  # the next block is what follows a reliable boundary
-                            if k + 1 < len(spans):
-                                after = spans[k + 1]
-                                at = after[0] + len(text[after[0] : after[1]]) - len(text[after[0] : after[1]].lstrip())
-                                yield 1, m.features(text, (block[0], after[1]), a, b, at, quoted)
-                        else:
-                            word, key = left_key(text, a, b, block[0])
-                            if m.reliable_inner(word, key, quoted):
-                                yield 0, m.features(text, block, a, b, follows, quoted)
-
-    yield from batches(rows(), schema)
+class _Smallest:
+    """The items with the smallest hashes, at most ``size`` of them."""
+
+    def __init__(self, size: int):
+        self.size, self.heap = size, []
+
+    def wants(self, h: int) -> bool:
+        return len(self.heap) < self.size or -h > self.heap[0][0]
+
+    def add(self, h: int, item: list[float]) -> None:
+        if len(self.heap) < self.size:
+            heapq.heappush(self.heap, (-h, item))
+        else:
+            heapq.heapreplace(self.heap, (-h, item))
+
+
+def _labelled(batch_iter, model, half: int):
+    """(hash, label, features) of candidates with a reliable label: of each label the ``half`` with the
+    smallest hashes of document and place. Features are computed for those only."""
+    schema = pa.schema([("h", pa.int64()), ("label", pa.int32()), ("x", pa.list_(pa.float64()))])
+    kept = (_Smallest(half), _Smallest(half))
+    m = model.value
+    for batch in batch_iter:
+        for doc_id, text, by_line in zip(*(c.to_pylist() for c in batch.columns)):
+            spans = blocks(text, by_line)
+            for k, block in enumerate(spans):
+                for a, b, follows, quoted in candidates(text, block):
+                    h = xxhash.xxh64_intdigest(f"{doc_id}:{a}") >> 1
+                    if follows >= block[1]:  # the next block is what follows a reliable boundary
+                        if k + 1 < len(spans) and kept[1].wants(h):
+                            after = spans[k + 1]
+                            at = after[0] + len(text[after[0] : after[1]]) - len(text[after[0] : after[1]].lstrip())
+                            kept[1].add(h, m.features(text, (block[0], after[1]), a, b, at, quoted))
+                    elif kept[0].wants(h):
+                        word, key = left_key(text, a, b, block[0])
+                        if m.reliable_inner(word, key, quoted):
+                            kept[0].add(h, m.features(text, block, a, b, follows, quoted))
+    yield from batches(((-h, label, x) for label in (0, 1) for h, x in kept[label].heap), schema)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -294,9 +325,8 @@ def train(prose: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
         tables[side] = {r["key"]: (r["edge"], r["inner"]) for r in own.filter(F.col("edge") + F.col("inner") >= least).collect()}  # at most 1 / KEPT_SHARE rows
     model = Model(tables["L"], tables["R"], rates["L"], rates["R"])
     shared = prose.sparkSession.sparkContext.broadcast(model)
-    labelled = prose.mapInArrow(lambda it: _labelled(it, shared), "label int, x array<double>")
     half = train_rows // 2
-    rows = materialise(labelled.withColumn("h", F.xxhash64("label", "x")))
+    rows = materialise(prose.mapInArrow(lambda it: _labelled(it, shared, half), "h bigint, label int, x array<double>"))  # train_rows a task at most
     sample = [r for y in (0, 1) for r in rows.filter(F.col("label") == y).orderBy("h").limit(half).collect()]
     if sample:
         x, y = np.array([r["x"] for r in sample]), np.array([r["label"] for r in sample], float)

@@ -20,7 +20,7 @@ MAX_TOP_K = 1000
 MANIFEST_PAGE, MAX_MANIFEST_PAGE = 1000, 5000
 OVERFETCH, MAX_OVERFETCH = 4, 1024
 BATCH_DOCS, BATCH_TEXT_BYTES = 100, 32 * 1024 * 1024
-RESERVED_KEY = "_msa"
+RESERVED_KEY = "_loamstone"
 
 _NAME = re.compile(r"[A-Za-z0-9_:-]{1,128}\Z")
 

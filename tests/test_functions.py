@@ -144,7 +144,7 @@ def test_limits():
     for bad in (lambda: limits.query("  "), lambda: limits.alpha(1.5)):
         with pytest.raises(InvalidQuery):
             bad()
-    for bad in (lambda: limits.doc_id("a\0"), lambda: limits.text("x" * 11, 10), lambda: limits.metadata({"_msa": 1})):
+    for bad in (lambda: limits.doc_id("a\0"), lambda: limits.text("x" * 11, 10), lambda: limits.metadata({"_loamstone": 1})):
         with pytest.raises(InvalidInput):
             bad()
 

@@ -1,7 +1,8 @@
 """Collapsing records that say the same in another layout.
 
 Each distinct text is read once into fields: a flat list of key-value fields in any notation gives
-its fields, any other text is one field without a name. Each distinct raw name or value is
+its fields, any other text is one field without a name. A text that may be either (commas, colons and
+names of several words) is a list if all its names are names in other lists. Each distinct raw name or value is
 canonicalised once (compatibility form, composed accents, folded case; letters, digits and their
 marks only) and gets an integer from a dictionary; a record becomes a sorted tuple of (name, value)
 integers, and the compact tuples are grouped.
@@ -24,6 +25,7 @@ from loamstone.session import materialise
 
 _KEEP = regex.compile(r"[^\p{L}\p{N}\p{M}]+|[︀-️]+")
 _SPLITS = (re.compile(r"\n+"), re.compile(r"\s*\|\s*"), re.compile(r"\s*;\s*"), re.compile(r"\s*,\s*"))
+_COMMAS = _SPLITS[-1]
 _FIELD = re.compile(r"^[\s\"'“”„«»‘’`>*\-•#]*([^:=\n]{1,64}?)[\s\"'“”„«»‘’`]*(?::|=>|=|：|＝)(.*)$", re.S)
 _NAME_WORDS = 4
 
@@ -43,7 +45,8 @@ def read_fields(text: str) -> list[tuple[str, str]] | None:
 
     A list has at least two fields, each with a short name and a value that is not nested: a JSON
     object, or parts separated by line ends, bars, semicolons or commas of which every one is
-    ``name: value`` or ``name = value``.
+    ``name: value`` or ``name = value``. Prose has commas and colons too, so parts between commas
+    whose names have several words need the equals sign; for the others see :func:`doubtful_fields`.
     """
     start, end = text.find("{"), text.rfind("}")
     if 0 <= start < end:
@@ -57,32 +60,52 @@ def read_fields(text: str) -> list[tuple[str, str]] | None:
             rest = text[:start] + text[end + 1 :]
             if not _KEEP.sub("", rest):
                 return [(k, _scalar(v)) for k, v in pairs]
-    body = _unwrap(text)
-    if body[:1] in "{[(" and body[-1:] in "}])":
-        body = body[1:-1]
-    for most, split in zip((_NAME_WORDS, _NAME_WORDS, _NAME_WORDS, 1), _SPLITS):  # prose has commas, so names are stricter there
-        parts = [p for p in split.split(body) if _KEEP.sub("", p)]
-        if len(parts) < 2:
-            continue
-        fields = []
-        for p in parts:
-            m = _FIELD.match(p)
-            name = m and m.group(1).strip()
-            if not name or len(re.split(r"\s+" if most == 1 else r"[\s_\-]+", name)) > most or not _KEEP.sub("", name):
-                break
-            fields.append((name, m.group(2).strip()))
-        else:
+    body = _body(text)
+    for split in _SPLITS:
+        fields = _fields(body, split, split is _COMMAS)
+        if fields:
             return fields
     return None
 
 
+def doubtful_fields(text: str) -> list[tuple[str, str]] | None:
+    """Fields of a text that :func:`read_fields` does not take for a list although it has the form of
+    one: commas, colons and a name of several words."""
+    return _fields(_body(text), _COMMAS, False)
+
+
+def _body(text: str) -> str:
+    body = _unwrap(text)
+    return body[1:-1] if body[:1] in "{[(" and body[-1:] in "}])" else body
+
+
+def _fields(body: str, split: re.Pattern, strict: bool) -> list[tuple[str, str]] | None:
+    """Fields if there are two parts or more and each is one; ``strict``: with a name of one word or an equals sign."""
+    parts = [p for p in split.split(body) if _KEEP.sub("", p)]
+    if len(parts) < 2:
+        return None
+    fields = []
+    for p in parts:
+        m = _FIELD.match(p)
+        name = m and m.group(1).strip()
+        if not name or not _KEEP.sub("", name):
+            return None
+        if split is _COMMAS and len(name.split()) == 1:  # however many parts underscores and hyphens make
+            pass
+        elif len(re.split(r"[\s_\-]+", name)) > _NAME_WORDS or strict and not set("=＝") & set(p[m.end(1) : m.start(2)]):
+            return None
+        fields.append((name, m.group(2).strip()))
+    return fields
+
+
 def _scalar(v) -> str:
     return v if isinstance(v, str) else json.dumps(v)
 
 
 def _parse(batch_iter):
     """(text_key, is_list, name, value) for each field; a prose text's value is the digest of its
-    canonical form, so long texts are not shuffled again."""
+    canonical form, so long texts are not shuffled again. A doubtful text gives the row of prose and,
+    with a null ``is_list``, its fields."""
     schema = pa.schema([("text_key", pa.binary()), ("name", pa.string()), ("value", pa.string()), ("is_list", pa.bool_())])
 
     def rows():
@@ -91,6 +114,8 @@ def _parse(batch_iter):
                 fields = read_fields(text)
                 if fields is None:
                     yield key, None, hashlib.sha256(canonical(text).encode("utf-8", "surrogatepass")).hexdigest(), False
+                    for name, value in set(doubtful_fields(text) or ()):
+                        yield key, name, value, None
                 else:
                     for name, value in set(fields):
                         yield key, name, value, True
@@ -126,17 +151,26 @@ def collapse_layouts(records: DataFrame, key: str, text: str) -> DataFrame:
     rows = rows.withColumn("text_key", F.unhex(F.sha2("text", 256)))
     texts = rows.groupBy("text_key").agg(F.any_value("text").alias("text"))
     fields = materialise(texts.mapInArrow(_parse, "text_key binary, name string, value string, is_list boolean"))
-    named = fields.filter("is_list")
+    named = fields.filter("name is not null")
     words = dictionary(named.select("name").union(named.select("value")))
+    names = words.select(F.col("raw").alias("name"), F.col("id").alias("n"))
+    unlisted = fields.filter("not is_list")
+    if not named.filter("is_list is null").isEmpty():
+        doubtful = named.filter("is_list is null").join(names, "name")
+        used = named.filter("is_list").select("name").distinct().join(names, "name").select("n").distinct()
+        refuted = doubtful.join(used, "n", "left_anti").select("text_key").distinct()
+        lists = materialise(doubtful.select("text_key").distinct().join(refuted, "text_key", "left_anti"))
+        named = named.filter("is_list").unionByName(named.filter("is_list is null").join(lists, "text_key", "left_semi"))
+        unlisted = unlisted.join(lists, "text_key", "left_anti")
     listed = (
-        named.join(words.select(F.col("raw").alias("name"), F.col("id").alias("n")), "name")
+        named.join(names, "name")
         .join(words.select(F.col("raw").alias("value"), F.col("id").alias("v")), "value")
         .groupBy("text_key")
         .agg(F.sort_array(F.collect_set(F.struct("n", "v"))).alias("tuple"))  # the fields of one text
         .select("text_key", F.lit(True).alias("is_list"), "tuple", F.lit(None).cast("string").alias("form"))
     )
     empty = F.array().cast("array<struct<n:bigint,v:bigint>>")
-    prose = fields.filter("not is_list").select("text_key", "is_list", empty.alias("tuple"), F.col("value").alias("form"))
+    prose = unlisted.select("text_key", "is_list", empty.alias("tuple"), F.col("value").alias("form"))
     tuples = materialise(listed.unionByName(prose))
     numbered = materialise(tuples.select("is_list", "tuple", "form").distinct().select("*", F.monotonically_increasing_id().alias("group_id")))
     same = ["is_list", "tuple", "form"]

@@ -69,3 +69,42 @@ def test_against_brute_force(spark, data):
     rows = sorted({(r["doc_id"], r["capsule_text"]) for r in df.select("doc_id", "capsule_text").collect()})
     got = {tuple(r) for r in copies(collapse_layouts(df, "doc_id", "capsule_text")).collect()}
     assert got == brute(rows) and got
+
+
+def test_comma_lists_with_names_of_several_words(spark):
+    rows = [("a", "INDEX_STATE= 3481; QUEUE= 2765; SEEN_BY= run sajizopasa"), ("b", "Queue = 2765, Seen By = run sajizopasa, Index State = 3481"), ("c", "Queue = 2765, Seen By = run sajizopasa, Index State = 3482")]
+    assert groups(spark, rows) == {"a": ("a", 2), "b": ("a", 2), "c": ("c", 1)}
+    # With colons only if the names are names elsewhere, in whatever order the rows come.
+    colons = [("d", "Seen By: run sajizopasa, queue: 2765, Index State: 3481."), ("e", "Seen by: nobody, they said: 2765"), ("f", "they said: 2765, Seen by: nobody"), ("g", "seen by nobody they said 2765")]
+    want = {"a": ("a", 3), "b": ("a", 3), "c": ("c", 1), "d": ("a", 3), "e": ("e", 2), "f": ("f", 1), "g": ("e", 2)}
+    assert groups(spark, rows + colons) == want and groups(spark, (rows + colons)[::-1]) == want
+    assert groups(spark, colons) == {"d": ("d", 1), "e": ("e", 2), "f": ("f", 1), "g": ("e", 2)}
+
+
+def own_reading(t):
+    """The fields of a text, read without the operator's parser."""
+    bare = lambda x: "".join(c for c in unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", x).casefold()) if unicodedata.category(c)[0] in "LNM")
+    inner = t.strip().strip("\"'“”„«»‘’`").strip()
+    if inner.startswith("{") and "}" in inner:
+        try:
+            flat = json.loads(inner[: inner.rindex("}") + 1], parse_int=str, parse_float=str)
+            return frozenset((bare(k), bare(v if isinstance(v, str) else json.dumps(v))) for k, v in flat.items())
+        except ValueError:
+            pass
+    for sep in "\n|;,":
+        parts = [p for p in inner.split(sep) if bare(p)]
+        cut = [(p[: min(at)], p[min(at) + 1 :]) for p in parts if (at := [p.index(c) for c in ":=" if c in p])]
+        short = [n for n, _ in cut if bare(n) and len(n.replace("_", " ").replace("-", " ").split()) <= 4]
+        if len(parts) > 1 and len(short) == len(parts) and (sep != "," or all("=" in p or len(n.split()) == 1 for p, n in zip(parts, short))):
+            return frozenset((bare(n), bare(v)) for n, v in cut)
+    return bare(t)
+
+
+def test_against_a_reading_of_its_own(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/capsules.parquet")
+    keys = {}
+    for r in df.select("doc_id", "capsule_text").distinct().collect():
+        if r["doc_id"] is not None and r["capsule_text"] is not None:
+            keys.setdefault(own_reading(r["capsule_text"]), set()).add(r["doc_id"])
+    want = {(min(v), i) for v in keys.values() for i in v if i != min(v)}
+    assert {tuple(r) for r in copies(collapse_layouts(df, "doc_id", "capsule_text")).collect()} == want and want

@@ -6,7 +6,8 @@ and script, the mark and its quotes. The model needs no annotation: a mark befor
 end of the text or, in turns, the end of a line is a reliable boundary, and a left neighbour that is
 hardly ever found there although it is frequent is a reliable non-boundary. Two corpus statistics feed
 it, counted over all documents: how often a left neighbour closes a paragraph, and how often a right
-neighbour opens one.
+neighbour opens one. Every neighbour's counts are used: workers hold those of the most frequent ones,
+the others are joined to the documents that use them.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,8 @@ from loamstone.session import materialise, one_row_per_key
 
 #: Labelled candidates the model is fitted on; those with the smallest hashes are taken.
 TRAIN_ROWS = 40_000
-#: A neighbour's statistics are kept if it has at least one in so many of all candidates: the tables
-#: that workers hold have at most that many rows, whatever the corpus.
-KEPT_SHARE = 1 / 100_000
-LEAST_SEEN = 3
+#: Rows of a side's table that workers hold, whatever the corpus; which ones does not change the result.
+HELD_KEYS = 100_000
 
 # Final marks, quotes that may follow or open, scripts without spaces, and some
 # abbreviations that are never the last word (for collections too small to show it).
@@ -129,6 +128,22 @@ def candidates(text: str, block: tuple[int, int]):
         yield a, b, follows, quoted
 
 
+def _first(text: str, block: tuple[int, int]) -> int:
+    """Where the first token of a block starts."""
+    return block[1] - len(text[block[0] : block[1]].lstrip())
+
+
+def used_keys(text: str, by_line: bool) -> set[tuple[str, str]]:
+    """(side, key) of every count that the features of a text's candidates look up."""
+    used = set()
+    for block in blocks(text, by_line):
+        used.add(("R", right_key(text, _first(text, block), block[1])))
+        for a, b, follows, _ in candidates(text, block):
+            word, key = left_key(text, a, b, block[0])
+            used |= {("L", key), ("R", _DIGITS.sub("#", word.lower())), ("R", right_key(text, follows, block[1]))}
+    return used
+
+
 def _statistics(batch_iter):
     """Counts of neighbours: (side, key, at an edge, within)."""
     schema = pa.schema([("side", pa.string()), ("key", pa.string()), ("edge", pa.int64()), ("inner", pa.int64())])
@@ -144,8 +159,7 @@ def _statistics(batch_iter):
         for batch in batch_iter:
             for _, text, by_line in zip(*(c.to_pylist() for c in batch.columns)):
                 for block in blocks(text, by_line):
-                    first = len(text[block[0] : block[1]]) - len(text[block[0] : block[1]].lstrip()) + block[0]
-                    edge["R", right_key(text, first, block[1])] += 1
+                    edge["R", right_key(text, _first(text, block), block[1])] += 1
                     for m in _MID_WORD.finditer(text, *block):
                         word = m.group(1) or m.group(2)
                         inner["R", _DIGITS.sub("#", (word[:2] if _IS_CJK.match(word[0]) else word).lower())] += 1
@@ -160,10 +174,23 @@ def _statistics(batch_iter):
 
 
 class Model:
-    """Neighbour statistics and weights; small enough to go to every worker."""
+    """Neighbour statistics and weights; small enough to go to every worker. ``rest``, which stays with
+    the driver, has the statistics (side, key, edge, inner) of the neighbours that are not held."""
+
+    def __init__(self, left: dict, right: dict, rate: float, start_rate: float, weights: np.ndarray | None = None, rest: DataFrame | None = None):
+        self.left, self.right, self.rate, self.start_rate, self.weights, self.rest = left, right, rate, start_rate, weights, rest
 
-    def __init__(self, left: dict, right: dict, rate: float, start_rate: float, weights: np.ndarray | None = None):
-        self.left, self.right, self.rate, self.start_rate, self.weights = left, right, rate, start_rate, weights
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "rest": None}
+
+    def knowing(self, rare: list | None) -> Model:
+        """The model with the statistics ``rare`` of further neighbours."""
+        if not rare:
+            return self
+        more: dict[str, dict] = {"L": {}, "R": {}}
+        for r in rare:
+            more[r["side"]][r["key"]] = (r["edge"], r["inner"])
+        return Model(ChainMap(more["L"], self.left), ChainMap(more["R"], self.right), self.rate, self.start_rate, self.weights)
 
     def reliable_inner(self, word: str, key: str, quoted: bool) -> bool:
         """A left neighbour so rarely at an edge that its marks end nothing."""
@@ -175,8 +202,10 @@ class Model:
         return quoted or not key.endswith(" .") or len(word) <= 3 or self.dotted(word, e + i) > 0.8
 
     def dotted(self, word: str, seen: int) -> float:
-        """Share of a word's occurrences inside sentences that have the mark: near 1 for abbreviations."""
-        return min(1.0, seen / max(1, seen, self.right.get(_DIGITS.sub("#", word.lower()), (0, 0))[1]))
+        """Share of a word's occurrences inside sentences that have the mark: near 1 for abbreviations, 0 if
+        nothing is known of the word."""
+        inner = self.right.get(_DIGITS.sub("#", word.lower()), (0, 0))[1]
+        return min(1.0, seen / max(seen, inner)) if inner else 0.0
 
     def features(self, text: str, block: tuple[int, int], a: int, b: int, follows: int, quoted: bool) -> list[float]:
         word, key = left_key(text, a, b, block[0])
@@ -275,9 +304,9 @@ def _labelled(batch_iter, model, half: int):
     smallest hashes of document and place. Features are computed for those only."""
     schema = pa.schema([("h", pa.int64()), ("label", pa.int32()), ("x", pa.list_(pa.float64()))])
     kept = (_Smallest(half), _Smallest(half))
-    m = model.value
     for batch in batch_iter:
-        for doc_id, text, by_line in zip(*(c.to_pylist() for c in batch.columns)):
+        for doc_id, text, by_line, rare in zip(*(c.to_pylist() for c in batch.columns)):
+            m = model.value.knowing(rare)
             spans = blocks(text, by_line)
             for k, block in enumerate(spans):
                 for a, b, follows, quoted in candidates(text, block):
@@ -285,8 +314,7 @@ def _labelled(batch_iter, model, half: int):
                     if follows >= block[1]:  # the next block is what follows a reliable boundary
                         if k + 1 < len(spans) and kept[1].wants(h):
                             after = spans[k + 1]
-                            at = after[0] + len(text[after[0] : after[1]]) - len(text[after[0] : after[1]].lstrip())
-                            kept[1].add(h, m.features(text, (block[0], after[1]), a, b, at, quoted))
+                            kept[1].add(h, m.features(text, (block[0], after[1]), a, b, _first(text, after), quoted))
                     elif kept[0].wants(h):
                         word, key = left_key(text, a, b, block[0])
                         if m.reliable_inner(word, key, quoted):
@@ -310,23 +338,51 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int
     return w
 
 
+def _with_rare(prose: DataFrame, model: Model) -> DataFrame:
+    """``prose`` and the column ``rare``: statistics of the neighbours in a text that the model does not hold."""
+    if model.rest is None:
+        return prose.withColumn("rare", F.lit(None).cast("array<struct<side:string,key:string,edge:bigint,inner:bigint>>"))
+    schema = pa.schema([("doc_id", pa.int64()), ("side", pa.string()), ("key", pa.string())])
+    shared = prose.sparkSession.sparkContext.broadcast(model)
+
+    def unheld(batch_iter):
+        def rows():
+            held = {"L": shared.value.left, "R": shared.value.right}
+            for batch in batch_iter:
+                for doc_id, text, by_line in zip(*(c.to_pylist() for c in batch.columns)):
+                    for side, key in used_keys(text, by_line):
+                        if key not in held[side]:
+                            yield doc_id, side, key
+
+        yield from batches(rows(), schema)
+
+    pairs = prose.mapInArrow(unheld, "doc_id bigint, side string, key string").join(model.rest, ["side", "key"])
+    rare = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("side", "key", "edge", "inner")).alias("rare"))  # the keys of one text
+    return prose.join(materialise(rare), "doc_id", "left").select("doc_id", "text", "by_line", "rare")
+
+
 def train(prose: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Statistics over all of ``prose`` (doc_id, text, by_line) and the model fitted on at most
     ``train_rows`` reliably labelled candidates, half of each label, chosen by hash."""
     counted = prose.mapInArrow(_statistics, "side string, key string, edge bigint, inner bigint")
     summed = materialise(counted.groupBy("side", "key").agg(F.sum("edge").alias("edge"), F.sum("inner").alias("inner")))
     tables: dict[str, dict] = {}
-    rates = {}
+    rates, rest = {}, None
+    seen = F.col("edge") + F.col("inner")
     for side in ("L", "R"):
         own = summed.filter(F.col("side") == side)
-        e, i = own.agg(F.coalesce(F.sum("edge"), F.lit(0)), F.coalesce(F.sum("inner"), F.lit(0))).first()
-        least = max(LEAST_SEEN, (e + i) * KEPT_SHARE)
+        e, i, n = own.agg(F.coalesce(F.sum("edge"), F.lit(0)), F.coalesce(F.sum("inner"), F.lit(0)), F.count(F.lit(1))).first()
         rates[side] = e / max(1, e + i)
-        tables[side] = {r["key"]: (r["edge"], r["inner"]) for r in own.filter(F.col("edge") + F.col("inner") >= least).collect()}  # at most 1 / KEPT_SHARE rows
-    model = Model(tables["L"], tables["R"], rates["L"], rates["R"])
+        held = own.orderBy(seen.desc(), "key").limit(HELD_KEYS).collect()
+        tables[side] = {r["key"]: (r["edge"], r["inner"]) for r in held}
+        if n > len(held):
+            least, last = held[-1]["edge"] + held[-1]["inner"], held[-1]["key"]
+            more = own.filter((seen < least) | (seen == least) & (F.col("key") > last))
+            rest = more if rest is None else rest.union(more)
+    model = Model(tables["L"], tables["R"], rates["L"], rates["R"], rest=rest)
     shared = prose.sparkSession.sparkContext.broadcast(model)
     half = train_rows // 2
-    rows = materialise(prose.mapInArrow(lambda it: _labelled(it, shared, half), "h bigint, label int, x array<double>"))  # train_rows a task at most
+    rows = materialise(_with_rare(prose, model).mapInArrow(lambda it: _labelled(it, shared, half), "h bigint, label int, x array<double>"))  # train_rows a task at most
     sample = [r for y in (0, 1) for r in rows.filter(F.col("label") == y).orderBy("h").limit(half).collect()]
     if sample:
         x, y = np.array([r["x"] for r in sample]), np.array([r["label"] for r in sample], float)
@@ -342,7 +398,8 @@ def split_sentences(docs: DataFrame, model: Model | None = None, turns: str = "t
     ``docs`` needs ``doc_id``, ``text`` and ``kind``; in documents of kind ``turns`` a line end ends a
     sentence. A text without marks is one sentence a paragraph. Null and blank texts and rows without a
     document give nothing; a repeated document counts once. Without a fitted ``model`` one is trained on
-    these documents. Texts are cut where they are read; only neighbour counts are shuffled.
+    these documents. Texts are cut where they are read and only neighbour counts are shuffled, unless there
+    are more than ``HELD_KEYS`` neighbours: then texts are joined with the counts of their rare ones.
     """
     prose = _prose(docs, turns)
     model = model or train(prose, train_rows)
@@ -351,12 +408,11 @@ def split_sentences(docs: DataFrame, model: Model | None = None, turns: str = "t
 
     def cut(batch_iter):
         def rows():
-            m = shared.value
             for batch in batch_iter:
-                for doc_id, text, by_line in zip(*(c.to_pylist() for c in batch.columns)):
-                    for start, end in m.cut(text, by_line):
+                for doc_id, text, by_line, rare in zip(*(c.to_pylist() for c in batch.columns)):
+                    for start, end in shared.value.knowing(rare).cut(text, by_line):
                         yield doc_id, start, end
 
         yield from batches(rows(), schema)
 
-    return prose.mapInArrow(cut, "doc_id bigint, s_start bigint, s_end bigint")
+    return _with_rare(prose, model).mapInArrow(cut, "doc_id bigint, s_start bigint, s_end bigint")

@@ -74,3 +74,30 @@ def test_untrained_and_hard_inputs(spark):
     assert {r["doc_id"] for r in got} == {1, 4}
     assert se.split_sentences(df.limit(0)).count() == 0
     assert len(se.fit_logistic(np.ones((4, 2)), np.array([1.0, 0, 1, 0]))) == 2
+
+
+def test_every_count_is_used_whatever_workers_hold(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("kind in ('note', 'turn', 'capsule', 'digest')")
+    prose = se._prose(docs, "turn")
+    counts = prose.mapInArrow(se._statistics, "side string, key string, edge bigint, inner bigint").groupBy("side", "key").sum("edge", "inner").collect()
+    whole = se.train(prose)
+    for side, table in (("L", whole.left), ("R", whole.right)):
+        assert table == {r["key"]: (r[2], r[3]) for r in counts if r["side"] == side} and min(map(sum, table.values())) == 1
+    assert whole.rest is None
+    want = sorted(map(tuple, se.split_sentences(docs, whole).collect()))
+    monkeypatch.setattr(se, "HELD_KEYS", 7)
+    few = se.train(prose)
+    assert len(few.left) == len(few.right) == 7 and few.rest.count() == len(counts) - 14
+    assert np.allclose(few.weights, whole.weights)
+    assert sorted(map(tuple, se.split_sentences(docs, few).collect())) == want
+    for r in se._with_rare(prose, few).collect():
+        m = few.knowing(r["rare"])
+        for block in se.blocks(r["text"], r["by_line"]):
+            for c in se.candidates(r["text"], block):
+                assert m.features(r["text"], block, *c) == whole.features(r["text"], block, *c)
+
+
+def test_a_word_without_counts_is_unknown():
+    model = se.Model({"zorbel .": (0, 60)}, {"known": (0, 60)}, 0.5, 0.1)
+    assert model.dotted("zorbel", 60) == 0.0 and model.dotted("known", 60) == 1.0
+    assert not model.reliable_inner("zorbel", "zorbel .", False)

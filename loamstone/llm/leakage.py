@@ -5,7 +5,7 @@ weights count the whole corpus; a randomised SVD of it, its products summed over
 gives a latent space of some hundred dimensions. Every window of every document is folded into that
 space and searched for item passages of high cosine. A window that repeats an item's 13 tokens has the
 same vector, so its cosine is 1 whatever the rank. Candidate pairs are then checked on their tokens: the
-longest common run, the longest common subsequence near the best window, and whether the answer occurs.
+longest common run, and near every window found the longest common subsequence and whether the answer occurs.
 """
 
 from __future__ import annotations
@@ -145,11 +145,17 @@ def longest_run(doc: np.ndarray, item: np.ndarray) -> int:
     return best
 
 
-def common_subsequence(doc: np.ndarray, item: np.ndarray) -> int:
-    """Length of the longest common subsequence, by bits of one integer (Hyyrö, 2004)."""
+def token_masks(item: np.ndarray) -> dict[int, int]:
+    """The places of each token as bits of one integer."""
     masks: dict[int, int] = {}
     for i, t in enumerate(item.tolist()):
         masks[t] = masks.get(t, 0) | (1 << i)
+    return masks
+
+
+def common_subsequence(doc: np.ndarray, item: np.ndarray, masks: dict[int, int] | None = None) -> int:
+    """Length of the longest common subsequence, by bits of one integer (Hyyrö, 2004)."""
+    masks = token_masks(item) if masks is None else masks
     full = (1 << len(item)) - 1
     v = full
     for t in doc.tolist():
@@ -191,14 +197,15 @@ class _Searcher:
         self.passages, self.owner, self.items = block["passages"], block["owner"], block["items"]
         self.unknown = block["unknown"] ** 2
         self.groups = block["groups"]
+        self.masks: dict[int, dict[int, int]] = {}
 
     def ids(self, text: str) -> np.ndarray:
         terms = self.terms
         return np.fromiter((terms.get(t, -1) for t in TOKEN.findall(text.lower())), np.int64)
 
-    def candidates(self, ids: np.ndarray, cosine: float) -> dict[int, tuple[float, int]]:
-        """{section: (best cosine, window start)}."""
-        found: dict[int, tuple[float, int]] = {}
+    def candidates(self, ids: np.ndarray, cosine: float) -> dict[int, dict[int, float]]:
+        """{section: {window start: cosine}} for every window like one of the section's passages."""
+        found: dict[int, dict[int, float]] = {}
         for width in self.groups:
             if len(ids) >= width:
                 self._search(ids, width, cosine, found)
@@ -229,20 +236,59 @@ class _Searcher:
             rows = np.flatnonzero(near[:, g])
             like = (vectors[rows] @ self.passages[edges[g] : edges[g + 1]].T) * faded[rows, None]
             for r, c in zip(*(x.tolist() for x in np.nonzero(like >= cosine - 1e-5))):
-                value, o = float(like[r, c]), int(self.owner[edges[g] + c])
-                if o not in found or value > found[o][0]:
-                    found[o] = (value, int(starts[rows[r]]))
-
-    def check(self, ids: np.ndarray, section: int, cosine: float, start: int, lcs_share: float) -> tuple[int, int, float, bool] | None:
-        """(longest run, subsequence, its share of the item, answer there), or None if the pair is neither:
-        a repeated run has a window of cosine 1, a paraphrase enough of the item near its best window."""
+                value, start = float(like[r, c]), int(starts[rows[r]])
+                windows = found.setdefault(int(self.owner[edges[g] + c]), {})
+                if value > windows.get(start, -1.0):
+                    windows[start] = value
+
+    def _best(self, ids: np.ndarray, section: int, starts: list[int], least: float) -> int | None:
+        """The longest subsequence of the item near one of the windows, if it is ``least`` or more. What
+        stands near several windows together bounds what stands near each, so windows are halved only
+        while their bound is above the best so far."""
+        item, best = self.items[section][1], None
+        if section not in self.masks:
+            self.masks[section] = token_masks(item)
+        far = [0, *(i for i in range(1, len(starts)) if starts[i] - starts[i - 1] > len(item)), len(starts)]
+        todo = [(a, b) for a, b in zip(far, far[1:]) if a < b]
+        while todo:
+            a, b = todo.pop()
+            near = ids[max(0, starts[a] - len(item)) : starts[b - 1] + RUN + len(item)]
+            lcs = common_subsequence(near, item, self.masks[section])
+            if lcs < least or (best is not None and lcs <= best):
+                continue
+            if b - a == 1:
+                best = lcs
+            else:
+                todo += [((a + b) // 2, b), (a, (a + b) // 2)]
+        return best
+
+    def _with_answer(self, ids: np.ndarray, section: int, starts: list[int]) -> list[int]:
+        """The windows with the answer near them."""
+        _, item, answer = self.items[section]
+        last = len(ids) - len(answer)
+        if not len(answer) or last < 0:
+            return []
+        at = np.flatnonzero(np.logical_and.reduce([ids[k : last + 1 + k] == t for k, t in enumerate(answer)]))
+        first = np.searchsorted(at, np.asarray(starts) - len(item))
+        ends = [*(at + len(answer)).tolist(), math.inf]  # of the first answer that starts near the window, if any
+        return [s for s, k in zip(starts, first.tolist()) if ends[k] <= s + RUN + len(item)]
+
+    def check(self, ids: np.ndarray, section: int, windows: dict[int, float], lcs_share: float) -> tuple[float, int, int, float, bool] | None:
+        """(best cosine, longest run, subsequence, its share of the item, answer there), or None if the pair
+        is neither: a repeated run has a window of cosine 1, a paraphrase enough of the item, and its
+        answer if it has one, near one of its windows."""
         _, item, answer = self.items[section]
-        near = ids[max(0, start - len(item)) : start + RUN + len(item)]
-        lcs = common_subsequence(near, item)
-        if cosine < _REPEATED and lcs < lcs_share * len(item):
+        starts, top = sorted(windows), max(windows.values())
+        answered = self._with_answer(ids, section, starts)
+        lcs = self._best(ids, section, answered if len(answer) else starts, lcs_share * len(item))
+        if lcs is None and top < _REPEATED:
             return None
-        there = bool(len(answer)) and longest_run(near, answer) == len(answer)
-        return longest_run(ids, item), lcs, lcs / len(item), there
+        run = longest_run(ids, item)
+        if lcs is None:
+            if run < RUN:
+                return None
+            lcs = self._best(ids, section, starts, 0)
+        return top, run, lcs, lcs / len(item), bool(answered)
 
 
 def _block(sections: list, docs: DataFrame, passages: DataFrame, rank: int) -> dict:
@@ -286,8 +332,9 @@ def _block(sections: list, docs: DataFrame, passages: DataFrame, rank: int) -> d
 
 def find_leaks(docs: DataFrame, items: DataFrame, cosine: float = COSINE, lcs_share: float = LCS_SHARE, rank: int = RANK, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(item_id, doc_id, kind, cosine, longest_run, lcs, lcs_share, has_answer) for every document that
-    repeats 13 tokens of an item or more in a row (``exact``), or whose tokens near the best window hold
-    ``lcs_share`` of the item in order, and its answer if it has one (``paraphrase``).
+    repeats 13 tokens of an item or more in a row (``exact``), or whose tokens near one window hold
+    ``lcs_share`` of the item in order, and its answer if it has one (``paraphrase``). Every window over
+    ``cosine`` is looked at; ``lcs`` is the most near any of them (of a paraphrase: with the answer).
 
     Items come in blocks of about ``block_tokens`` tokens; each block is one pass over all documents, in
     which every window of every text is searched, so nothing that is broadcast grows with the corpus or
@@ -319,11 +366,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, cosine: float = COSINE, lcs_sh
                         ids = searcher.ids(text)
                         if not (ids >= 0).any():
                             continue
-                        for section, (c, start) in searcher.candidates(ids, cosine).items():
-                            checked = searcher.check(ids, section, c, start, lcs_share)
+                        for section, windows in searcher.candidates(ids, cosine).items():
+                            checked = searcher.check(ids, section, windows, lcs_share)
                             if checked:
                                 item_id, _, answer = searcher.items[section]
-                                yield item_id, doc_id, c, *checked, bool(len(answer))
+                                yield item_id, doc_id, *checked, bool(len(answer))
 
             yield from batches(rows(), schema, 1000)
 

@@ -76,3 +76,33 @@ def test_space_has_the_singular_vectors(spark):
     got = lk.randomised_svd(spark.createDataFrame([(x,) for x in ids], "ids array<bigint>").repartition(3), idf, 5, power=4)
     assert np.abs(np.sum(want.T * got, axis=0)).min() > 0.98
     assert len(TOKEN.findall(ITEM)) > lk.RUN
+
+
+def broken(words, every, word="zzz"):
+    return " ".join(w if i % every != 2 else f"{word}{i} {w}" for i, w in enumerate(words))
+
+
+def test_a_closer_window_elsewhere_hides_no_paraphrase(spark):
+    words, gap = ITEM.split(), " ".join([FILL] * 3)
+    far = broken(words, 4)
+    docs = [
+        (1, f"{' '.join(words[:12])} {gap} {far}"), (2, f"{far} {gap} {' '.join(words[:12])}"),
+        (3, f"{broken(words[:25], 12)} {gap} {far}"),  # enough of the item in two places, the answer in one
+        (4, f"{' '.join(words[:12])} {gap} {' '.join(words[12:24])}"),  # enough only together
+        (5, f"{broken(words[:25], 12)} {gap} painted door {gap}"),
+        (6, f"{' '.join(words[:13])} {gap} {far}"),
+    ]
+    got = leaks(spark, docs, [(10, ITEM, "painted door")])
+    assert {k[1]: (r["kind"], r["lcs"], r["has_answer"]) for k, r in got.items()} == {1: ("paraphrase", 30, True), 2: ("paraphrase", 30, True), 3: ("paraphrase", 30, True), 6: ("exact", 30, True)}
+    assert {k[1] for k in leaks(spark, docs, [(10, ITEM, None)])} == {1, 2, 3, 5, 6}
+
+
+def test_best_place_against_every_window():
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        ids, item, answer = rng.integers(-1, 9, rng.integers(20, 200)), rng.integers(0, 9, rng.integers(3, 20)), rng.integers(0, 9, rng.integers(1, 3))
+        searcher = lk._Searcher(dict.fromkeys(("terms", "idf", "space", "passages", "owner", "groups")) | {"unknown": 1.0, "items": [(1, item, answer)]})
+        starts = np.unique(rng.integers(0, len(ids), 12)).tolist()
+        near = {s: ids[max(0, s - len(item)) : s + lk.RUN + len(item)] for s in starts}
+        assert searcher._best(ids, 0, starts, 0) == max(lk.common_subsequence(n, item) for n in near.values())
+        assert searcher._with_answer(ids, 0, starts) == [s for s in starts if lk.longest_run(near[s], answer) == len(answer)]

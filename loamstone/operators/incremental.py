@@ -112,7 +112,7 @@ class PartitionedTarget:
         """Bring the target up to ``source``; gives the number of partitions recomputed.
 
         ``transform`` maps rows of whole partitions and must keep the key column. Map columns are
-        hashed as JSON. A partition whose records all vanished is emptied.
+        hashed as JSON. A partition whose records all vanished, or give no rows any more, is emptied.
         """
         spark = source.sparkSession
         flat = source.withColumn("_part", partition_of(F.col(self.key), self.partitions))
@@ -130,9 +130,10 @@ class PartitionedTarget:
         todo = [r[0] for r in changed_partitions(now, stored, ["_part"]).collect()]  # at most `partitions` numbers
         out = transform(flat.filter(F.col("_part").isin(todo)).drop("_part")).withColumn("_part", partition_of(F.col(self.key), self.partitions))
         if todo:
-            (out.repartition(len(todo), "_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(f"{self.path}/data"))
-            left = {r[0] for r in now.select("_part").collect()}
-            for gone in set(todo) - left:
+            rows = materialise(out)
+            (rows.repartition(len(todo), "_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(f"{self.path}/data"))
+            left = {r[0] for r in rows.select("_part").distinct().collect()}
+            for gone in set(todo) - left:  # dynamic overwrite leaves partitions without rows alone
                 _delete(spark, f"{self.path}/data/_part={gone}")
         if fail_before_commit:
             raise RuntimeError("stopped before the commit")

@@ -76,3 +76,20 @@ def test_target_follows_source_and_survives_a_failed_run(spark, tmp_path):
     assert target.read(spark).count() == 50
     target.run(changed.limit(0))
     assert target.read(spark).count() == 0
+
+
+def test_target_drops_partitions_whose_rows_are_all_filtered(spark, tmp_path):
+    target = PartitionedTarget(str(tmp_path / "t"), "id", 8)
+    df = spark.range(20).select(F.col("id"), F.lit("on").alias("state"))
+    active = lambda x: x.filter("state = 'on'")
+    target.run(df, active)
+    off = df.withColumn("state", F.when(F.col("id") < 15, "off").otherwise(F.col("state")))
+    with pytest.raises(RuntimeError):
+        target.run(off, active, fail_before_commit=True)
+    target.run(off, active)
+    assert sorted(r["id"] for r in target.read(spark).collect()) == list(range(15, 20))
+    target.run(off.withColumn("state", F.lit("off")), active)
+    assert target.read(spark).count() == 0 and target.run(df, active) == 8 and target.read(spark).count() == 20
+    never = PartitionedTarget(str(tmp_path / "n"), "id", 8)
+    never.run(off.filter("id < 15"), active)
+    assert never.read(spark).count() == 0

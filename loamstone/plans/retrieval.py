@@ -100,6 +100,12 @@ def first_chunks_96(spark, d):
     return chunks(spark, d, 96).filter("chunk_idx = 0")
 
 
+@query(f"""with c as (select doc_id, regexp_extract_all(text, '{chunking.chunk_pattern(96).replace("'", "''")}') as c from documents where text is not null)
+select doc_id, i - 1 as chunk_idx, c[i] as chunk_text, len(regexp_extract_all(c[i], '{CHUNK_WORD.replace(chr(39), chr(39) * 2)}')) as token_count from c, unnest(range(1, len(c) + 1)) as u(i)""")
+def chunks_96(spark, d):
+    return chunks(spark, d, 96)
+
+
 @query(f"""with {CHUNKS}, n as (select doc_id, len(regexp_extract_all(chunk_text, '{CHUNK_WORD.replace(chr(39), chr(39) * 2)}')) as token_count from chunks)
 select count(*) as chunks, count(distinct doc_id) as documents, sum(token_count) as tokens, max(token_count) as longest from n""")
 def chunk_stats(spark, d):

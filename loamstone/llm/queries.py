@@ -14,6 +14,8 @@ from loamstone.session import read_table
 #: The resemblance at which p4 calls two documents near-duplicates.
 P4_SIMILARITY = 0.6
 ARMS = ["lexical", "dense", "usage"]
+#: Characters of a range in p1_ranges: most of the tables' texts then have several.
+P1_RANGE = 512
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -29,6 +31,11 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return p1_all(spark, d).filter("doc_tokens > chunk_size").select("doc_id", "token_start", "token_count", "char_start", "char_end", "cut_level", "piece_text")
 
 
+def p1_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """p1_found by the method for texts of more than one range, which no text of the tables needs."""
+    return splitting.oversized(splitting.split_by_profile(read_table(spark, d, "documents"), read_table(spark, d, "index_profiles"), P1_RANGE))
+
+
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return collapsing.collapse_layouts(read_table(spark, d, "capsules"), "doc_id", "capsule_text")
 
@@ -90,7 +97,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_ranking, p4_found, p4_groups, p5_found, p5_scores, p7_found, p7_leaks, p8_found, p8_report, p8_mix, p9_found)
+    names = (p1_found, p1_pieces, p1_ranges, p2_found, p2_groups, p3_found, p3_ranking, p4_found, p4_groups, p5_found, p5_scores, p7_found, p7_leaks, p8_found, p8_report, p8_mix, p9_found)
     return {f.__name__: f for f in names}
 
 
@@ -98,6 +105,11 @@ _TOKENS = f"regexp_extract_all(lower(text), '{TOKEN_PATTERN_SQL}')"
 
 
 def oracle_sql() -> dict[str, str]:
+    sql = _oracle_sql()
+    return sql | {"p1_ranges": sql["p1_found"]}
+
+
+def _oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"""
             with p as (select * from index_profiles), d as (

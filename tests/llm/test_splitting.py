@@ -98,3 +98,12 @@ def test_files_by_byte_ranges(spark, tmp_path, overlap):
         if not overlap:
             assert "".join(t[p["char_start"] : p["char_end"]] for p in pieces) == t
     assert sp.split_files(spark, [], 8, 0).count() == 0
+
+
+def test_registered_ranges_cut_most_texts_by_the_stitched_table(spark, data):
+    from loamstone.llm import queries as q
+
+    texts = spark.read.parquet(f"{data}/documents.parquet").select("text").collect()
+    assert sum(len(r["text"] or "") > q.P1_RANGE for r in texts) > len(texts) / 2 and max(len(r["text"] or "") for r in texts) < sp.DEFAULT_RANGE
+    rows = [sorted(map(tuple, q.queries()[n](spark, data).collect())) for n in ("p1_found", "p1_ranges")]
+    assert rows[0] == rows[1] and rows[0]

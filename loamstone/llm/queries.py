@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loamstone.llm import collapsing, distinctive, leakage, mixing, nearduplicates, ranking, sentences, splitting
 from loamstone.llm.tokens import TOKEN_PATTERN_SQL
-from loamstone.session import read_table
+from loamstone.session import read_table, shared_dir
 
 #: The resemblance at which p4 calls two documents near-duplicates.
 P4_SIMILARITY = 0.6
@@ -18,22 +19,31 @@ ARMS = ["lexical", "dense", "usage"]
 P1_RANGE = 512
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.oversized(p1_all(spark, d))
+def _p1(spark: SparkSession, d: str, range_chars: int = splitting.DEFAULT_RANGE, texts: bool = False) -> DataFrame:
+    """Pieces of the oversized documents."""
+    return splitting.split_by_profile(read_table(spark, d, "documents"), read_table(spark, d, "index_profiles"), range_chars, oversized_only=True, texts=texts)
 
 
-def p1_all(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_by_profile(read_table(spark, d, "documents"), read_table(spark, d, "index_profiles"))
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.oversized(_p1(spark, d))
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
-    """Pieces of the oversized documents."""
-    return p1_all(spark, d).filter("doc_tokens > chunk_size").select("doc_id", "token_start", "token_count", "char_start", "char_end", "cut_level", "piece_text")
+    return _p1(spark, d, texts=True).select("doc_id", "token_start", "token_count", "char_start", "char_end", "cut_level", "piece_text")
 
 
 def p1_ranges(spark: SparkSession, d: str) -> DataFrame:
     """p1_found by the method for texts of more than one range, which no text of the tables needs."""
-    return splitting.oversized(splitting.split_by_profile(read_table(spark, d, "documents"), read_table(spark, d, "index_profiles"), P1_RANGE))
+    return splitting.oversized(_p1(spark, d, P1_RANGE))
+
+
+def p1_files(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of all texts written one after another into a few files, by byte ranges of 1 MiB."""
+    folder = f"{shared_dir(spark)}/loamstone-texts-{uuid.uuid4().hex}"
+    read_table(spark, d, "documents").select("text").filter("text is not null").coalesce(4).write.option("lineSep", "\n\n").text(folder)
+    files = [r[0] for r in spark.read.format("binaryFile").load(folder).select("path").orderBy("path").collect()]  # 4 names
+    pieces = splitting.split_files(spark, [f.replace("file:/", "/", 1) if f.startswith("file:/") else f for f in files], 512, 64, 1 << 20)
+    return pieces.select(F.md5("path").alias("file"), "byte_start", "byte_end", "token_start", "token_count", "cut_level")
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +107,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (p1_found, p1_pieces, p1_ranges, p2_found, p2_groups, p3_found, p3_ranking, p4_found, p4_groups, p5_found, p5_scores, p7_found, p7_leaks, p8_found, p8_report, p8_mix, p9_found)
+    names = (p1_found, p1_pieces, p1_ranges, p1_files, p2_found, p2_groups, p3_found, p3_ranking, p4_found, p4_groups, p5_found, p5_scores, p7_found, p7_leaks, p8_found, p8_report, p8_mix, p9_found)
     return {f.__name__: f for f in names}
 
 

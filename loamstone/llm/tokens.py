@@ -9,8 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The token pattern (one character of Thai, kana or Han, or up to 24 word characters).
+SINGLE_CHARS = r"\u0E00-\u0E7F\u3040-\u30FF\u3400-\u9FFF"
 WORD_CHARS = r"0-9A-Za-z_\u00C0-\u024F\u0300-\u036F\u0370-\u052F\u0620-\u065F\u0900-\u0963\u0966-\u097F"
-TOKEN_PATTERN = rf"[\u0E00-\u0E7F\u3040-\u30FF\u3400-\u9FFF]|[{WORD_CHARS}]{{1,24}}"
+TOKEN_MAX = 24
+TOKEN_PATTERN = rf"[{SINGLE_CHARS}]|[{WORD_CHARS}]{{1,{TOKEN_MAX}}}"
 #: The same for engines that write code points as \x{...}.
 TOKEN_PATTERN_SQL = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", TOKEN_PATTERN)
 TOKEN = re.compile(TOKEN_PATTERN)

@@ -2,22 +2,21 @@
 
 A record of n tokens is a draw from the collection's N tokens, of which K are the term. The score is
 the negative log10 of the probability that at least the observed number are the term, adjusted for the
-number of terms tested in the record (Benjamini-Hochberg). Terms are counted per record where its text
-is read, so that only (term, record, count) rows are shuffled; the tail probabilities are computed by
-vectorised log-gamma sums.
+number of terms tested in the record (Benjamini-Hochberg). Terms are counted where a text is read and
+stay together with their record; only partial counts of terms are shuffled. The tail probabilities are
+computed by vectorised log-gamma sums.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from loamstone.llm.tokens import TOKEN, batches
 from loamstone.session import materialise, one_row_per_key
@@ -25,9 +24,11 @@ from loamstone.session import materialise, one_row_per_key
 # Coefficients of the Stirling series of the log-gamma function.
 _STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
 
-#: A term in at least this share of all records is joined by broadcast: such terms number at most
-#: the mean distinct terms a record over the share, however many records there are.
-HOT_SHARE = 0.001
+#: Terms whose counts workers hold, whatever the collection: the most frequent ones. Those of the others,
+#: none of which is in more than a hundred-thousandth of all (record, term) pairs, are joined.
+HELD_TERMS = 100_000
+#: Share of false discoveries up to which a term is called characteristic of a record: more likely so than not.
+FALSE_SHARE = 0.5
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -45,8 +46,22 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series * inv - shift
 
 
+_FACTORIALS = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1.0, 4096.0)))])
+
+
+def log_factorial(k: np.ndarray) -> np.ndarray:
+    """ln k! of whole numbers: a table of the small ones, the Stirling series beyond."""
+    small = k < len(_FACTORIALS)
+    out = _FACTORIALS[np.where(small, k, 0).astype(np.int64)]
+    if not small.all():
+        y = np.where(small, 1.0, k + 1.0)
+        inv = 1.0 / y
+        out = np.where(small, out, (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + inv * (_STIRLING[0] + inv * inv * (_STIRLING[1] + inv * inv * _STIRLING[2])))
+    return out
+
+
 def log_choose(n: np.ndarray, k: np.ndarray) -> np.ndarray:
-    return log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0)
+    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
 
 
 def upper_tail(total: np.ndarray, marked: np.ndarray, drawn: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -82,59 +97,106 @@ def upper_tail(total: np.ndarray, marked: np.ndarray, drawn: np.ndarray, seen: n
     return np.where(seen <= low, 0.0, out)
 
 
-@F.pandas_udf(DoubleType())
-def _log_tail(total: pd.Series, marked: pd.Series, drawn: pd.Series, seen: pd.Series) -> pd.Series:
-    keys = pd.DataFrame({"t": total, "m": marked, "d": drawn, "s": seen})
-    distinct = keys.drop_duplicates()
-    value = upper_tail(distinct.t.to_numpy(), distinct.m.to_numpy(), distinct.d.to_numpy(), distinct.s.to_numpy())
-    return keys.merge(distinct.assign(v=value), on=["t", "m", "d", "s"], how="left").v
+def adjusted(log_p: np.ndarray) -> np.ndarray:
+    """Benjamini-Hochberg scores (-log10) of one record's tail probabilities, all of them its family."""
+    m = len(log_p)
+    order = np.argsort(log_p, kind="stable")
+    q = log_p[order] + np.log(m / np.arange(1.0, m + 1))
+    out = np.empty(m)
+    out[order] = np.minimum(0.0, np.minimum.accumulate(q[::-1])[::-1]) / -math.log(10.0)
+    return out + 0.0
 
 
-def _count_terms(batch_iter):
-    schema = pa.schema([("doc_id", pa.int64()), ("term", pa.string()), ("tf", pa.int64()), ("doc_tokens", pa.int64())])
+_COUNTS = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("terms", pa.list_(pa.string())), ("tfs", pa.list_(pa.int64()))])
+_COUNTS_SQL = "doc_id bigint, doc_tokens bigint, terms array<string>, tfs array<bigint>"
 
+
+def _count_terms(batch_iter):
     def rows():
         for batch in batch_iter:
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 counts = Counter(TOKEN.findall(text.lower()))
-                n = counts.total()
-                for term, tf in counts.items():
-                    yield doc_id, term, tf, n
-
-    yield from batches(rows(), schema)
-
-
-def distinctive_terms(docs: DataFrame) -> DataFrame:
-    """(doc_id, term, tf, doc_tokens, df, cf, log_p, score) for every distinct token of every text.
+                if counts:
+                    yield doc_id, counts.total(), list(counts), list(counts.values())
+
+    yield from batches(rows(), _COUNTS, 500)
+
+
+_SCORED = pa.schema([("doc_id", pa.int64()), ("term", pa.string()), *((n, pa.int64()) for n in ("tf", "doc_tokens", "df", "cf")), ("log_p", pa.float64()), ("score", pa.float64())])
+_SCORED_SQL = "doc_id bigint, term string, tf bigint, doc_tokens bigint, df bigint, cf bigint, log_p double, score double"
+
+
+def _score(batch_iter, held, total: int, least_tf: int):
+    """Scores of all terms of every record; rows of those that occur ``least_tf`` times."""
+    known = held.value
+    for batch in batch_iter:
+        ids, sizes, terms, tfs, rare = (c.to_pylist() for c in batch.columns)
+        figures, rows = [], []
+        for own, more in zip(terms, rare):
+            if more:
+                more = {r["term"]: (r["df"], r["cf"]) for r in more}
+                figures += [known.get(t) or more[t] for t in own]
+            else:
+                figures += [known[t] for t in own]
+        counts = [len(t) for t in terms]
+        df, cf = (np.array(x, np.int64) for x in zip(*figures))
+        tf = np.concatenate([np.array(t, np.int64) for t in tfs])
+        n = np.repeat(np.array(sizes, np.int64), counts)
+        # Many terms share their figures: each combination is computed once.
+        _, first, back = np.unique(np.stack([cf, n, tf], axis=1), axis=0, return_index=True, return_inverse=True)
+        log_p = upper_tail(np.full(len(first), float(total)), cf[first], n[first], tf[first])[back.ravel()]
+        edges = np.cumsum([0, *counts])
+        score = np.concatenate([adjusted(log_p[a:b]) for a, b in zip(edges, edges[1:])])
+        rows = np.flatnonzero(tf >= least_tf)
+        flat = pa.array([t for own in terms for t in own], pa.string()).take(pa.array(rows))
+        ids = np.repeat(np.array(ids, np.int64), counts)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), flat, *(pa.array(x[rows]) for x in (tf, n, df, cf, log_p, score))], schema=_SCORED)
+
+
+def _with_rare(counted: DataFrame, held, rest: DataFrame | None) -> DataFrame:
+    """Counted records and the column ``rare``: the collection's counts of their terms that are not held."""
+    if rest is None:
+        return counted.withColumn("rare", F.lit(None).cast("array<struct<term:string,df:bigint,cf:bigint>>"))
+
+    def unheld(batch_iter):
+        schema = pa.schema([("doc_id", pa.int64()), ("term", pa.string())])
+
+        def rows():
+            for batch in batch_iter:
+                for doc_id, terms in zip(*(c.to_pylist() for c in batch.columns)):
+                    for t in terms:
+                        if t not in held.value:
+                            yield doc_id, t
+
+        yield from batches(rows(), schema)
+
+    pairs = counted.select("doc_id", "terms").mapInArrow(unheld, "doc_id bigint, term string").join(rest, "term")
+    rare = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("term", "df", "cf")).alias("rare"))  # the terms of one text
+    return counted.join(materialise(rare), "doc_id", "left").select(*counted.columns, "rare")
+
+
+def distinctive_terms(docs: DataFrame, least_tf: int = 1, held_terms: int = HELD_TERMS) -> DataFrame:
+    """(doc_id, term, tf, doc_tokens, df, cf, log_p, score) for every distinct token of every text, or for
+    those that occur ``least_tf`` times in it (scored among all of its terms).
 
     ``docs`` needs ``doc_id`` (bigint) and ``text``; tokens are lower-cased. ``df`` and ``cf`` count the
     whole collection, ``log_p`` is the natural log of the tail probability and ``score`` the negative
     log10 of the adjusted one (0: no more than chance). Null texts, texts without tokens and rows
-    without a document give nothing; a repeated document counts once.
+    without a document give nothing; a repeated document counts once. Workers hold the counts of
+    ``held_terms`` terms, which does not change the result.
     """
     docs = one_row_per_key(docs.select("doc_id", "text"), "doc_id").filter("text is not null")
-    counted = materialise(docs.mapInArrow(_count_terms, "doc_id bigint, term string, tf bigint, doc_tokens bigint"))
-    totals = counted.agg(F.sum("tf").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    tokens, records = totals["n"] or 0, totals["d"] or 0
-    stats = materialise(counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")))
-    floor = max(2.0, HOT_SHARE * records)
-    hot = stats.filter(F.col("df") >= floor)
-    known = counted.join(F.broadcast(hot), "term", "left")
-    # Terms below the floor: each is in few records, so the shuffle by term has no hot key.
-    rare = known.filter("df is null").drop("df", "cf").join(stats.filter(F.col("df") < floor), "term")
-    joined = known.filter("df is not null").unionByName(rare)
-    scored = joined.withColumn("log_p", _log_tail(F.lit(float(tokens)), F.col("cf").cast("double"), F.col("doc_tokens").cast("double"), F.col("tf").cast("double")))
-    return adjust(scored)
-
-
-def adjust(scored: DataFrame) -> DataFrame:
-    """Benjamini-Hochberg within each record: the family is the record's own terms, bounded by its text."""
-    of_doc = W.partitionBy("doc_id")
-    step = scored.withColumn("_rank", F.row_number().over(of_doc.orderBy("log_p", "term"))).withColumn("_m", F.count(F.lit(1)).over(of_doc))
-    step = step.withColumn("_q", F.col("log_p") + F.log(F.col("_m") / F.col("_rank")))
-    back = of_doc.orderBy(F.col("_rank").desc()).rowsBetween(W.unboundedPreceding, 0)
-    log_q = F.least(F.lit(0.0), F.min("_q").over(back))
-    return step.withColumn("score", -log_q / F.log(F.lit(10.0))).drop("_rank", "_m", "_q")
+    counted = materialise(docs.mapInArrow(_count_terms, _COUNTS_SQL))
+    total = counted.agg(F.coalesce(F.sum("doc_tokens"), F.lit(0))).first()[0]
+    each = counted.select(F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
+    stats = materialise(each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")))
+    top = stats.orderBy(F.col("df").desc(), "term").limit(held_terms).collect()
+    rest = None
+    if len(top) == held_terms:
+        least, last = top[-1]["df"], top[-1]["term"]
+        rest = stats.filter((F.col("df") < least) | (F.col("df") == least) & (F.col("term") > last))
+    held = docs.sparkSession.sparkContext.broadcast({r["term"]: (r["df"], r["cf"]) for r in top})
+    return _with_rare(counted, held, rest).mapInArrow(lambda it: _score(it, held, total, least_tf), _SCORED_SQL)
 
 
 def top_terms(scored: DataFrame, per_doc: int) -> DataFrame:
@@ -148,6 +210,8 @@ def is_word(term: Column, least_chars: int = 4) -> Column:
     return (F.length(term) >= least_chars) & ~F.regexp_like(term, F.lit(r"[\p{Nd}_]"))
 
 
-def characteristic(scored: DataFrame, tf: int = 3, least_df: int = 2, most_df: int = 12) -> DataFrame:
-    """(doc_id, term) of words that are frequent in a record, rare in the collection and shared."""
-    return scored.filter(is_word(F.col("term")) & (F.col("tf") >= tf) & F.col("df").between(least_df, most_df) & (F.col("score") >= 0)).select("doc_id", "term")
+def characteristic(scored: DataFrame, tf: int = 3, least_df: int = 2, most_df: int = 12, false_share: float = FALSE_SHARE) -> DataFrame:
+    """(doc_id, term) of words that are enriched in a record (by their adjusted score, up to a share of false
+    discoveries), frequent in it, and in a few records of the collection."""
+    enriched = F.col("score") >= -math.log10(false_share)
+    return scored.filter(enriched & is_word(F.col("term")) & (F.col("tf") >= tf) & F.col("df").between(least_df, most_df)).select("doc_id", "term")

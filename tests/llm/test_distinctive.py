@@ -51,8 +51,22 @@ def test_scores_against_brute_force(spark):
 
 
 def test_characteristic_words(spark):
-    got = {tuple(r) for r in ds.characteristic(ds.distinctive_terms(frame(spark))).collect()}
-    assert got == {(1, "river"), (6, "ünïcode")}
+    filler = [(100 + i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(40)]
+    scored = ds.distinctive_terms(frame(spark, [*ROWS, *filler]), least_tf=3)
+    assert {tuple(r) for r in ds.characteristic(scored).collect()} == {(1, "river"), (6, "ünïcode")}
+    assert {r["tf"] >= 3 for r in scored.collect()} == {True}
+    # The adjusted score decides: with other scores there are other rows.
+    assert ds.characteristic(scored.withColumn("score", scored.score * 0)).count() == 0
+
+
+def test_small_counts_are_not_enriched_by_chance(spark):
+    rows = [(i, "alpha alpha alpha beta gamma") for i in range(2)]  # no term is in one more than in the other
+    assert ds.characteristic(ds.distinctive_terms(frame(spark, rows))).count() == 0
+
+
+def test_log_factorial():
+    k = np.array([0.0, 1, 2, 170, 4095, 4096, 1e6, 3e9])
+    assert np.allclose(ds.log_factorial(k), [math.lgamma(v + 1) for v in k], rtol=1e-13, atol=1e-13)
 
 
 def test_top_terms_and_empty(spark):
@@ -61,7 +75,7 @@ def test_top_terms_and_empty(spark):
     assert ds.distinctive_terms(frame(spark, [])).count() == 0
 
 
-def test_hot_and_rare_terms_take_the_same_way_to_their_figures(spark, monkeypatch):
-    one = {(r["doc_id"], r["term"]): (r["df"], r["cf"]) for r in ds.distinctive_terms(frame(spark)).collect()}
-    monkeypatch.setattr(ds, "HOT_SHARE", 1000.0)
-    assert {(r["doc_id"], r["term"]): (r["df"], r["cf"]) for r in ds.distinctive_terms(frame(spark)).collect()} == one
+@pytest.mark.parametrize("held", [1, 3, 8])
+def test_held_and_rare_terms_take_different_ways_to_the_same_scores(spark, held):
+    every = sorted(map(tuple, ds.distinctive_terms(frame(spark)).collect()))
+    assert sorted(map(tuple, ds.distinctive_terms(frame(spark), held_terms=held).collect())) == every

@@ -58,25 +58,24 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
     return p
 
 
-def landing(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Decides the last few units: of the ways to take as many as expected (rounded at random), one
-    whose tokens come nearest to the expected, the others left out."""
-    open_ = np.flatnonzero((p > 0) & (p < 1))
-    if not len(open_):
-        return p
-    want = float((p[open_] * size[open_]).sum())
-    expected = p[open_].sum()
-    take = int(expected) + int(rng.random() < expected - int(expected))
-    order = open_[np.argsort(size[open_], kind="stable")]
-    best, at = None, 0
-    for s in range(0, len(order) - take + 1):
-        total = size[order[s : s + take]].sum()
-        if best is None or abs(total - want) < best:
-            best, at = abs(total - want), s
-    out = p.copy()
-    out[open_] = 0.0
-    out[order[at : at + take]] = 1.0
-    return out
+def landing(p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Decides the last few units two at a time: one of a pair becomes 0 or 1 and the other takes over the
+    rest, at odds that keep every inclusion probability and the sum; a last one is drawn by what it has left."""
+    p = p.copy()
+    open_ = np.flatnonzero((p > 0) & (p < 1)).tolist()
+    while len(open_) > 1:
+        a, b = open_[:2]
+        both = p[a] + p[b]
+        if both < 1:
+            won = rng.random() * both < p[a]
+            p[a], p[b] = (both, 0.0) if won else (0.0, both)
+        else:
+            full = rng.random() * (2 - both) < 1 - p[b]
+            p[a], p[b] = (1.0, both - 1) if full else (both - 1, 1.0)
+        open_ = [x for x in (a, b) if _EPS < p[x] < 1 - _EPS] + open_[2:]
+    for x in open_:
+        p[x] = float(rng.random() < p[x])
+    return np.where(p > 0.5, 1.0, 0.0)
 
 
 def _seed(key: tuple, seed: int) -> np.random.Generator:
@@ -84,13 +83,13 @@ def _seed(key: tuple, seed: int) -> np.random.Generator:
 
 
 def _flyer(cols: list[str], key: str, probability: str, size: str, seed: int, level: int, last: bool):
-    def fly(keys, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fly(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key, kind="stable", ignore_index=True)
         rng = _seed((*keys, level), seed)
         pdf = pdf.iloc[rng.permutation(len(pdf))].reset_index(drop=True)
         weights = pdf[size].to_numpy(dtype=float)
         p = flight(pdf[probability].to_numpy(), weights, rng)
-        pdf[probability] = landing(p, weights, rng) if last else p
+        pdf[probability] = landing(p, rng) if last else p
         return pdf[pdf[probability] > 0][cols]
 
     return fly
@@ -142,30 +141,32 @@ def plan_mix(docs: DataFrame, targets: DataFrame, sizes: DataFrame | None = None
     plan = asked.join(per_source, "source", "left")
     plan = plan.withColumn("available", F.coalesce("available", F.lit(0))).withColumn("docs", F.coalesce("docs", F.lit(0)))
     plan = plan.withColumn("wanted", F.col("target_share") * F.col("budget_ratio") * F.lit(total))
-    reach = F.col("max_repeats") * F.col("available")
     ratio = F.when(F.col("available") > 0, F.least(F.col("wanted") / F.col("available"), F.col("max_repeats").cast("double"))).otherwise(0.0)
-    return sized, plan.withColumn("out_of_reach", reach < F.col("wanted")).withColumn("repeats", ratio)
+    return sized, plan.withColumn("repeats", ratio)
 
 
 def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 7, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """The mix (mix_id, source, doc_id, tokens, copies) and its report.
 
-    The report has a row for each target: ``wanted``, ``available``, ``repeats`` and ``out_of_reach``, the
-    ``reached`` tokens and documents, and ``actual_share`` of the mix. Documents without a source belong
+    The report has a row for each target: ``wanted``, ``available`` and ``repeats``, the ``reached`` tokens
+    and documents, ``actual_share`` of the mix and ``out_of_reach``: the mix has every document of the source as
+    often as allowed and still fewer tokens than wanted. Documents without a source belong
     to no target but count in the total; a source without documents is reached with 0.
     """
     sized, plan = plan_mix(docs, targets)
     plan = materialise(plan)
-    units = sized.filter("source is not null").join(plan.select("mix_id", "source", "repeats"), "source").filter("repeats > 0")
+    units = sized.filter("source is not null").join(plan.select("mix_id", "source", "repeats", "max_repeats"), "source").filter("repeats > 0")
     units = units.withColumn("base", F.floor("repeats").cast("int")).withColumn("p", F.col("repeats") - F.col("base"))
     units = materialise(units)
     extra = cube_sample(units.filter("p > 0"), ["mix_id", "source"], "doc_id", "p", "tokens", seed, bucket).withColumn("extra", F.lit(1))
     mix = units.join(extra, ["mix_id", "source", "doc_id"], "left").withColumn("copies", F.col("base") + F.coalesce("extra", F.lit(0))).filter("copies > 0")
+    got = mix.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("reached"), F.sum("copies").alias("reached_docs"), F.count_if(F.col("copies") >= F.col("max_repeats")).alias("full"))
     mix = mix.select("mix_id", "source", "doc_id", "tokens", "copies")
-    got = mix.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("reached"), F.sum("copies").alias("reached_docs"))
     whole = got.groupBy("mix_id").agg(F.sum("reached").alias("mix_tokens"))
     report = plan.join(got, ["mix_id", "source"], "left").join(whole, "mix_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     share = F.when(F.col("mix_tokens") > 0, F.coalesce("reached", F.lit(0)) / F.col("mix_tokens")).otherwise(0.0)
+    spent = F.when(F.col("max_repeats") > 0, F.coalesce("full", F.lit(0))).otherwise(F.col("docs")) >= F.col("docs")
+    report = report.withColumn("out_of_reach", spent & (F.coalesce("reached", F.lit(0)) < F.col("wanted")))
     report = report.select("mix_id", "source", "target_share", "max_repeats", "budget_ratio", "wanted", "available", "docs", "repeats", "out_of_reach", zero("reached"), zero("reached_docs"), share.alias("actual_share"))
     return mix, report

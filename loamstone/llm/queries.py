@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstone.llm import collapsing, distinctive, leakage, mixing, nearduplicates, ranking, sentences, splitting
-from loamstone.llm.tokens import TOKEN_PATTERN_SQL
+from loamstone.llm.tokens import TOKEN_PATTERN_SQL, token_count
 from loamstone.session import read_table, shared_dir
 
 #: The resemblance at which p4 calls two documents near-duplicates.
@@ -74,11 +74,12 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_scores(spark: SparkSession, d: str) -> DataFrame:
-    return distinctive.distinctive_terms(read_table(spark, d, "documents"))
+    """Every term of every document; scores to three places, which both engines' sums of logs agree on."""
+    return distinctive.distinctive_terms(read_table(spark, d, "documents")).select("doc_id", "term", "tf", "df", "cf", F.round("score", 3).alias("score"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return distinctive.characteristic(p5_scores(spark, d))
+    return distinctive.characteristic(distinctive.distinctive_terms(read_table(spark, d, "documents"), least_tf=3))
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -97,6 +98,14 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))[0]
 
 
+def p8_balance(spark: SparkSession, d: str) -> DataFrame:
+    """The report's figures that do not depend on the draw, and whether the draw kept its balances: as many
+    documents as expected but for one, as many tokens but for two documents."""
+    report, largest = p8_report(spark, d), read_table(spark, d, "documents").agg(F.max(token_count(F.col("text")))).first()[0]
+    kept = [(F.abs(F.col("reached_docs") - F.col("repeats") * F.col("docs")) <= 1.001).alias("documents_kept"), (F.abs(F.col("reached") - F.col("repeats") * F.col("available")) <= 2 * (largest or 0) + 0.001).alias("tokens_kept")]
+    return report.select("mix_id", "source", F.round("wanted", 3).alias("wanted"), "available", "docs", F.round("repeats", 6).alias("repeats"), "out_of_reach", *kept)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_report(spark, d).filter("out_of_reach").select("mix_id", "source")
 
@@ -107,13 +116,19 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (p1_found, p1_pieces, p1_ranges, p1_files, p2_found, p2_groups, p3_found, p3_ranking, p4_found, p4_groups, p5_found, p5_scores, p7_found, p7_leaks, p8_found, p8_report, p8_mix, p9_found)
+    names = (p1_found, p1_pieces, p1_ranges, p1_files, p2_found, p2_groups, p3_found, p3_ranking, p4_found, p4_groups, p5_found, p5_scores, p7_found, p7_leaks, p8_found, p8_report, p8_balance, p8_mix, p9_found)
     return {f.__name__: f for f in names}
 
 
 _TOKENS = f"regexp_extract_all(lower(text), '{TOKEN_PATTERN_SQL}')"
 
 
+_MIX_SQL = f"""d as (select nullif(lower(trim(source)), '') as source, len(regexp_extract_all(coalesce(text, ''), '{TOKEN_PATTERN_SQL}')) as n from documents),
+            s as (select source, sum(n) as n, count(*) as docs from d group by source),
+            plan as (select mix_id, m.source, max_repeats, target_share * budget_ratio * (select sum(n) from d) as wanted, coalesce(n, 0)::bigint as available, coalesce(docs, 0) as docs
+              from (select mix_id, lower(trim(source)) as source, target_share, max_repeats, budget_ratio from mix_targets) m left join s on s.source = m.source)"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql = _oracle_sql()
     return sql | {"p1_ranges": sql["p1_found"]}
@@ -159,6 +174,17 @@ def _oracle_sql() -> dict[str, str]:
             d as (select *, count(*) over (partition by term) as df from c)
             select doc_id, term from d
             where length(term) >= 4 and not regexp_matches(term, '[\\p{{Nd}}_]') and tf >= 3 and df between 2 and 12""",
+        "p5_scores": f"""
+            with t as (select doc_id, unnest({_TOKENS}) as term from documents where text is not null),
+            c as (select doc_id, term, count(*) as tf from t group by all),
+            d as (select *, (sum(tf) over (partition by doc_id))::bigint as n, count(*) over (partition by term) as df, (sum(tf) over (partition by term))::bigint as cf, (sum(tf) over ())::bigint as total from c),
+            k as (select distinct cf, n, tf, total from d),
+            w as (select cf, n, tf, list_transform(range(greatest(tf, n + cf - total), least(cf, n) + 1), lambda x:
+                lgamma(cf + 1) - lgamma(x + 1) - lgamma(cf - x + 1) + lgamma(total - cf + 1) - lgamma(n - x + 1) - lgamma(total - cf - n + x + 1)
+                - lgamma(total + 1) + lgamma(n + 1) + lgamma(total - n + 1)) as l from k),
+            p as (select cf, n, tf, least(0, list_max(l) + ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l)))))) as log_p from w),
+            r as (select d.*, log_p, log_p + ln(count(*) over (partition by doc_id) / row_number() over (partition by doc_id order by log_p, term)) as q from d join p using (cf, n, tf))
+            select doc_id, term, tf, df, cf, round(0 - least(0, min(q) over (partition by doc_id order by log_p desc, term desc rows unbounded preceding)) / ln(10), 3) + 0 as score from r""",
         "p7_found": f"""
             with i as (select item_id, {_TOKENS} as t from eval_items where text is not null),
             r as (select distinct item_id, array_to_string(t[k:k + 12], ' ') as g from i, unnest(range(1, len(t) - 11)) as u(k)),
@@ -166,9 +192,9 @@ def _oracle_sql() -> dict[str, str]:
             w as (select doc_id, array_to_string(t[k:k + 12], ' ') as g from d, unnest(range(1, len(t) - 11)) as u(k))
             select distinct item_id, doc_id from r join w using (g)""",
         "p8_found": f"""
-            with d as (select nullif(lower(trim(source)), '') as source, len(regexp_extract_all(coalesce(text, ''), '{TOKEN_PATTERN_SQL}')) as n from documents),
-            s as (select source, sum(n) as n from d group by source)
-            select mix_id, m.source from (select mix_id, lower(trim(source)) as source, target_share, max_repeats, budget_ratio from mix_targets) m
-            left join s on s.source = m.source
-            where max_repeats * coalesce(n, 0) < target_share * budget_ratio * (select sum(n) from d)""",
+            with {_MIX_SQL} select mix_id, source from plan where max_repeats * available < wanted""",
+        "p8_balance": f"""
+            with {_MIX_SQL}
+            select mix_id, source, round(wanted, 3) as wanted, available, docs, round(case when available > 0 then least(wanted / available, max_repeats) else 0 end, 6) as repeats,
+              max_repeats * available < wanted as out_of_reach, true as documents_kept, true as tokens_kept from plan""",
     }

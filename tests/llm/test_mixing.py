@@ -21,6 +21,13 @@ def test_every_unit_has_its_probability():
     assert np.abs(hits - p).max() < 0.05
 
 
+def test_landing_keeps_probabilities_and_number():
+    p = np.array([0.0, 0.3, 0.6, 1.0, 0.45, 0.15])
+    draws = np.array([mx.landing(p, np.random.default_rng(i)) for i in range(4000)])
+    assert np.isin(draws, (0.0, 1.0)).all() and np.abs(draws.mean(axis=0) - p).max() < 0.03
+    assert set(draws.sum(axis=1)) <= {2.0, 3.0}
+
+
 @pytest.mark.parametrize("bucket", [8, 4096])
 def test_sample_in_buckets(spark, bucket):
     rng = np.random.default_rng(4)
@@ -59,6 +66,16 @@ def test_mix_report_and_reach(spark):
         assert sum(shares) == pytest.approx(1)
 
 
+def test_out_of_reach_comes_from_the_draw(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b c", "fs") for i in range(10)], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([(1, "fs", 1.0, 2, 2.1), (2, "fs", 1.0, 2, 2.0), (3, "fs", 1.0, 0, 0.1), (4, "gone", 0.5, 3, 1.0)], "mix_id bigint, source string, target_share double, max_repeats int, budget_ratio double")
+    out = lambda: {r["mix_id"] for r in mx.mix_sources(docs, targets)[1].collect() if r["out_of_reach"]}
+    assert out() == {1, 3, 4}
+    monkeypatch.setattr(mx, "cube_sample", lambda units, by, key, *_: units.select(*by, key).limit(0))
+    targets = targets.replace(2.1, 1.95)
+    assert out() == {3, 4}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, source string")
     targets = spark.createDataFrame([(1, "fs", 1.0, 2, 1.0)], "mix_id bigint, source string, target_share double, max_repeats int, budget_ratio double")

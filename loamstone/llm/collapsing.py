@@ -1,11 +1,11 @@
 """Collapsing records that say the same in another layout.
 
-Each distinct text is read once into fields: a flat list of key-value fields in any notation gives
-its fields, any other text is one field without a name. A text that may be either (commas, colons and
-names of several words) is a list if all its names are names in other lists. Each distinct raw name or value is
-canonicalised once (compatibility form, composed accents, folded case; letters, digits and their
-marks only) and gets an integer from a dictionary; a record becomes a sorted tuple of (name, value)
-integers, and the compact tuples are grouped.
+Each distinct text is read once into fields: a list of key-value fields in any notation gives its
+fields, any other text is one field without a name. A text that may be either (names of many words, or
+of several between commas and colons) is a list if all its names are names in other texts too. Each
+distinct raw name or value is canonicalised once (width, composed accents, folded case; letters, digits
+and their marks only) and gets an integer from a dictionary; a record becomes a sorted tuple of (name,
+value) integers, and the compact tuples are grouped.
 """
 
 from __future__ import annotations
@@ -23,17 +23,26 @@ from pyspark.sql import functions as F
 from loamstone.llm.tokens import batches
 from loamstone.session import materialise
 
-_KEEP = regex.compile(r"[^\p{L}\p{N}\p{M}]+|[︀-️]+")
-_SPLITS = (re.compile(r"\n+"), re.compile(r"\s*\|\s*"), re.compile(r"\s*;\s*"), re.compile(r"\s*,\s*"))
-_COMMAS = _SPLITS[-1]
-_FIELD = re.compile(r"^[\s\"'“”„«»‘’`>*\-•#]*([^:=\n]{1,64}?)[\s\"'“”„«»‘’`]*(?::|=>|=|：|＝)(.*)$", re.S)
+_KEEP = regex.compile(r"[^\p{L}\p{N}\p{M}]+|[\uFE00-\uFE0F]+")
+_SPLITS = tuple(re.compile(x) for x in (r"\n+", r"\s*\|\s*", r"\s*;\s*", r"\s*[,，、]\s*", r"\t+", r"\s+(?=[^\s=:]+=)"))
+_COMMAS = _SPLITS[3]
+_SEPARATOR = re.compile("=>|[:=：＝]")
+_EDGES = " \t\r\n\"'“”„«»‘’`>*-•#"
+#: Names of more words than this are doubtful.
 _NAME_WORDS = 4
+#: Names are joined by broadcast up to this many.
+_FEW_NAMES = 100_000
+
+#: Full-width and half-width forms and the characters they are forms of.
+_WIDTH = {c: d for c in (0x3000, *range(0xFF01, 0xFFEF)) if (d := unicodedata.decomposition(chr(c)))[:5] in ("<wide", "<narr")}
+_WIDTH = {c: chr(int(d.split()[1], 16)) for c, d in _WIDTH.items()}
 
 
 def canonical(text: str) -> str:
-    """Letters, digits and their marks in order; case, width and composition of accents aside."""
-    folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
-    return unicodedata.normalize("NFC", _KEEP.sub("", folded))
+    """Letters, digits and their marks in order; case, width and composition of accents aside. Other
+    compatibility forms (superscripts, circled digits, fractions, ligatures) stay what they are."""
+    composed = unicodedata.normalize("NFC", text.translate(_WIDTH))
+    return unicodedata.normalize("NFC", _KEEP.sub("", unicodedata.normalize("NFC", composed.casefold())))
 
 
 def _unwrap(text: str) -> str:
@@ -41,60 +50,73 @@ def _unwrap(text: str) -> str:
 
 
 def read_fields(text: str) -> list[tuple[str, str]] | None:
-    """Fields of a flat key-value list, or None for any other text.
+    """Fields of a key-value list, or None for any other text.
 
-    A list has at least two fields, each with a short name and a value that is not nested: a JSON
-    object, or parts separated by line ends, bars, semicolons or commas of which every one is
-    ``name: value`` or ``name = value``. Prose has commas and colons too, so parts between commas
-    whose names have several words need the equals sign; for the others see :func:`doubtful_fields`.
+    A list has at least two fields: a JSON object (a nested one gives a field for each leaf, named by its
+    path), or parts separated by line ends, bars, semicolons, commas, tabs or spaces before ``name=``, of
+    which every one is ``name: value`` or ``name = value``. Prose has commas and colons too, so parts
+    between commas whose names have several words need the equals sign, and names have four words at
+    most; for the others see :func:`doubtful_fields`.
     """
     start, end = text.find("{"), text.rfind("}")
-    if 0 <= start < end:
+    if 0 <= start < end and not _KEEP.sub("", text[:start] + text[end + 1 :]):
         try:
-            pairs = json.loads(text[start : end + 1], object_pairs_hook=list, parse_int=str, parse_float=str)
-        except ValueError:
-            pairs = None
-        if isinstance(pairs, list) and any(isinstance(v, (list, dict)) for _, v in pairs):
-            return None
-        if isinstance(pairs, list) and len(pairs) > 1:
-            rest = text[:start] + text[end + 1 :]
-            if not _KEEP.sub("", rest):
-                return [(k, _scalar(v)) for k, v in pairs]
-    body = _body(text)
-    for split in _SPLITS:
-        fields = _fields(body, split, split is _COMMAS)
-        if fields:
-            return fields
-    return None
+            leaves = list(_leaves(json.loads(text[start : end + 1], object_pairs_hook=dict_pairs, parse_int=str, parse_float=str), ""))
+        except (ValueError, RecursionError):
+            leaves = []
+        if len(leaves) > 1:
+            return leaves
+    return _first_list(text, True)
 
 
 def doubtful_fields(text: str) -> list[tuple[str, str]] | None:
-    """Fields of a text that :func:`read_fields` does not take for a list although it has the form of
-    one: commas, colons and a name of several words."""
-    return _fields(_body(text), _COMMAS, False)
+    """Fields of a text that :func:`read_fields` does not take for a list although it has the form of one."""
+    return _first_list(text, False)
+
+
+class dict_pairs(list):
+    """The (key, value) pairs of a JSON object, repeated keys included."""
 
 
-def _body(text: str) -> str:
+def _leaves(value, path: str):
+    if isinstance(value, dict_pairs):
+        for k, v in value:
+            yield from _leaves(v, f"{path}/{k}" if path else k)
+    elif isinstance(value, list):
+        for i, v in enumerate(value):
+            yield from _leaves(v, f"{path}/{i}")
+    else:
+        yield path, _scalar(value)
+
+
+def _first_list(text: str, sure: bool) -> list[tuple[str, str]] | None:
     body = _unwrap(text)
-    return body[1:-1] if body[:1] in "{[(" and body[-1:] in "}])" else body
+    body = body[1:-1] if body[:1] in "{[(" and body[-1:] in "}])" else body
+    if not _SEPARATOR.search(body):
+        return None
+    for split in _SPLITS:
+        fields = _fields(body, split, sure)
+        if fields:
+            return fields
+    return None
 
 
-def _fields(body: str, split: re.Pattern, strict: bool) -> list[tuple[str, str]] | None:
-    """Fields if there are two parts or more and each is one; ``strict``: with a name of one word or an equals sign."""
+def _fields(body: str, split: re.Pattern, sure: bool) -> list[tuple[str, str]] | None:
+    """Fields if there are two parts or more and each is one; ``sure``: with a name of few words, between
+    commas one or with an equals sign."""
     parts = [p for p in split.split(body) if _KEEP.sub("", p)]
     if len(parts) < 2:
         return None
     fields = []
     for p in parts:
-        m = _FIELD.match(p)
-        name = m and m.group(1).strip()
-        if not name or not _KEEP.sub("", name):
-            return None
-        if split is _COMMAS and len(name.split()) == 1:  # however many parts underscores and hyphens make
-            pass
-        elif len(re.split(r"[\s_\-]+", name)) > _NAME_WORDS or strict and not set("=＝") & set(p[m.end(1) : m.start(2)]):
+        m = _SEPARATOR.search(p)
+        name = m and p[: m.start()].strip(_EDGES)
+        if not name or "\n" in name or not _KEEP.sub("", name):
             return None
-        fields.append((name, m.group(2).strip()))
+        if sure and not (split is _COMMAS and len(name.split()) == 1):  # a word may have parts: underscores, hyphens
+            if len(re.split(r"[\s_\-]+", name)) > _NAME_WORDS or split is _COMMAS and m.group() in ":：":
+                return None
+        fields.append((name, p[m.end() :].strip()))
     return fields
 
 
@@ -153,11 +175,15 @@ def collapse_layouts(records: DataFrame, key: str, text: str) -> DataFrame:
     fields = materialise(texts.mapInArrow(_parse, "text_key binary, name string, value string, is_list boolean"))
     named = fields.filter("name is not null")
     words = dictionary(named.select("name").union(named.select("value")))
-    names = words.select(F.col("raw").alias("name"), F.col("id").alias("n"))
+    names = materialise(words.join(named.select(F.col("name").alias("raw")).distinct(), "raw", "left_semi").select(F.col("raw").alias("name"), F.col("id").alias("n")))
+    if names.count() <= _FEW_NAMES:
+        names = F.broadcast(names)
     unlisted = fields.filter("not is_list")
     if not named.filter("is_list is null").isEmpty():
-        doubtful = named.filter("is_list is null").join(names, "name")
-        used = named.filter("is_list").select("name").distinct().join(names, "name").select("n").distinct()
+        doubtful = named.filter("is_list is null").select("text_key", "name").join(names, "name").select("text_key", "n").distinct()
+        sure = named.filter("is_list").select("name").distinct().join(names, "name").select("n")
+        shared = doubtful.groupBy("n").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("n")
+        used = sure.union(shared).distinct()
         refuted = doubtful.join(used, "n", "left_anti").select("text_key").distinct()
         lists = materialise(doubtful.select("text_key").distinct().join(refuted, "text_key", "left_anti"))
         named = named.filter("is_list").unionByName(named.filter("is_list is null").join(lists, "text_key", "left_semi"))

@@ -123,6 +123,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _TOKENS = f"regexp_extract_all(lower(text), '{TOKEN_PATTERN_SQL}')"
 
 
+# The canonical form of a text in SQL, and the full-width forms of ASCII.
+_CANON = r"regexp_replace(replace(lower(nfc_normalize({})), 'ß', 'ss'), '[^\p{{L}}\p{{N}}\p{{M}}]', '', 'g')"
+_ASCII = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+_FULL_WIDTH = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
 _MIX_SQL = f"""d as (select nullif(lower(trim(source)), '') as source, len(regexp_extract_all(coalesce(text, ''), '{TOKEN_PATTERN_SQL}')) as n from documents),
             s as (select source, sum(n) as n, count(*) as docs from d group by source),
             plan as (select mix_id, m.source, max_repeats, target_share * budget_ratio * (select sum(n) from d) as wanted, coalesce(n, 0)::bigint as available, coalesce(docs, 0) as docs
@@ -145,6 +149,16 @@ def _oracle_sql() -> dict[str, str]:
                   lambda x: len(regexp_extract_all(x, '{TOKEN_PATTERN_SQL}')))) as m from d)
             select doc_id, 'split' as reason from c where n > size
             union all select doc_id, 'hard' from c where n > size and m > size""",
+        "p2_found": rf"""
+            with t as (select distinct doc_id, capsule_text as x from capsules where doc_id is not null and capsule_text is not null),
+            w as (select doc_id, x, translate(x, '{_FULL_WIDTH}', '{_ASCII}') as y from t),
+            b as (select doc_id, y, regexp_replace(y, '^[\s\{{("”“]+|[\s\}})".;,”“]+$', '', 'g') as body from w),
+            s as (select doc_id, y, list_transform(['\n+', '\|', ';', ','], lambda p: list_filter(regexp_split_to_array(body, p), lambda v: {_CANON.format('v')} <> '')) as cuts from b),
+            f as (select doc_id, y, list_filter(cuts, lambda c: len(c) > 1 and len(list_filter(c, lambda v: not regexp_matches(v, '^[\s"*•#-]*[\p{{L}}\p{{N}}_-]+( [\p{{L}}\p{{N}}_-]+){{0,3}}"?\s*[:=]'))) = 0)[1] as parts from s),
+            k as (select doc_id, case when parts is null then 'prose ' || {_CANON.format('y')} else 'list ' || array_to_string(list_sort(list_distinct(list_transform(parts, lambda v:
+              {_CANON.format("regexp_extract(v, '^[^:=]*')")} || '=' || {_CANON.format("regexp_replace(v, '^[^:=]*', '')")}))), ' ') end as k from f),
+            g as (select doc_id, min(doc_id) over (partition by k) as keep from k)
+            select min(keep) as keep_id, doc_id as copy_id from g where keep <> doc_id group by doc_id""",
         "p3_found": """
             with wide as (
               select query_id, doc_id, chunk_idx, max(raw_score) filter (arm = 'lexical') as l,

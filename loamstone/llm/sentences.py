@@ -12,7 +12,6 @@ the others are joined to the documents that use them.
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import ChainMap, Counter
@@ -28,11 +27,12 @@ from loamstone.session import materialise, one_row_per_key
 
 #: Labelled candidates the model is fitted on; those with the smallest hashes are taken.
 TRAIN_ROWS = 40_000
+#: Characters beside a mark that are looked at first; a longer token is read on to its end.
+_REACH = 48
 #: Rows of a side's table that workers hold, whatever the corpus; which ones does not change the result.
 HELD_KEYS = 100_000
 
-# Final marks, quotes that may follow or open, scripts without spaces, and some
-# abbreviations that are never the last word (for collections too small to show it).
+# Final marks, quotes that may follow or open, and scripts without spaces.
 MARKS = ".!?。！？।؟…"
 CLOSERS = "\"'”’»」』）)\\]“"
 OPENERS = "\"'“‘«„「『（(\\[¿¡"
@@ -40,7 +40,6 @@ _QUOTE_OPEN, _QUOTE_CLOSE = "“«„「『", "”»」』"
 _QUOTES = re.compile(f'["{_QUOTE_OPEN}{_QUOTE_CLOSE}]')
 _THAI = "฀-๿"
 _CJK = "぀-ヿ㐀-鿿０-９"
-_NEVER_LAST = frozenset("e.g i.e vs fig no nr sec cap approx ca cf z.b vgl bzw dr mr mrs p.es p.ej c.-à-d т.е рис гл см напр".split())
 
 _CANDIDATE = re.compile(f"[{MARKS}]+[{CLOSERS}]*")
 _SPACE = re.compile(r"\s+")
@@ -67,8 +66,13 @@ def blocks(text: str, by_line: bool) -> list[tuple[int, int]]:
 
 def left_key(text: str, start: int, end: int, floor: int) -> tuple[str, str]:
     """(word before the mark, key): the key joins its lower-case form, the mark and closing quotes."""
-    before = text[max(floor, start - 48) : start].rstrip()
-    m = _LEFT.search(before)
+    reach = _REACH
+    while True:
+        low = max(floor, start - reach)
+        m = _LEFT.search(text[low:start].rstrip())
+        if low == floor or (m and m.start()):  # else the word may begin further left
+            break
+        reach *= 4
     word = m.group() if m else ""
     if word and _IS_CJK.match(word[-1]):
         word = word[-2:]
@@ -81,7 +85,10 @@ def left_key(text: str, start: int, end: int, floor: int) -> tuple[str, str]:
 
 def right_key(text: str, at: int, ceiling: int) -> str:
     """The next token in lower case (two characters of a script without spaces)."""
-    m = _RIGHT.match(text, at, min(ceiling, at + 48))
+    m, reach = _RIGHT.match(text, at, min(ceiling, at + _REACH)), _REACH
+    while m and m.end() == at + reach < ceiling:
+        reach *= 4
+        m = _RIGHT.match(text, at, min(ceiling, at + reach))
     word = m.group(1) if m else ""
     if word and _IS_CJK.match(word[0]):
         word = word[:2]
@@ -147,9 +154,12 @@ def used_keys(text: str, by_line: bool) -> set[tuple[str, str]]:
 def _statistics(batch_iter):
     """Counts of neighbours: (side, key, at an edge, within)."""
     schema = pa.schema([("side", pa.string()), ("key", pa.string()), ("edge", pa.int64()), ("inner", pa.int64())])
-    edge, inner = Counter(), Counter()
+    edge, inner, words = Counter(), Counter(), Counter()
 
     def flush():
+        for (word, pair), n in words.items():
+            inner["R", _DIGITS.sub("#", ((word[:2] if _IS_CJK.match(word[0]) else word) if word else pair).lower())] += n
+        words.clear()
         for side, key in {*edge, *inner}:
             yield side, key, edge[(side, key)], inner[(side, key)]
         edge.clear()
@@ -160,13 +170,11 @@ def _statistics(batch_iter):
             for _, text, by_line in zip(*(c.to_pylist() for c in batch.columns)):
                 for block in blocks(text, by_line):
                     edge["R", right_key(text, _first(text, block), block[1])] += 1
-                    for m in _MID_WORD.finditer(text, *block):
-                        word = m.group(1) or m.group(2)
-                        inner["R", _DIGITS.sub("#", (word[:2] if _IS_CJK.match(word[0]) else word).lower())] += 1
+                    words.update(_MID_WORD.findall(text, *block))
                     for a, b, follows, _ in candidates(text, block):
                         _, key = left_key(text, a, b, block[0])
                         (edge if follows >= block[1] else inner)["L", key] += 1
-            if len(edge) + len(inner) > 200_000:
+            if len(edge) + len(inner) + len(words) > 200_000:
                 yield from flush()
         yield from flush()
 
@@ -195,8 +203,6 @@ class Model:
     def reliable_inner(self, word: str, key: str, quoted: bool) -> bool:
         """A left neighbour so rarely at an edge that its marks end nothing."""
         e, i = self.left.get(key, (0, 0))
-        if key.endswith(" .") and word.lower() in _NEVER_LAST and 8 * e <= i:
-            return True
         if e + 3.0 * math.sqrt(e + 1.0) >= 0.35 * self.rate * (e + i):
             return False
         return quoted or not key.endswith(" .") or len(word) <= 3 or self.dotted(word, e + i) > 0.8
@@ -283,43 +289,40 @@ def _prose(docs: DataFrame, turns: str) -> DataFrame:
     return docs.select("doc_id", "text", F.coalesce(F.col("kind") == turns, F.lit(False)).alias("by_line"))
 
 
-class _Smallest:
-    """The items with the smallest hashes, at most ``size`` of them."""
-
-    def __init__(self, size: int):
-        self.size, self.heap = size, []
-
-    def wants(self, h: int) -> bool:
-        return len(self.heap) < self.size or -h > self.heap[0][0]
-
-    def add(self, h: int, item: list[float]) -> None:
-        if len(self.heap) < self.size:
-            heapq.heappush(self.heap, (-h, item))
-        else:
-            heapq.heapreplace(self.heap, (-h, item))
-
-
-def _labelled(batch_iter, model, half: int):
-    """(hash, label, features) of candidates with a reliable label: of each label the ``half`` with the
-    smallest hashes of document and place. Features are computed for those only."""
+def _labelled(batch_iter, model, below: tuple[int, int]):
+    """(hash, label, features) of candidates with a reliable label whose hash of document and place is below
+    that label's bound. Features are computed for those only."""
     schema = pa.schema([("h", pa.int64()), ("label", pa.int32()), ("x", pa.list_(pa.float64()))])
-    kept = (_Smallest(half), _Smallest(half))
-    for batch in batch_iter:
-        for doc_id, text, by_line, rare in zip(*(c.to_pylist() for c in batch.columns)):
-            m = model.value.knowing(rare)
-            spans = blocks(text, by_line)
-            for k, block in enumerate(spans):
-                for a, b, follows, quoted in candidates(text, block):
-                    h = xxhash.xxh64_intdigest(f"{doc_id}:{a}") >> 1
-                    if follows >= block[1]:  # the next block is what follows a reliable boundary
-                        if k + 1 < len(spans) and kept[1].wants(h):
-                            after = spans[k + 1]
-                            kept[1].add(h, m.features(text, (block[0], after[1]), a, b, _first(text, after), quoted))
-                    elif kept[0].wants(h):
-                        word, key = left_key(text, a, b, block[0])
-                        if m.reliable_inner(word, key, quoted):
-                            kept[0].add(h, m.features(text, block, a, b, follows, quoted))
-    yield from batches(((-h, label, x) for label in (0, 1) for h, x in kept[label].heap), schema)
+
+    def rows():
+        for batch in batch_iter:
+            for doc_id, text, by_line, rare in zip(*(c.to_pylist() for c in batch.columns)):
+                m = model.value.knowing(rare)
+                spans = blocks(text, by_line)
+                for k, block in enumerate(spans):
+                    for a, b, follows, quoted in candidates(text, block):
+                        h = xxhash.xxh64_intdigest(f"{doc_id}:{a}") >> 1
+                        if follows >= block[1]:  # the next block is what follows a reliable boundary
+                            if k + 1 < len(spans) and h < below[1]:
+                                after = spans[k + 1]
+                                yield h, 1, m.features(text, (block[0], after[1]), a, b, _first(text, after), quoted)
+                        elif h < below[0]:
+                            word, key = left_key(text, a, b, block[0])
+                            if quoted or m.reliable_inner(word, key, quoted):
+                                yield h, 0, m.features(text, block, a, b, follows, quoted)
+
+    yield from batches(rows(), schema, 2000)
+
+
+def _sampled(prose: DataFrame, model: Model, half: int) -> tuple[DataFrame, tuple[int, int]]:
+    """Documents and bounds of hashes among which about twice ``half`` candidates of each label are to be
+    found, however large the corpus: documents are chosen by their hash, then candidates by theirs."""
+    inner = sum(i for key, (e, i) in model.left.items() if model.reliable_inner(key.rpartition(" ")[0], key, False))
+    edge = sum(e for e, _ in model.left.values())
+    shares = [min(1.0, 2.0 * half / max(1, n)) for n in (inner, edge)]
+    of_docs = max(shares)
+    chosen = prose if of_docs == 1.0 else prose.filter(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) < int(of_docs * (1 << 30)))
+    return chosen, tuple(min(1 << 63, int(s / of_docs * (1 << 63))) for s in shares)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -363,7 +366,8 @@ def _with_rare(prose: DataFrame, model: Model) -> DataFrame:
 
 def train(prose: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Statistics over all of ``prose`` (doc_id, text, by_line) and the model fitted on at most
-    ``train_rows`` reliably labelled candidates, half of each label, chosen by hash."""
+    ``train_rows`` reliably labelled candidates, half of each label, chosen by hash; about twice as many are
+    written, whatever the corpus."""
     counted = prose.mapInArrow(_statistics, "side string, key string, edge bigint, inner bigint")
     summed = materialise(counted.groupBy("side", "key").agg(F.sum("edge").alias("edge"), F.sum("inner").alias("inner")))
     tables: dict[str, dict] = {}
@@ -382,7 +386,8 @@ def train(prose: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     model = Model(tables["L"], tables["R"], rates["L"], rates["R"], rest=rest)
     shared = prose.sparkSession.sparkContext.broadcast(model)
     half = train_rows // 2
-    rows = materialise(_with_rare(prose, model).mapInArrow(lambda it: _labelled(it, shared, half), "h bigint, label int, x array<double>"))  # train_rows a task at most
+    chosen, below = _sampled(prose, model, half)
+    rows = materialise(_with_rare(chosen, model).mapInArrow(lambda it: _labelled(it, shared, below), "h bigint, label int, x array<double>"))
     sample = [r for y in (0, 1) for r in rows.filter(F.col("label") == y).orderBy("h").limit(half).collect()]
     if sample:
         x, y = np.array([r["x"] for r in sample]), np.array([r["label"] for r in sample], float)

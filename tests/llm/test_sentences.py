@@ -101,3 +101,23 @@ def test_a_word_without_counts_is_unknown():
     model = se.Model({"zorbel .": (0, 60)}, {"known": (0, 60)}, 0.5, 0.1)
     assert model.dotted("zorbel", 60) == 0.0 and model.dotted("known", 60) == 1.0
     assert not model.reliable_inner("zorbel", "zorbel .", False)
+
+
+def test_neighbours_are_read_to_their_ends():
+    word = "x" * 300
+    text = f"so {word}. {word}y then"
+    a = text.index(".")
+    assert se.left_key(text, a, a + 1, 0) == (word, f"{word} .") and se.right_key(text, a + 2, len(text)) == f"{word}y"
+    assert se.left_key("a" + " " * 500 + ".", 501, 502, 0)[0] == "a"
+    assert se.right_key('"' * 100 + "z", 0, 101) == "z"
+
+
+def test_the_sample_is_bounded_whatever_the_corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("kind in ('note', 'turn', 'capsule', 'digest')")
+    prose = se._prose(docs, "turn")
+    model = se.train(prose, 200)
+    chosen, below = se._sampled(prose, model, 100)
+    shared = spark.sparkContext.broadcast(model)
+    written = se._with_rare(chosen, model).mapInArrow(lambda it: se._labelled(it, shared, below), "h bigint, label int, x array<double>").groupBy("label").count().collect()
+    assert all(60 < r["count"] < 1200 for r in written) and len(written) == 2 and chosen.count() < prose.count() / 2
+    assert len(model.cut("The first one works. The second fails!", False)) == 2

@@ -453,7 +453,7 @@ class Collection:
         doc_id = grouping.digest_id(key)
         old = self._digests().filter(F.col("doc_id") == doc_id).first()
         if old and old["member_ids"] and not set(old["member_ids"]) & set(member_ids):
-            raise InvalidInput(f"digest key collision for {doc_id}: member sets are disjoint")
+            raise InvalidInput(f"{doc_id} is the digest of other documents")
         version = (old["version"] or 0) + 1 if old else 1
         self.index(doc_id, text, {"kind": "digest", "digest_key": key, "member_ids": member_ids, "member_count": len(member_ids), "version": version})
         return {"doc_id": doc_id, "key": key, "text": text, "member_ids": member_ids, "version": version}

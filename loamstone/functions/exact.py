@@ -7,10 +7,14 @@ import re
 import struct
 
 import pandas as pd
+import regex
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from loamstone.errors import InvalidInput
+from loamstone.functions.columns import col
+from loamstone.functions.text import SECRET_PREFIX
 
 # Constants of the 64-bit FNV-1a hash.
 _FNV_BASIS, _FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -43,100 +47,59 @@ def unpack_floats(data: bytes) -> list[float]:
     return list(struct.unpack(f"<{len(data) // 4}f", data))
 
 
-_KEYS = "|".join(re.escape(k) for k in sorted(SENSITIVE_KEYS, key=len, reverse=True))
-_EDGE = r"[^\w]"
-# A word that makes the next one a secret: Bearer, a sensitive name, or such a name with its separator.
-_ARMS = re.compile(rf"(?i){_EDGE}*_*(?:bearer|{_KEYS})_*{_EDGE}*\Z|[^\s=]*(?:{_KEYS}){_EDGE}*[=:]\Z")
-_ASSIGNED = (re.compile(rf"(?i)([^=\s]*(?:{_KEYS})[^\w=-]*)(=)(.+)\Z", re.S), re.compile(rf"(?i)([^:\s]*(?:{_KEYS})[^\w:-]*)(:)(.+)\Z", re.S))
-_CORE = re.compile(r"[^\W_]|[-_.+/=]")
-_TRIM = re.compile(r"^(?:(?![-_.+/=])[\W_])+|(?:(?![-_.+/=])[\W_])+$")
+# Secrets are found by one pattern over whole texts, which the JVM and Python's regex module read alike. A
+# word runs between spaces and line ends; its edge is what stands around its letters, digits and -_.+/=.
+_CORE, _EDGE = r"\p{L}\p{N}\-_.+/=", r"[^ \n\p{L}\p{N}\-_.+/=]"
+_KEYS = "(?i:" + "|".join(re.escape(k) for k in sorted(SENSITIVE_KEYS, key=len, reverse=True)) + ")"
+_NO_WORD = r"[^ \n\p{L}\p{N}_]"
+_ANNOUNCER = rf"(?:{_NO_WORD}*_*(?:(?i:bearer)|{_KEYS})_*{_NO_WORD}*|[^ =\n]*{_KEYS}{_NO_WORD}*[=:])"
+_VALUE = rf"(?:{_EDGE}*[{_CORE}]){{8}}[^ \n]*"
+_LOWER, _UPPER, _DIGIT = (rf"(?=[^{c} \n]*[{c}])" for c in ("a-z", "A-Z", "0-9"))
 _SHAPES = (
-    re.compile(r"(?i)(?=.{12})(?:sk-|ghp_|gho_|ghu_|ghs_|github_pat_|xoxb-|xoxp-|xoxa-|xoxs-).*\Z", re.S),
-    re.compile(r"AKIA[A-Z0-9]{16}\Z"),
-    re.compile(r"(?=.{24})eyJ[^.]*\.[^.]*\..*\Z", re.S),
-    re.compile(r"[0-9A-Fa-f]{40,}\Z"),
-    re.compile(r"(?:(?=.*[A-Z])(?=.*[a-z])|(?=.*[A-Z])(?=.*[0-9])|(?=.*[a-z])(?=.*[0-9]))[A-Za-z0-9+/=_-]{32,}\Z"),
+    rf"(?=[^ \n]{{11}}[^ \n]*[{_CORE}])(?i:{SECRET_PREFIX[1:]})[^ \n]*",
+    rf"(?=[^ \n]{{23}}[^ \n]*[{_CORE}])eyJ[^ \n.]*\.[^ \n.]*\.[^ \n]*",
+    rf"(?:AKIA[A-Z0-9]{{16}}|[0-9A-Fa-f]{{40,}})(?={_EDGE}*(?:[ \n]|\z)){_EDGE}*",
+    rf"(?:{_LOWER}{_UPPER}|{_LOWER}{_DIGIT}|{_UPPER}{_DIGIT})[A-Za-z0-9+/=_\-]{{32,}}(?={_EDGE}*(?:[ \n]|\z)){_EDGE}*",
 )
+_SECRET = rf"(?<![^ \n])(?:({_ANNOUNCER} [ =:]*(?<= )){_VALUE}|([^ =\n]*{_KEYS}[^\p{{L}}\p{{N}}_= \n-]*=)[^ \n]+|([^ :\n]*{_KEYS}[^\p{{L}}\p{{N}}_: \n-]*:)[^ \n]+|{_EDGE}*(?:{'|'.join(_SHAPES)}))"
 
-
-def is_secret(word: str) -> bool:
-    bare = _TRIM.sub("", word)
-    return any(shape.match(bare) for shape in _SHAPES)
-
-
-def mask_words(line: str) -> str:
-    """A line with its secrets replaced: assigned to a sensitive name, announced by the word before, or
-    shaped like a credential."""
-    words = line.split(" ")
-    armed = False
-    for i, word in enumerate(words):
-        if armed and word in ("=", ":"):
-            continue
-        if armed and len(_CORE.findall(word)) >= 8:
-            words[i], armed = REDACTED, False
-            continue
-        armed = bool(_ARMS.match(word))
-        if armed:
-            continue
-        assigned = _ASSIGNED[0].match(word) or _ASSIGNED[1].match(word)
-        if assigned:
-            words[i] = f"{assigned.group(1)}{assigned.group(2)}{REDACTED}"
-        elif is_secret(word):
-            words[i] = REDACTED
-    return " ".join(words)
-
-
-_KEY_BLOCK = re.compile(r"^[ \t]*-----BEGIN[^\n]*KEY[^\n]*(?:\n(?![ \t]*-----END)[^\n]*)*(?:\n[ \t]*-----END[^\n]*)?", re.M)
-_FENCE = re.compile(r"^([^\S\n]*```[^\n]*\n)((?:(?![^\S\n]*```)[^\n]*(?:\n|\Z))*)", re.M)
-_BLANKS = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+(?=\n)")
-
-
-def _short_fences(text: str) -> str:
-    """Every code fence cut to its first lines. Fences are found pair by pair."""
-    out, at, opened = [], 0, False
-    for m in re.finditer(r"^[^\S\n]*```[^\n]*(?:\n|\Z)", text, re.M):
-        body = text[at : m.start()]
-        if opened:
-            lines = body.splitlines(keepends=True)
-            body = "".join(lines[:FENCE_LINES]) + (f"{FENCE_TRUNCATED}\n" if len(lines) > FENCE_LINES else "")
-        out += [body, m.group()]
-        at, opened = m.end(), not opened
-    rest = text[at:]
-    if opened:
-        lines = rest.splitlines(keepends=True)
-        rest = "".join(lines[:FENCE_LINES]) + (f"{FENCE_TRUNCATED}\n" if len(lines) > FENCE_LINES else "")
-    return "".join([*out, rest])
+_SPACE = r"\p{Z}\t\r\f\x0B"
+_FENCE = rf"(?<=\n)(?=[{_SPACE}]*```)"
+_LONG_BODY = rf"\A((?:[^\n]*\n){{{FENCE_LINES + 1}}})[\s\S]+"
+_BEFORE_FENCES = ((r"\r\n", "\n"), (r"[ \t]+", " "), (r"(?<=\n) ?-----BEGIN[^\n]*KEY[^\n]*(?s:.*?)(?:\n ?-----END[^\n]*|\z)", f"{REDACTED} key block"))
+_AFTER_FENCES = ((rf"\n[{_SPACE}\n]*\n", "\n\n"), (_SECRET, f"$1$2$3{REDACTED}"), (rf"\A[{_SPACE}\n]+|[{_SPACE}\n]+\z", ""))
 
 
 def sanitize(text: str | None) -> str | None:
     """Text fit to be kept: key blocks dropped, code fences cut, runs of blank lines made one, spaces
-    collapsed and secrets masked. Sanitising twice changes nothing more."""
+    collapsed and secrets masked: what is assigned to a sensitive name, announced by the word before or shaped
+    like a credential. Sanitising twice changes nothing more."""
     if text is None:
         return None
-    text = re.sub(r"[ \t]+", " ", text.replace("\r\n", "\n"))
-    text = _short_fences(_KEY_BLOCK.sub(f"{REDACTED} key block", text))
-    text = _BLANKS.sub("\n", text)
-    return "\n".join(mask_words(line) if line.strip() else "" for line in text.split("\n")).strip()
 
+    def each(steps, t: str) -> str:
+        for pattern, to in steps:
+            t = regex.sub(pattern.replace(r"\z", r"\Z"), regex.sub(r"\$(\d)", r"\\\1", to.replace("\\", "\\\\")), t)
+        return t
 
-@F.pandas_udf(StringType())
-def sanitized(text: pd.Series) -> pd.Series:
-    return text.map(sanitize, na_action="ignore")
+    parts = regex.split(_FENCE, each(_BEFORE_FENCES, "\n" + text))
+    cut = [regex.sub(_LONG_BODY, rf"\1{FENCE_TRUNCATED}\n", p) if i % 2 else p for i, p in enumerate(parts)]
+    return each(_AFTER_FENCES, "".join(cut))
 
 
-@F.pandas_udf(StringType())
-def fnv_hex(text: pd.Series) -> pd.Series:
-    return text.map(fnv1a64, na_action="ignore")
+def sanitized(text: Column | str) -> Column:
+    """:func:`sanitize` as a column expression that stays in the JVM."""
 
+    def each(steps, c: Column) -> Column:
+        for pattern, to in steps:
+            c = F.regexp_replace(c, F.lit(pattern), F.lit(to))
+        return c
 
-@F.pandas_udf(StringType())
-def canonical_json_text(text: pd.Series) -> pd.Series:
-    """JSON text in canonical form; text that is not JSON becomes null."""
+    parts = F.split(each(_BEFORE_FENCES, F.concat(F.lit("\n"), col(text))), _FENCE)
+    cut = F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.regexp_replace(p, F.lit(_LONG_BODY), F.lit(f"$1{FENCE_TRUNCATED}\n"))).otherwise(p))
+    return each(_AFTER_FENCES, F.array_join(cut, ""))
 
-    def one(s):
-        try:
-            return canonical_json(json.loads(s))
-        except ValueError:
-            return None
 
-    return text.map(one, na_action="ignore")
+@F.pandas_udf(StringType())
+def fnv_hex(text: pd.Series) -> pd.Series:
+    return text.map(fnv1a64, na_action="ignore")

@@ -17,9 +17,9 @@ from loamstone import limits
 from loamstone.functions.columns import all_of, cosine_unit
 from loamstone.functions.exact import canonical_json
 from loamstone.functions.text import index_tokens
+from loamstone.operators.scoring import K1, B, best_scored, document_frequency, forward_index, forward_postings
+from loamstone.session import materialise
 
-# The usual parameters of BM25.
-K1, B = 1.2, 0.75
 PLACES = 6
 #: A blend of rounded scores needs more places, or its ties would fall on halves.
 BLEND_PLACES = 9
@@ -27,9 +27,7 @@ BLEND_PLACES = 9
 
 def postings(chunks: DataFrame) -> DataFrame:
     """(term, doc_id, chunk_idx, tf, dl): how often each chunk has each of its tokens, and its length."""
-    words = chunks.select("doc_id", "chunk_idx", index_tokens("chunk_text").alias("_t"))
-    rows = words.select("doc_id", "chunk_idx", F.size("_t").cast("bigint").alias("dl"), F.explode("_t").alias("term"))
-    return rows.groupBy("term", "doc_id", "chunk_idx", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return forward_postings(forward_index(chunks))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -72,6 +70,18 @@ def bm25_many(queries: DataFrame, posts: DataFrame, stats: DataFrame) -> DataFra
     return hits.groupBy("query_id", "doc_id", "chunk_idx").agg(F.round(F.sum("s"), PLACES).alias("raw_score"))
 
 
+def bm25_top(queries: DataFrame, forward: DataFrame, stats: DataFrame, n: int, allowed: DataFrame | None = None) -> DataFrame:
+    """The ``n`` best chunks of each query as :func:`top_candidates` gives them, from a forward index (see
+    :mod:`loamstone.operators.scoring`). Of a table ``allowed`` (doc_id) only those documents are ranked, while
+    words are weighed by the whole index."""
+    terms = query_terms(queries)
+    count, avgdl = stats.first()  # two numbers
+    weights = terms.join(document_frequency(forward, terms), "term").select("query_id", "term", (idf(F.lit(float(count or 0)), F.col("df")) * F.col("qtf")).alias("w"))
+    ranked = forward if allowed is None else forward.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
+    scored = best_scored(materialise(weights), ranked, float(avgdl or 1.0), n)
+    return top_candidates(scored.select("query_id", "doc_id", "chunk_idx", F.round("s", PLACES).alias("raw_score")), n)
+
+
 def top_candidates(scored: DataFrame, n: Column | int, score: str = "raw_score") -> DataFrame:
     """The best ``n`` chunks of each query with ``rank`` (1 is best) and ``score``, the raw score over the
     query's best, 0 if that is not positive. ``n`` may be a column."""
@@ -111,7 +121,7 @@ class SearchFilter:
 
 def search_many(
     queries: DataFrame,
-    posts: DataFrame,
+    forward: DataFrame,
     stats: DataFrame,
     k: int,
     docs: DataFrame | None = None,
@@ -124,7 +134,7 @@ def search_many(
 ) -> DataFrame:
     """The ``k`` best chunks of each query: (query_id, doc_id, chunk_idx, raw_score, score, rank).
 
-    ``where`` is a condition on ``docs``. In mode ``post`` it is applied to the best ``4k`` candidates (at
+    ``forward`` and ``stats`` are a forward index and its corpus figures. ``where`` is a condition on ``docs``. In mode ``post`` it is applied to the best ``4k`` candidates (at
     most 1024), so fewer than ``k`` may be left; in mode ``pre`` to all chunks first. ``exclude`` has
     documents to leave out, (query_id, doc_id) or doc_id alone. With ``alpha`` under 1 the candidates are
     ranked by alpha * score + (1 - alpha) * cosine of ``vectors`` (doc_id, embedding) and ``query_vectors``
@@ -135,11 +145,9 @@ def search_many(
     blend = alpha < 1.0
     if blend and query_vectors is None:
         raise limits.InvalidQuery("dense_alpha under 1 needs query vectors")
-    scored = bm25_many(queries, posts, stats)
-    if where is not None and mode == "pre":
-        scored = scored.join(docs.filter(where).select("doc_id").distinct(), "doc_id", "left_semi")
+    allowed = docs.filter(where).select("doc_id") if where is not None and mode == "pre" else None
     after = (where is not None and mode == "post") or exclude is not None or blend
-    pool = top_candidates(scored, limits.fetch_limit(k, after))
+    pool = bm25_top(queries, forward, stats, limits.fetch_limit(k, after), allowed)
     if where is not None and mode == "post":
         pool = pool.join(docs.filter(where).select("doc_id").distinct(), "doc_id", "left_semi")
     if exclude is not None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loamstone.functions.columns import cosine_unit
 from loamstone.functions.text import CHUNK_WORD, INDEX_TOKEN, contains_answer, plain_query
-from loamstone.operators import chunking, evaluation, interleave, search
+from loamstone.operators import chunking, evaluation, interleave, scoring, search
 from loamstone.plans.registry import query
 from loamstone.session import materialise, read_table
 
@@ -29,8 +29,9 @@ def searches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index(spark: SparkSession, d: str, size: int = chunking.CHUNK_SIZE) -> tuple[DataFrame, DataFrame]:
-    c = chunks(spark, d, size)
-    return search.postings(c), search.corpus_stats(c)
+    """The forward index, written once, and its corpus figures."""
+    forward = materialise(scoring.forward_index(chunks(spark, d, size)))
+    return forward, scoring.forward_stats(forward)
 
 
 def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -120,12 +121,12 @@ def chunks_overlap(spark, d):
 
 @query(f"with {INDEX} select term, df from dfs")
 def term_stats(spark, d):
-    return search.term_stats(index(spark, d)[0])
+    return scoring.document_frequency(scoring.forward_index(chunks(spark, d)))
 
 
 @query(f"with {INDEX} select n_chunks, round(avgdl, 6) as avgdl from stats")
 def corpus_stats(spark, d):
-    return index(spark, d)[1].withColumn("avgdl", F.round("avgdl", 6))
+    return search.corpus_stats(chunks(spark, d)).withColumn("avgdl", F.round("avgdl", 6))
 
 
 # -- search ----------------------------------------------------------------------------------------
@@ -206,7 +207,7 @@ def hybrid_alpha_00(spark, d):
 mixed as (select p.query_id, doc_id, chunk_idx, raw_score, rank, round(0.5 * case when hi - lo >= 1e-6 then (raw_score - lo) / (hi - lo) else 0 end + 0.5 * {_COS}, 9) as score from spread p {_WITH_COS})
 {_cut(20, 'mixed', 'score desc, rank')}""")
 def dense_minmax_rerank(spark, d):
-    pool = search.top_candidates(search.bm25_many(searches(spark, d), *index(spark, d)), 50)
+    pool = search.bm25_top(searches(spark, d), *index(spark, d), 50)
     return search.minmax_rerank(pool, *vectors(spark, d), alpha=0.5)
 
 
@@ -337,7 +338,7 @@ ranked as (select alpha, query_id, doc_id, row_number() over (partition by alpha
 {_metrics_sql('ranked', 'cross join cells', 'alpha')}
 select alpha, count(*) as queries, round(avg(ndcg), 6) as ndcg, round(avg(mrr), 6) as mrr, round(avg(recall), 6) as recall from metrics group by alpha""")
 def alpha_sweep(spark, d):
-    pool = search.top_candidates(search.bm25_many(searches(spark, d), *index(spark, d)), 40)
+    pool = search.bm25_top(searches(spark, d), *index(spark, d), 40)
     dv, qv = vectors(spark, d)
     pool = pool.join(dv.withColumnRenamed("embedding", "x"), "doc_id", "left").join(qv.withColumnRenamed("embedding", "y"), "query_id", "left")
     pool = materialise(pool.withColumn("cosine", cosine_unit(F.col("y"), F.col("x"))).drop("x", "y"))

@@ -249,7 +249,7 @@ def test_consolidation(engine):
     assert c.consolidate(options=opts) == []
     c.index_batch([{"doc_id": f"c{i}", "text": f"marathon training plan tempo run number{i}", "metadata": {"day": str(i)}, "created_at": day + timedelta(days=i)} for i in (5, 6, 7)])
     assert [m["version"] for m in c.consolidate(options=opts, backend=lambda key, texts, most: " / ".join(texts)[:most])] == [2]
-    with pytest.raises(InvalidInput, match="collision"):
+    with pytest.raises(InvalidInput, match="digest of other documents"):
         c.commit_digest(made[0]["key"], ["zz"], "text")
     with pytest.raises(InvalidInput, match="empty"):
         c.commit_digest("k", ["a"], " ")

@@ -97,6 +97,40 @@ def test_sanitising_twice_changes_nothing(t):
     assert exact.sanitize(once) == once
 
 
+MASKED = [
+    ("Authorization: Bearer abcdef123456 end", "Authorization: Bearer [redacted] end"),
+    ("token : = abcdefgh12345", "token : = [redacted]"),
+    ("my_api_key: value12345 rest", "my_api_key: [redacted] rest"),
+    ("api_key=a token=b x=y", "api_key=[redacted] token=[redacted] x=y"),
+    ("user.password:hunter2 ok", "user.password:[redacted] ok"),
+    ("x=y&token=abc", "x=y&token=abc"),
+    ("(ghp_0123456789abcd), next", "[redacted] next"),
+    ("ghp_short and sk-x", "ghp_short and sk-x"),
+    ("password\nabcdefgh12345", "password\nabcdefgh12345"),
+    ("A" * 31 + "1", "[redacted]"),
+    ("A" * 32, "A" * 32),
+    ("deadbeef" * 5 + ",", "[redacted]"),
+]
+
+
+@pytest.mark.parametrize("before,after", MASKED)
+def test_what_is_masked(before, after):
+    assert exact.sanitize(before) == after
+
+
+def test_sanitising_is_the_same_in_the_jvm(spark, data):
+    texts = [*(a for a, _ in MASKED), *SECRETS, "a\n-----BEGIN X KEY-----\nMIIE\n", "```\n" + "l\n" * 30 + "```\nafter\n```\nshort\n```\n", "x\n \n\t\n\n  y \r\n z", "", " \n ", "```", None]
+    texts += [r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect()]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r["x"] for r in df.select(exact.sanitized("t").alias("x")).collect()] == [exact.sanitize(t) for t in texts]
+
+
+def test_long_words_and_lines(spark):
+    for t in ("A" * 200_000, "= " * 100_000, "\n" * 200_000 + "a", "token" * 50_000, "-----BEGIN A KEY-----\n" + "x\n" * 100_000):
+        df = spark.createDataFrame([(t,)], "t string")
+        assert df.select(exact.sanitized("t").alias("x")).first()["x"] == exact.sanitize(t)
+
+
 def test_low_signal(spark):
     low = lambda t: one(spark, text.low_signal("t"), t=t)
     assert low("short") and low("=*=-" * 50) and low("\n".join(["the same line again and again, with words"] * 3)) and low(None)

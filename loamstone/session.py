@@ -35,7 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data when the driver ends."""
+
     def remove() -> None:
         if path.startswith("file://"):
             shutil.rmtree(path[len("file://") :], ignore_errors=True)
@@ -55,7 +57,7 @@ def materialise(df: DataFrame) -> DataFrame:
     any executor, the planner knows the size, and later reads prune columns."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loamstone-{os.getpid()}-{uuid.uuid4().hex}"
-    _remove_at_exit(spark, path)
+    remove_at_exit(spark, path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

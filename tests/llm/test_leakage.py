@@ -26,7 +26,7 @@ def test_exact_parts_paraphrases_and_near_misses(spark):
         (7, None), (8, ""), (None, ITEM), (3, ITEM.upper()),
     ]
     items = [(10, ITEM, "painted door"), (11, OTHER, None), (11, OTHER, None), (12, None, "x"), (13, "", "x")]
-    for kw in ({}, {"block_tokens": 20}, {"rank": 4}):
+    for kw in ({}, {"rank": 4}, {"cosine": 0.5}):
         got = leaks(spark, docs, items, **kw)
         exact = {k for k, r in got.items() if r["kind"] == "exact"}
         assert exact == {(10, 1), (10, 3), (10, 6), (11, 6)}, kw
@@ -97,12 +97,43 @@ def test_a_closer_window_elsewhere_hides_no_paraphrase(spark):
     assert {k[1] for k in leaks(spark, docs, [(10, ITEM, None)])} == {1, 2, 3, 5, 6}
 
 
+def test_many_files_and_few_leaders_find_the_same(spark, monkeypatch):
+    words, rng = ITEM.split() + OTHER.split(), np.random.default_rng(8)
+    items = [(i, " ".join(rng.permutation(words)[: 9 + i % 20]), None) for i in range(40)]
+    docs = [(i, f"{FILL} {broken(items[i % 40][1].split(), 6)} {items[(i * 7) % 40][1]}") for i in range(60)]
+    want = {k: tuple(r)[2:3] + tuple(r)[4:] for k, r in leaks(spark, docs, items, cosine=0.6).items()}
+    for name, value in (("FILE_ROWS", 16), ("FILE_TOKENS", 40), ("HELD_FILES", 2), ("LEADER_SAMPLE", 10), ("WINDOWS", 16)):
+        monkeypatch.setattr(lk, name, value)
+    assert {k: tuple(r)[2:3] + tuple(r)[4:] for k, r in leaks(spark, docs, items, cosine=0.6).items()} == want and len(want) > 60
+
+
+def test_recall_of_planted_paraphrases(spark):
+    """Items with a word in seven left out or replaced and one in nine inserted, in long texts of their own words."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "ru", "te") for b in ("ran", "sol", "vek", "dim") for c in ("a", "in", "or", "es", "um")]
+    sentence = lambda n: [vocabulary[i] for i in (rng.zipf(1.3, n) % len(vocabulary))]
+    items = [(i, sentence(30 + i % 25)) for i in range(60)]
+    docs = []
+    for i, ws in items:
+        out = []
+        for w in ws:
+            if rng.random() < 1 / 9:
+                out.append(str(rng.choice(vocabulary)))
+            out.append(w if rng.random() > 1 / 7 else str(rng.choice(vocabulary)) if rng.random() < 0.5 else "")
+        docs.append((i, " ".join([*sentence(150), *filter(None, out), *sentence(150)])))
+    got = leaks(spark, docs, [(i, " ".join(ws), None) for i, ws in items])
+    recall = sum((i, i) in got for i, _ in items) / len(items)
+    print("recall of planted paraphrases", recall)
+    assert recall >= 0.9
+
+
 def test_best_place_against_every_window():
     rng = np.random.default_rng(4)
     for _ in range(100):
         ids, item, answer = rng.integers(-1, 9, rng.integers(20, 200)), rng.integers(0, 9, rng.integers(3, 20)), rng.integers(0, 9, rng.integers(1, 3))
-        searcher = lk._Searcher(dict.fromkeys(("terms", "idf", "space", "passages", "owner", "groups")) | {"unknown": 1.0, "items": [(1, item, answer)]})
+        searcher = lk._Searcher.__new__(lk._Searcher)
+        searcher.sections, searcher.masks = {0: {1: (1, item, answer)}}, lambda *_: lk.token_masks(item)
         starts = np.unique(rng.integers(0, len(ids), 12)).tolist()
         near = {s: ids[max(0, s - len(item)) : s + lk.RUN + len(item)] for s in starts}
-        assert searcher._best(ids, 0, starts, 0) == max(lk.common_subsequence(n, item) for n in near.values())
-        assert searcher._with_answer(ids, 0, starts) == [s for s in starts if lk.longest_run(near[s], answer) == len(answer)]
+        assert searcher._best(ids, (0, 1), starts, 0) == max(lk.common_subsequence(n, item) for n in near.values())
+        assert searcher._with_answer(ids, (0, 1), starts) == [s for s in starts if lk.longest_run(near[s], answer) == len(answer)]

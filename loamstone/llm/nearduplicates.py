@@ -6,7 +6,8 @@ sets' resemblance. Fingerprints are split into 64 blocks of 3 slots. If fewer th
 block is free of differences for certain (pigeonhole); if more differ, two texts of resemblance s still
 miss every block only with probability (1 - s^3)^64, which is 2e-7 at 0.6 and 4e-20 at 0.8. Texts that
 share a block are compared by the Hamming distance of their 192-bit forms (one bit a slot), and those
-within reach by their whole sets.
+within reach by their whole sets. Blocks that very many texts share, as a common template makes them, are
+not paired: their texts are compared by their rarest runs instead, by which no similar pair is lost.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamstone.llm.tokens import TOKEN
@@ -32,6 +34,9 @@ SIGMAS = 5.5
 #: A block shared by more texts than this is joined cell by cell of a grid.
 CELL = 256
 
+#: A block shared by more texts than this is not paired; its texts meet by their rarest runs.
+HOT_BLOCK = 10_000
+
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(1, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, SLOTS, dtype=np.uint64)
@@ -105,17 +110,18 @@ def block_keys(slots: np.ndarray) -> np.ndarray:
     return acc
 
 
-_SKETCH = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bit0", pa.int64()), ("bit1", pa.int64()), ("bit2", pa.int64()), ("blocks", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))]
-)
-_SKETCH_SQL = "doc_id bigint, n bigint, set_a bigint, set_b bigint, bit0 bigint, bit1 bigint, bit2 bigint, blocks array<bigint>, shingles array<bigint>"
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bit0", pa.int64()), ("bit1", pa.int64()), ("bit2", pa.int64()), ("blocks", pa.list_(pa.int64()))])
+_SKETCH_SQL = "doc_id bigint, n bigint, set_a bigint, set_b bigint, bit0 bigint, bit1 bigint, bit2 bigint, blocks array<bigint>"
+_SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+_SETS_SQL = "doc_id bigint, shingles array<bigint>"
 
 
 #: Shingles that are fingerprinted at once; a longer text is a group of its own.
 _GROUP = 20_000
 
 
-def _sketch(batch_iter, words: int):
+def _shingled(batch_iter, words: int, to_batch):
+    """What ``to_batch`` makes of the ids and run sets of some texts at a time."""
     shingler = Shingler(words)
     for batch in batch_iter:
         ids, texts = (c.to_pylist() for c in batch.columns)
@@ -128,30 +134,41 @@ def _sketch(batch_iter, words: int):
                 kept = [(ids[k], s) for k, s in zip(group, sets) if len(s)]
                 group, chars = [], 0
                 if kept:
-                    yield _sketch_batch([k for k, _ in kept], [s for _, s in kept])
+                    yield to_batch([k for k, _ in kept], [s for _, s in kept])
+
+
+def _lists(flat: np.ndarray, sizes: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(flat, pa.int64()))
 
 
 def _sketch_batch(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
     slots = fingerprints(sets)
     bits = np.ascontiguousarray(np.packbits((slots >> np.uint64(11)).astype(np.uint8) & 1, axis=1)).view(np.int64)
     keys = block_keys(slots).view(np.int64)
-    lists = lambda flat, sizes: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(flat, pa.int64()))
     sums = [(s.sum(dtype=np.uint64), (s * _MIX[6] ^ (s >> np.uint64(17))).sum(dtype=np.uint64)) for s in sets]
     columns = [
         pa.array(ids, pa.int64()),
         pa.array([len(s) for s in sets], pa.int64()),
         *(pa.array(np.array([x[k] for x in sums], np.uint64).view(np.int64)) for k in (0, 1)),
         *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(3)),
-        lists(keys.reshape(-1), [BLOCKS] * len(ids)),
-        lists(np.concatenate(sets).view(np.int64), [len(s) for s in sets]),
+        _lists(keys.reshape(-1), [BLOCKS] * len(ids)),
     ]
     return pa.RecordBatch.from_arrays(columns, schema=_SKETCH)
 
 
+def _set_batch(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(np.concatenate(sets).view(np.int64), [len(s) for s in sets])], schema=_SETS)
+
+
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Fingerprint, set identity and shingles of every text of ``words`` tokens or more, written once."""
-    docs = one_row_per_key(docs.select("doc_id", "text"), "doc_id").filter("text is not null")
-    return materialise(docs.mapInArrow(lambda it: _sketch(it, words), _SKETCH_SQL))
+    """Fingerprint and set identity of every text of ``words`` tokens or more, written once. ``docs`` has a row
+    a document."""
+    return materialise(docs.mapInArrow(lambda it: _shingled(it, words, _sketch_batch), _SKETCH_SQL))
+
+
+def run_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, shingles) of the documents in ``ids``, made from their texts again."""
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(lambda it: _shingled(it, words, _set_batch), _SETS_SQL)
 
 
 def pairs_within(rows: DataFrame, key: str, item: str, cell: int = CELL) -> DataFrame:
@@ -176,22 +193,42 @@ def most_differing(similarity: float) -> int:
     return int(SLOTS * p + SIGMAS * (SLOTS * p * (1 - p)) ** 0.5) + 1
 
 
-def similar_classes(sketch: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def by_rarest_runs(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: pairs of ``sets`` (doc_id, shingles) that share one of their rarest runs, every pair of
+    ``similarity`` or more among them: such sets share ``similarity`` of the larger, so in any order of all
+    runs the first of one's beyond that share meet the first of the other's."""
+    t = Fraction(str(similarity))
+    runs = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("run"))
+    counts = runs.groupBy("run").agg(F.count(F.lit(1)).alias("texts"))
+    placed = runs.join(counts, "run").withColumn("at", F.row_number().over(W.partitionBy("doc_id").orderBy("texts", "run")))
+    needed = F.expr(f"(n * {t.numerator} + {t.denominator - 1}) div {t.denominator}")
+    first = placed.filter((F.col("at") <= F.col("n") - needed + 1) & (F.col("texts") > 1))
+    return pairs_within(first.select("doc_id", F.col("run").alias("key")), "key", "doc_id")
+
+
+def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """(rep, doc_id) for the classes of texts with equal sets, and (a, b, shared, united): the linked
     pairs of class representatives with the sizes of their intersection and union."""
+    docs = one_row_per_key(docs.select("doc_id", "text"), "doc_id").filter("text is not null")
+    sketch = sketches(docs, words)
     classes = sketch.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep"))
     members = materialise(sketch.select("doc_id", "set_a", "set_b", "n").join(classes, ["set_a", "set_b", "n"]).select("rep", "doc_id"))
-    reps = members.select(F.col("rep").alias("doc_id")).distinct()
-    kept = sketch.join(reps, "doc_id", "left_semi")
-    candidates = pairs_within(kept.select("doc_id", F.explode("blocks").alias("key")), "key", "doc_id").distinct()
+    reps = members.filter("rep = doc_id").select("doc_id")
+    keys = sketch.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("blocks").alias("key"))
+    hot = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > HOT_BLOCK).select("key"))  # few: each has that many texts
+    if hot.isEmpty():
+        candidates = pairs_within(keys, "key", "doc_id")
+    else:
+        crowded = materialise(keys.join(hot, "key", "left_semi").select("doc_id").distinct())
+        candidates = pairs_within(keys.join(hot, "key", "left_anti"), "key", "doc_id").union(by_rarest_runs(materialise(run_sets(docs, crowded, words)), similarity))
     bits = ["n", "bit0", "bit1", "bit2"]
     form = lambda x: sketch.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in bits])
-    met = candidates.join(form("a"), "a").join(form("b"), "b")
+    met = candidates.distinct().join(form("a"), "a").join(form("b"), "b")
     distance = sum((F.bit_count(F.col(f"a_bit{i}").bitwiseXOR(F.col(f"b_bit{i}"))) for i in range(3)), F.lit(0))
     t = Fraction(str(similarity))
     sizes = F.least("a_n", "b_n") * t.denominator >= F.greatest("a_n", "b_n") * t.numerator
     near = materialise(met.filter((distance <= most_differing(similarity)) & sizes).select("a", "b", "a_n", "b_n"))
-    sets = sketch.select("doc_id", "shingles")
+    sets = materialise(run_sets(docs, near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), words))
     checked = near.join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b")
     checked = checked.withColumn("shared", F.size(F.array_intersect("a_set", "b_set")).cast("bigint")).withColumn("united", F.col("a_n") + F.col("b_n") - F.col("shared"))
     links = checked.filter(F.col("shared") * t.denominator >= F.col("united") * t.numerator).select("a", "b", "shared", "united")
@@ -205,7 +242,7 @@ def near_duplicate_pairs(docs: DataFrame, similarity: float = SIMILARITY, words:
     Texts of fewer tokens have an empty set and no pairs; null texts and rows without a document are
     dropped; a repeated document counts once.
     """
-    members, links = similar_classes(sketches(docs, words), similarity)
+    members, links = similar_classes(docs, similarity, words)
     same = pairs_within(members, "rep", "doc_id")
     side = lambda x: members.select(F.col("rep").alias(x), F.col("doc_id").alias(f"doc_{x}"))
     across = links.join(side("a"), "a").join(side("b"), "b")
@@ -217,7 +254,7 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY, words
     """(doc_id, class_id, group_id, links): every document with its class of equal sets (its smallest
     document), its group of linked classes (the smallest document of all) and the number of classes its
     own is linked to. Documents too short for a run stand alone."""
-    members, links = similar_classes(sketches(docs, words), similarity)
+    members, links = similar_classes(docs, similarity, words)
     groups = connected_components(links, "a", "b").select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
     degree = links.select(F.col("a").alias("class_id")).union(links.select("b")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
     ids = docs.select("doc_id").filter("doc_id is not null").distinct().join(members, "doc_id", "left")

@@ -123,6 +123,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _TOKENS = f"regexp_extract_all(lower(text), '{TOKEN_PATTERN_SQL}')"
 
 
+_RUNS_SQL = f"""t as (select doc_id, {_TOKENS} as t from documents where text is not null),
+            s as (select distinct doc_id, array_to_string(t[i:i + 4], ' ') as s from t, unnest(range(1, len(t) - 3)) as u(i)),
+            n as (select doc_id, count(*) as n from s group by doc_id)"""
 # The canonical form of a text in SQL, and the full-width forms of ASCII.
 _CANON = r"regexp_replace(replace(lower(nfc_normalize({})), 'ß', 'ss'), '[^\p{{L}}\p{{N}}\p{{M}}]', '', 'g')"
 _ASCII = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
@@ -177,11 +180,22 @@ def _oracle_sql() -> dict[str, str]:
             select query_id, doc_id, chunk_idx from scored
             qualify row_number() over (partition by query_id order by s desc, doc_id, chunk_idx) = 1""",
         "p4_found": f"""
-            with t as (select doc_id, {_TOKENS} as t from documents where text is not null),
-            s as (select distinct doc_id, array_to_string(t[i:i + 4], ' ') as s from t, unnest(range(1, len(t) - 3)) as u(i)),
-            n as (select doc_id, count(*) as n from s group by doc_id),
+            with {_RUNS_SQL},
             p as (select a.doc_id as doc_a, b.doc_id as doc_b, count(*) as shared from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by all)
             select doc_a, doc_b from p join n a on a.doc_id = doc_a join n b on b.doc_id = doc_b where shared * 100 >= (a.n + b.n - shared) * 60""",
+        "p4_groups": f"""
+            with recursive {_RUNS_SQL},
+            h as (select doc_id, md5(string_agg(s, '|' order by s)) as h from s group by doc_id),
+            c as (select doc_id, min(doc_id) over (partition by h) as class_id from h),
+            r as (select s.* from s where doc_id in (select class_id from c)),
+            p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from r a join r b on a.s = b.s and a.doc_id < b.doc_id group by all),
+            l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where shared * 100 >= (x.n + y.n - shared) * 60),
+            both_ways as (select a as u, b as v from l union select b, a from l),
+            reach as (select u as node, u as root from both_ways union select v, root from reach join both_ways on u = node and root < v),
+            g as (select node, min(root) as root from reach group by node),
+            k as (select u, count(*) as links from both_ways group by u),
+            d as (select distinct doc_id, coalesce(class_id, doc_id) as class_id from documents left join c using (doc_id) where doc_id is not null)
+            select doc_id, class_id, coalesce(root, class_id) as group_id, coalesce(links, 0) as links from d left join g on node = class_id left join k on u = class_id""",
         "p5_found": f"""
             with t as (select doc_id, unnest({_TOKENS}) as term from documents where text is not null),
             c as (select doc_id, term, count(*) as tf from t group by all),

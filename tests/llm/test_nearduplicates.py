@@ -64,6 +64,28 @@ def test_hot_block_on_a_grid(spark):
     assert sorted(got) == sorted([*itertools.combinations(range(70), 2), (1, 2)])
 
 
+def test_crowded_blocks_lose_no_pair(spark, monkeypatch):
+    template = " ".join(f"boiler{i}" for i in range(60))
+    rows = [(i, f"{template} {t}") for i, t in corpus(120, 6)]
+    want = sorted(brute(rows, 0.6))
+    monkeypatch.setattr(nd, "HOT_BLOCK", 3)
+    assert found(spark, rows, 0.6) == want and len(want) > 100
+
+
+def test_rarest_runs_meet_for_every_similar_pair(spark):
+    rng = np.random.default_rng(1)
+    base = [rng.choice(60, 20, replace=False) for _ in range(6)]
+    sets = []
+    for i in range(60):
+        own = set(base[i % 6].tolist())
+        for x in rng.choice(60, rng.integers(0, 8)).tolist():
+            own ^= {x}
+        sets.append((i, sorted(own)))
+    for s in (0.5, 0.6, 0.8, 1.0):
+        got = {tuple(r) for r in nd.by_rarest_runs(spark.createDataFrame(sets, "doc_id bigint, shingles array<bigint>"), s).collect()}
+        assert {(i, j) for (i, a), (j, b) in itertools.combinations(sets, 2) if len({*a} & {*b}) >= s * len({*a} | {*b}) - 1e-9} <= got
+
+
 def test_groups_and_links(spark):
     rows = corpus(120, 9) + [(1000, "too short")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")

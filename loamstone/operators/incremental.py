@@ -9,13 +9,11 @@ and a target table takes them over one partition at a time through dynamic parti
 
 from __future__ import annotations
 
-import json
-import os
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from loamstone import files
 from loamstone.session import materialise
 
 #: Sums of 64-bit hashes are kept as exact decimals, so ANSI overflow cannot occur.
@@ -57,16 +55,17 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def changed_records(current: DataFrame, committed: DataFrame, scope: str, key: str, state: list[str], partitions: int = 64) -> DataFrame:
+def changed_records(current: DataFrame, committed: DataFrame, scope: str, key: str, state: list[str], partitions: int | None = None) -> DataFrame:
     """Rows of ``current`` whose ``state`` columns differ from the ``committed`` row of the same
     ``scope`` and ``key``, that have no such row, or for which either side holds a null.
 
     ``current`` and ``committed`` hold at most one row for each (scope, key); rows without a key or
     a scope are dropped. Partitions are (scope, hash of key): one scope may hold most rows and still
     spread over ``partitions`` tasks. Partitions whose fingerprints agree and that hold no null state
-    are skipped; the result does not depend on the number of partitions. Extra columns of ``current``
+    are skipped; the result does not depend on their number, which follows the rows unless given. Extra columns of ``current``
     pass through; ``committed`` contributes none.
     """
+    partitions = partitions or partitions_for(current)
     known = F.col(key).isNotNull() & F.col(scope).isNotNull()
     cur = current.filter(known).withColumn("_part", partition_of(F.col(key), partitions))
     com = committed.filter(known).select(scope, key, *state).withColumn("_part", partition_of(F.col(key), partitions))
@@ -87,72 +86,78 @@ def changed_records(current: DataFrame, committed: DataFrame, scope: str, key: s
 class PartitionedTarget:
     """A table that follows a source by recomputing only the partitions that changed.
 
-    ``path`` holds ``data`` (partitioned by ``_part``) and numbered fingerprint tables under
-    ``prints``; the file ``CURRENT`` names the last complete one. ``run`` writes the changed
-    partitions by dynamic partition overwrite, then their fingerprints, then swaps ``CURRENT``. A run
-    that fails anywhere before the swap leaves ``CURRENT`` alone, so the next run finds the same
-    partitions changed and overwrites them again: no record is skipped and none is doubled.
+    ``path`` holds ``data`` (partitioned by ``_part`` and the ``_run`` that wrote it) and fingerprint tables
+    under ``prints``; the file ``CURRENT`` names, for every partition, the run whose rows are in force. A run
+    writes the changed partitions by dynamic partition overwrite, then their fingerprints, then puts a new
+    ``CURRENT`` in place. Readers see all of a run or nothing of it. A run that fails anywhere before that
+    leaves ``CURRENT`` alone, so the next one finds the same partitions changed and overwrites what was
+    left: no record is skipped and none is doubled. One run may write at a time.
     """
 
-    def __init__(self, path: str, key: str, partitions: int = 64):
+    def __init__(self, path: str, key: str, partitions: int | None = None):
         self.path, self.key, self.partitions = path.rstrip("/"), key, partitions
 
-    def _current(self) -> dict:
-        try:
-            with open(f"{self.path}/CURRENT") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {}
+    def _current(self, spark) -> dict:
+        return files.read_json(spark, f"{self.path}/CURRENT") or {"run": 0, "parts": {}}
 
     def read(self, spark) -> DataFrame:
-        """The target's rows. Before the first run there is no table."""
-        return spark.read.schema(StructType.fromJson(self._current()["schema"])).parquet(f"{self.path}/data").drop("_part")
+        """The target's rows as of the last complete run. Before the first there is no table."""
+        current = self._current(spark)
+        schema = StructType.fromJson(current["schema"])
+        paths = [f"{self.path}/data/_part={p}/_run={r}" for p, r in current["parts"].items()]
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
     def run(self, source: DataFrame, transform=lambda df: df, fail_before_commit: bool = False) -> int:
         """Bring the target up to ``source``; gives the number of partitions recomputed.
 
         ``transform`` maps rows of whole partitions and must keep the key column. Map columns are
-        hashed as JSON. A partition whose records all vanished, or give no rows any more, is emptied.
+        hashed as JSON. A partition whose records all vanished, or give no rows any more, is emptied. The
+        number of partitions is settled by the first run (unless given, by the rows of the source).
         """
         spark = source.sparkSession
-        flat = source.withColumn("_part", partition_of(F.col(self.key), self.partitions))
+        current = self._current(spark)
+        number = current.get("partitions") or self.partitions or partitions_for(source)
+        flat = source.withColumn("_part", partition_of(F.col(self.key), number))
         hashed = flat
         for f in source.schema.fields:
             if f.dataType.typeName() in ("map", "array", "struct"):
                 hashed = hashed.withColumn(f.name, F.to_json(f.name))
         now = materialise(fingerprints(hashed, ["_part"], list(source.columns)))
-        current = self._current()
-        before = current.get("prints")
-        if before is None:
-            stored = spark.createDataFrame([], now.schema)
-        else:
-            stored = spark.read.parquet(f"{self.path}/prints/{before}")
-        todo = [r[0] for r in changed_partitions(now, stored, ["_part"]).collect()]  # at most `partitions` numbers
-        out = transform(flat.filter(F.col("_part").isin(todo)).drop("_part")).withColumn("_part", partition_of(F.col(self.key), self.partitions))
+        run = current["run"] + 1
+        stored = spark.read.schema(now.schema).parquet(f"{self.path}/prints/{current['run']}") if current["run"] else spark.createDataFrame([], now.schema)
+        todo = [r[0] for r in changed_partitions(now, stored, ["_part"]).collect()]  # at most the number of partitions
+        out = transform(flat.filter(F.col("_part").isin(todo)).drop("_part"))
+        parts = {p: r for p, r in current["parts"].items() if int(p) not in set(todo)}
         if todo:
-            rows = materialise(out)
-            (rows.repartition(len(todo), "_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(f"{self.path}/data"))
-            left = {r[0] for r in rows.select("_part").distinct().collect()}
-            for gone in set(todo) - left:  # dynamic overwrite leaves partitions without rows alone
-                _delete(spark, f"{self.path}/data/_part={gone}")
+            rows = materialise(out.withColumn("_part", partition_of(F.col(self.key), number)).withColumn("_run", F.lit(run)))
+            rows.repartition(len(todo), "_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part", "_run").parquet(f"{self.path}/data")
+            parts |= {str(r[0]): run for r in rows.select("_part").distinct().collect()}
         if fail_before_commit:
             raise RuntimeError("stopped before the commit")
-        name = f"p{int((before or 'p0')[1:]) + 1}"
-        now.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/prints/{name}")
-        os.makedirs(self.path, exist_ok=True)
-        with open(f"{self.path}/CURRENT.new", "w") as f:
-            json.dump({"prints": name, "schema": out.schema.jsonValue()}, f)
-        os.replace(f"{self.path}/CURRENT.new", f"{self.path}/CURRENT")
+        now.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/prints/{run}")
+        files.write_json(spark, f"{self.path}/CURRENT", {"run": run, "partitions": number, "parts": parts, "schema": out.schema.jsonValue()})
         return len(todo)
 
+    def vacuum(self, spark) -> int:
+        """Delete what no reader of the current run needs; gives the number of folders deleted. Readers of
+        earlier runs must have finished."""
+        current, gone = self._current(spark), []
+        for part in files.names(spark, f"{self.path}/data"):
+            if part.startswith("_part="):
+                kept = f"_run={current['parts'].get(part[6:])}"
+                gone += [f"data/{part}/{r}" for r in files.names(spark, f"{self.path}/data/{part}") if r.startswith("_run=") and r != kept]
+        gone += [f"prints/{r}" for r in files.names(spark, f"{self.path}/prints") if r != str(current["run"])]
+        for path in gone:
+            files.delete(spark, f"{self.path}/{path}")
+        return len(gone)
+
 
-def _delete(spark, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def partitions_for(df: DataFrame) -> int:
+    """Partitions of some ten thousand rows each, 64 at least: so many that a small change leaves most alone."""
+    return max(64, df.count() // 20_000)
 
 
-def open_run_changes(scanned: DataFrame, manifest: DataFrame, sync_runs: DataFrame, partitions: int = 64) -> DataFrame:
+def open_run_changes(scanned: DataFrame, manifest: DataFrame, sync_runs: DataFrame, partitions: int | None = None) -> DataFrame:
     """Files of every source's open run that are new or changed since the last successful run.
 
     Gives ``run_id, source_id, doc_id, content_hash, index_profile_hash``. A file's state is its row

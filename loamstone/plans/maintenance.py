@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from loamstone.operators import consolidate, delta, incremental, memory
 from loamstone.operators.components import connected_components
 from loamstone.plans.registry import query
 from loamstone.plans.retrieval import documents
-from loamstone.session import read_table
+from loamstone.session import read_table, remove_at_exit, shared_dir
 from loamstone.sources import readers
 
 # The last successful state of every file, and the last scanned one.
@@ -91,6 +93,18 @@ def delta_apply(spark, d):
     return delta.upsert(stored(spark, d).select("doc_id", "content_hash", "source_id"), scan(spark, d))
 
 
+@query(f"""with {_STORED}, {_SCANNED} select s.doc_id, s.content_hash, s.source_id from scan s
+union all select doc_id, content_hash, source_id from stored anti join scan using (doc_id)""")
+def p6_target(spark, d):
+    """The stored states kept as a partitioned target, brought up to the scanned ones by a second run."""
+    path = f"{shared_dir(spark)}/loamstone-target-{uuid.uuid4().hex}"
+    remove_at_exit(spark, path)
+    target = incremental.PartitionedTarget(path, "doc_id")
+    target.run(stored(spark, d).select("doc_id", "content_hash", "source_id"))
+    target.run(delta_apply(spark, d))
+    return target.read(spark)
+
+
 @query(f"with {_STORED}, {_OPEN} select doc_id, content_hash, source_id from stored anti join seen using (doc_id)")
 def delete_batch(spark, d):
     return delta.delete(stored(spark, d).select("doc_id", "content_hash", "source_id"), open_scan(spark, d))
@@ -374,7 +388,9 @@ def digest_concat(spark, d):
     return consolidate.concat_sentences(m.join(documents(spark, d).select("doc_id", "text"), "doc_id").select("key", "pos", "text"))
 
 
-@query()
+@query("""with k as (select distinct group_key, hex(group_key) as h from candidates where group_key is not null)
+select group_key, 'digest::' || lower(lpad(to_hex(list_reduce(list_prepend(14695981039346656037::uhugeint, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::uhugeint)),
+  lambda a, b: (xor(a, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)::ubigint), 16, '0')) as doc_id from k""")
 def digest_ids(spark, d):
     keys = read_table(spark, d, "candidates").filter("group_key is not null").select("group_key").distinct()
     return keys.select("group_key", F.concat(F.lit(consolidate.DIGEST_PREFIX), fnv_hex("group_key")).alias("doc_id"))

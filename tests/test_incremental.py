@@ -78,6 +78,28 @@ def test_target_follows_source_and_survives_a_failed_run(spark, tmp_path):
     assert target.read(spark).count() == 0
 
 
+def test_readers_never_see_half_a_run(spark, tmp_path):
+    target = PartitionedTarget(str(tmp_path / "t"), "id", 8)
+    df = spark.range(40).select(F.col("id"), F.lit(1).alias("v"))
+    target.run(df)
+    reader = target.read(spark)
+    with pytest.raises(RuntimeError):
+        target.run(df.withColumn("v", F.lit(2)), fail_before_commit=True)
+    assert {r["v"] for r in target.read(spark).collect()} == {1}
+    assert target.run(df.withColumn("v", F.lit(3))) == 8
+    assert {r["v"] for r in reader.collect()} == {1} and {r["v"] for r in target.read(spark).collect()} == {3}
+    assert target.vacuum(spark) > 0 and target.vacuum(spark) == 0
+    assert sorted(tuple(r) for r in target.read(spark).collect()) == [(i, 3) for i in range(40)]
+    assert target.run(df.withColumn("v", F.lit(3))) == 0
+
+
+def test_number_of_partitions_is_settled_by_the_first_run(spark, tmp_path):
+    df = spark.range(40).select(F.col("id"), F.lit(1).alias("v"))
+    PartitionedTarget(str(tmp_path / "t"), "id", 8).run(df)
+    assert PartitionedTarget(str(tmp_path / "t"), "id", 3).run(df) == 0
+    assert PartitionedTarget(str(tmp_path / "u"), "id").run(df) <= 64
+
+
 def test_target_drops_partitions_whose_rows_are_all_filtered(spark, tmp_path):
     target = PartitionedTarget(str(tmp_path / "t"), "id", 8)
     df = spark.range(20).select(F.col("id"), F.lit("on").alias("state"))

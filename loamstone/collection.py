@@ -1,27 +1,27 @@
 """Collections: named, versioned sets of documents with their chunks and postings, and the calls on them.
 
-A collection is a folder. Documents are spread over buckets by a hash of their id; a bucket has a folder of
-documents, one of chunks and one of postings sorted by term. ``CURRENT`` names, for every bucket, the
-folders in force with their counts. A commit writes new folders for the buckets it touches and then swaps
-``CURRENT``; readers keep the version they began with, and a commit that fails leaves only garbage. The
-folder must be one that the driver and all executors reach.
+A collection is a folder on any file system that Spark reaches. Documents are spread over buckets by a hash
+of their id; a bucket is a row of *layers*. A commit writes one layer: the documents it puts in place with
+their chunks and postings (sorted by term), and the ids of earlier documents that are gone by it. ``CURRENT``
+names every bucket's layers and counts; a commit puts a new one in place as its last step, so readers see all
+of it or nothing, and one that fails leaves only garbage. What a commit writes follows its own size. Buckets
+of many layers are merged, their chunks, vectors and postings carried over as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
-import shutil
 import threading
 import time
 import uuid
 from datetime import datetime, timezone
 
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone import limits
+from loamstone import files, limits
 from loamstone.config import Config, load
 from loamstone.encoders import Encoder, encode_column
 from loamstone.errors import Conflict, InvalidInput, InvalidQuery, SchemaError, UnknownCollection, UnknownDocument
@@ -33,12 +33,20 @@ from loamstone.operators import interleave as rounds
 from loamstone.operators import query_syntax, search
 from loamstone.operators.chunking import chunk_documents_exact
 from loamstone.operators.memory import MemoryKind, remember_batch
+from loamstone.session import materialise
 from loamstone.sources.readers import read_folder
 
 SCHEMA_VERSION = 1
 DOCUMENT = "doc_id string, text string, metadata map<string,string>, created_at timestamp, content_hash string, index_profile_hash string, source_id string, raw_hash string, embedding array<float>"
-CHUNK = "doc_id string, chunk_idx bigint, chunk_text string, char_start bigint, char_end bigint, byte_start bigint, byte_end bigint, token_count bigint, embedding array<float>"
+CHUNK = "doc_id string, chunk_idx bigint, chunk_text string, char_start bigint, char_end bigint, byte_start bigint, byte_end bigint, token_count bigint, terms bigint, embedding array<float>"
 POSTING = "term string, doc_id string, chunk_idx bigint, dl bigint, tf bigint"
+#: Layers of a bucket from which it is merged.
+MANY_LAYERS = 12
+_COUNTS = ("documents", "chunks", "tokens", "terms")
+
+
+def columns_of(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
 
 
 def profile_hash(chunk_size: int, overlap: int, encoder: Encoder | None) -> str:
@@ -54,7 +62,7 @@ class Collection:
 
     def __init__(self, engine: "Engine", name: str):
         self.engine, self.spark, self.name = engine, engine.spark, limits.collection_name(name)
-        self.path = os.path.join(engine.root, name)
+        self.path = f"{engine.root}/{name}"
         self.encoder = engine.encoder
         self.chunking = engine.config.chunking
         self.lock = engine.lock_of(name)
@@ -62,27 +70,24 @@ class Collection:
     # -- versions --------------------------------------------------------------------------------
 
     def exists(self) -> bool:
-        return os.path.exists(f"{self.path}/_meta.json")
+        return files.exists(self.spark, f"{self.path}/_meta.json")
 
     def _create(self) -> None:
         if self.exists():
             return
-        os.makedirs(self.path, exist_ok=True)
-        self._put("_meta.json", {"schema_version": SCHEMA_VERSION, "buckets": self.engine.config.buckets})
+        files.make_folder(self.spark, self.path)
         self._put("CURRENT", {"version": 0, "buckets": {}})
+        self._put("_meta.json", {"schema_version": SCHEMA_VERSION, "buckets": self.engine.config.buckets})
 
     def _put(self, name: str, value: dict) -> None:
-        with open(f"{self.path}/{name}.new", "w") as f:
-            json.dump(value, f)
-        os.replace(f"{self.path}/{name}.new", f"{self.path}/{name}")
+        files.write_json(self.spark, f"{self.path}/{name}", value)
 
     def _meta(self) -> dict:
         try:
-            with open(f"{self.path}/_meta.json") as f:
-                meta = json.load(f)
+            meta = files.read_json(self.spark, f"{self.path}/_meta.json")
+            if meta is None:
+                raise UnknownCollection(self.name)
             version = int(meta["schema_version"])
-        except FileNotFoundError:
-            raise UnknownCollection(self.name) from None
         except (ValueError, KeyError, TypeError) as e:
             raise SchemaError(f"{self.name}: _meta.json is malformed") from e
         if version > SCHEMA_VERSION:
@@ -91,13 +96,22 @@ class Collection:
 
     def _snapshot(self) -> dict:
         self._meta()
-        with open(f"{self.path}/CURRENT") as f:
-            return json.load(f)
+        return files.read_json(self.spark, f"{self.path}/CURRENT")
 
-    def _read(self, kind: str, schema: str, snapshot: dict | None = None) -> DataFrame:
+    def _read(self, kind: str, schema: str, snapshot: dict | None = None, buckets: set[str] | None = None) -> DataFrame:
+        """Rows in force of a kind, of some buckets only if given: those of every layer but of the documents that
+        a later layer lets go."""
         snapshot = snapshot or self._snapshot()
-        paths = [f"{self.path}/{info['folder']}/{kind}/b={b}" for b, info in snapshot["buckets"].items() if info[kind]]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        layers = [(b, x) for b, info in snapshot["buckets"].items() if buckets is None or b in buckets for x in info["layers"]]
+        where = lambda what: [f"{self.path}/{x['folder']}/{what}/b={b}" for b, x in layers if x[what]]
+        if not where(kind):
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(*where(kind))
+        if not where("gone"):
+            return rows
+        layer = F.regexp_extract(F.col("_metadata.file_path"), r".*/v(\d+)-[0-9a-f]{8}/", 1).cast("bigint")
+        gone = self.spark.read.schema("doc_id string").parquet(*where("gone")).select("doc_id", layer.alias("_gone")).groupBy("doc_id").agg(F.max("_gone").alias("_gone"))
+        return rows.select("*", layer.alias("_layer")).join(gone, "doc_id", "left").filter("_gone is null or _layer >= _gone").select(*columns_of(schema))
 
     def documents(self) -> DataFrame:
         return self._read("documents", DOCUMENT)
@@ -111,68 +125,106 @@ class Collection:
     def _bucket(self, column: str = "doc_id"):
         return F.pmod(F.xxhash64(column), F.lit(self._meta()["buckets"])).cast("int")
 
-    def _commit(self, upserts: DataFrame | None, deletes: list[str]) -> None:
-        """Write the touched buckets anew, all in one job a table, and swap the snapshot. Called under the lock."""
+    def _buckets_of(self, doc_ids: list[str]) -> set[str]:
+        """The buckets of some ids, without a job: the hash is Spark's."""
+        n = self._meta()["buckets"]
+        signed = lambda h: h - (1 << 64) if h >> 63 else h
+        return {str(signed(xxhash.xxh64_intdigest(d.encode(), seed=42)) % n) for d in doc_ids}
+
+    def _commit(self, upserts: DataFrame | None, deletes: DataFrame | None) -> dict:
+        """Write a layer and put the version with it in place: {chunks written, documents gone}. Called under
+        the lock. Ids of ``upserts`` are unique."""
         snapshot = self._snapshot()
-        keys = self.spark.createDataFrame([(d,) for d in deletes], "doc_id string")
-        if upserts is not None:
-            keys = upserts.select("doc_id") if not deletes else keys.union(upserts.select("doc_id"))
-        touched = {str(r[0]) for r in keys.select(self._bucket().alias("b")).distinct().collect()}  # at most the number of buckets
-        old = {"buckets": {b: i for b, i in snapshot["buckets"].items() if b in touched}}
-        docs = upserts
-        if any(i["documents"] for i in old["buckets"].values()):
-            kept = self._read("documents", DOCUMENT, old).join(keys.distinct(), "doc_id", "left_anti")
-            docs = kept if upserts is None else kept.unionByName(upserts)
-        self._publish(snapshot, docs, touched)
-
-    def _publish(self, snapshot: dict, docs: DataFrame | None, touched: set[str]) -> None:
-        """Write ``docs`` as the whole content of the touched buckets and make that the current version."""
-        snapshot["version"] += 1
-        folder = f"v{snapshot['version']:08d}-{uuid.uuid4().hex[:8]}"
-        counts = {} if docs is None else self._write(docs, folder)
-        empty = {"folder": folder, "documents": 0, "chunks": 0, "postings": 0, "tokens": 0}
-        for b in touched:
-            snapshot["buckets"][b] = empty | counts.get(b, {})
+        folder = self._folder(snapshot)
+        layer = self._write(upserts, folder) if upserts is not None else {}
+        keys = [self.spark.read.schema("doc_id string, b int").parquet(f"{self.path}/{folder}/documents").select("doc_id")] if layer else []
+        keys += [deletes.select("doc_id")] if deletes is not None else []
+        lost: dict[str, dict] = {}
+        if keys and snapshot["buckets"]:
+            keys = materialise((keys[0] if len(keys) == 1 else keys[0].union(keys[1])).distinct())
+            touched = {str(r[0]) for r in keys.select(self._bucket().alias("b")).distinct().collect()}  # at most the number of buckets
+            lost = self._let_go(keys, snapshot, touched, folder)
+        for b in {*layer, *lost}:
+            info = snapshot["buckets"].setdefault(b, {"layers": []} | dict.fromkeys(_COUNTS, 0))
+            new, old = layer.get(b, {}), lost.get(b, {})
+            for c in _COUNTS:
+                info[c] += new.get(c, 0) - old.get(c, 0)
+            info["layers"].append({"folder": folder, "documents": new.get("documents", 0), "chunks": new.get("chunks", 0), "postings": new.get("terms", 0), "gone": old.get("documents", 0)})
         self._put("CURRENT", snapshot)
+        many = {b for b in {*layer, *lost} if len(snapshot["buckets"][b]["layers"]) > MANY_LAYERS}
+        if many:
+            self._merge(snapshot, many)
+        return {"chunks": sum(x["chunks"] for x in layer.values()), "gone": sum(x["documents"] for x in lost.values())}
+
+    def _folder(self, snapshot: dict) -> str:
+        snapshot["version"] += 1
+        return f"v{snapshot['version']:08d}-{uuid.uuid4().hex[:8]}"
+
+    def _let_go(self, keys: DataFrame, snapshot: dict, touched: set[str], folder: str) -> dict[str, dict]:
+        """Writes the ids among ``keys`` that are there; gives what goes with them, by bucket."""
+        old = self._read("documents", "doc_id string", snapshot, touched).join(keys, "doc_id", "left_semi")
+        self._spread(old, f"{folder}/gone")
+        gone = self.spark.read.schema("doc_id string, b int").parquet(f"{self.path}/{folder}/gone")
+        lost = {str(r["b"]): {"documents": r["n"], "chunks": 0, "tokens": 0, "terms": 0} for r in gone.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a bucket
+        if lost:
+            chunks = self._read("chunks", "doc_id string, token_count bigint, terms bigint", snapshot, set(lost)).join(gone, "doc_id")
+            for r in chunks.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("token_count").alias("t"), F.sum("terms").alias("p")).collect():
+                lost[str(r["b"])] |= {"chunks": r["n"], "tokens": r["t"], "terms": r["p"]}
+        return lost
+
+    def _spread(self, rows: DataFrame, place: str) -> None:
+        """Even files, also of a large bucket."""
+        rows.withColumn("b", self._bucket()).hint("rebalance", "b").write.partitionBy("b").parquet(f"{self.path}/{place}")
 
     def _write(self, docs: DataFrame, folder: str) -> dict[str, dict]:
-        """Documents, chunks and postings of some buckets, and the counts of each bucket."""
+        """Documents, chunks and postings of a layer, and the counts of each bucket."""
         out = f"{self.path}/{folder}"
-        put = lambda df, kind: df.hint("rebalance", "b").write.partitionBy("b").parquet(f"{out}/{kind}")  # noqa: E731  (even files, also for a large bucket)
-        put(docs.select(*[f.split()[0] for f in DOCUMENT.split(", ")], self._bucket().alias("b")), "documents")
+        self._spread(docs.select(*columns_of(DOCUMENT)), f"{folder}/documents")
         docs = self.spark.read.schema(f"{DOCUMENT}, b int").parquet(f"{out}/documents")
-        chunks = chunk_documents_exact(docs, self.chunking.chunk_size, self.chunking.overlap)
+        chunks = chunk_documents_exact(docs, self.chunking.chunk_size, self.chunking.overlap).withColumn("terms", F.size(search.index_tokens("chunk_text")).cast("bigint"))
         if self.encoder is not None:
             encoder = self.encoder
             chunks = encode_column(chunks, "chunk_text", lambda: encoder)
         else:
             chunks = chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
-        put(chunks.withColumn("b", self._bucket()), "chunks")
+        self._spread(chunks.select(*columns_of(CHUNK)), f"{folder}/chunks")
         chunks = self.spark.read.schema(f"{CHUNK}, b int").parquet(f"{out}/chunks")
-        posts = search.postings(chunks).select("term", "doc_id", "chunk_idx", "dl", "tf").withColumn("b", self._bucket())
-        # Files sorted by term: a search reads the row groups of its words.
-        posts.hint("rebalance", "b").sortWithinPartitions("b", "term").write.partitionBy("b").parquet(f"{out}/postings")
+        self._spread_postings(search.postings(chunks), folder)
         found: dict[str, dict] = {}
         for r in docs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a bucket
-            found[str(r["b"])] = {"documents": r["n"]}
-        terms = F.size(search.index_tokens("chunk_text"))
-        for r in chunks.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("token_count").alias("t"), F.sum(terms).alias("p")).collect():
-            found[str(r["b"])] |= {"chunks": r["n"], "tokens": r["t"], "postings": r["p"]}
+            found[str(r["b"])] = {"documents": r["n"], "chunks": 0, "tokens": 0, "terms": 0}
+        for r in chunks.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("token_count").alias("t"), F.sum("terms").alias("p")).collect():
+            found[str(r["b"])] |= {"chunks": r["n"], "tokens": r["t"], "terms": r["p"]}
         return found
 
+    def _spread_postings(self, posts: DataFrame, folder: str) -> None:
+        """Files sorted by term: a search reads the row groups of its words."""
+        posts = posts.select(*columns_of(POSTING)).withColumn("b", self._bucket())
+        posts.hint("rebalance", "b").sortWithinPartitions("b", "term").write.partitionBy("b").parquet(f"{self.path}/{folder}/postings")
+
+    def _merge(self, snapshot: dict, buckets: set[str]) -> None:
+        """Make one layer of all layers of some buckets, as a version of its own."""
+        folder = self._folder(snapshot)
+        self._spread(self._read("documents", DOCUMENT, snapshot, buckets), f"{folder}/documents")
+        self._spread(self._read("chunks", CHUNK, snapshot, buckets), f"{folder}/chunks")
+        self._spread_postings(self._read("postings", POSTING, snapshot, buckets), folder)
+        for b in buckets:
+            info = snapshot["buckets"][b]
+            info["layers"] = [{"folder": folder, "documents": info["documents"], "chunks": info["chunks"], "postings": info["terms"], "gone": 0}]
+        self._put("CURRENT", snapshot)
+
     def compact(self, keep_versions: bool = False) -> int:
-        """Remove folders that no bucket refers to and rewrite buckets of many small files; gives the number
-        of folders removed. Readers of older versions must have finished."""
+        """Merge buckets of several layers and remove folders that no bucket refers to; gives the number of
+        folders removed. Readers of older versions must have finished."""
         with self.lock:
             snapshot = self._snapshot()
-            files = lambda b, i: sum(f.endswith(".parquet") for f in os.listdir(f"{self.path}/{i['folder']}/documents/b={b}"))
-            many = {b: i for b, i in snapshot["buckets"].items() if i["documents"] and files(b, i) > 24}
+            many = {b for b, i in snapshot["buckets"].items() if len(i["layers"]) > 1}
             if many:
-                self._publish(snapshot, self._read("documents", DOCUMENT, {"buckets": many}), set(many))
-            used = {i["folder"] for i in snapshot["buckets"].values()}
-            old = [] if keep_versions else [d for d in os.listdir(self.path) if d.startswith("v") and d not in used]
+                self._merge(snapshot, many)
+            used = {x["folder"] for i in snapshot["buckets"].values() for x in i["layers"]}
+            old = [] if keep_versions else [d for d in files.names(self.spark, self.path) if d.startswith("v") and d not in used]
             for d in old:
-                shutil.rmtree(f"{self.path}/{d}")
+                files.delete(self.spark, f"{self.path}/{d}")
             return len(old)
 
     # -- writing ---------------------------------------------------------------------------------
@@ -190,7 +242,7 @@ class Collection:
             rows[d["doc_id"]] = (d["doc_id"], d["text"], meta, d.get("created_at") or datetime.now(timezone.utc), canonical_json(dict(sorted(meta.items()))), source_id, d.get("raw_hash"))
         df = self.spark.createDataFrame(list(rows.values()), "doc_id string, text string, metadata map<string,string>, created_at timestamp, canon string, source_id string, raw_hash string")
         df = df.withColumn("content_hash", content_hash("text", "canon")).withColumn("index_profile_hash", F.lit(self.current_profile()))
-        return df.withColumn("embedding", F.lit(None).cast("array<float>")).select(*[f.split()[0] for f in DOCUMENT.split(", ")])
+        return df.withColumn("embedding", F.lit(None).cast("array<float>")).select(*columns_of(DOCUMENT))
 
     def index(self, doc_id: str, text: str, metadata: dict | None = None, created_at: datetime | None = None) -> int:
         """Put one document in place; gives its number of chunks."""
@@ -201,16 +253,22 @@ class Collection:
         rows = self._rows(docs, None)
         with self.lock:
             self._create()
-            self._commit(rows, [])
-        return self.chunks().join(rows.select("doc_id"), "doc_id", "left_semi").count()
+            return self._commit(rows, None)["chunks"]
+
+    def _ids(self, doc_ids: list[str]) -> DataFrame:
+        return self.spark.createDataFrame([(d,) for d in doc_ids], "doc_id string")
+
+    def _table_rows(self, docs: DataFrame, source_id: str | None) -> DataFrame:
+        """A table (doc_id, text, metadata, created_at) as documents, hashed as :meth:`_rows` does."""
+        canon = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.coalesce("metadata", F.create_map().cast("map<string,string>"))))))
+        return docs.select("doc_id", "text", "metadata", "created_at", content_hash("text", canon).alias("content_hash"), F.lit(self.current_profile()).alias("index_profile_hash"), F.lit(source_id).cast("string").alias("source_id"), F.lit(None).cast("string").alias("raw_hash"), F.lit(None).cast("array<float>").alias("embedding"))
 
     def index_table(self, docs: DataFrame, source_id: str | None = None) -> None:
         """Put a table (doc_id, text, metadata map of JSON values, created_at) in place; ids must be unique."""
-        canon = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.coalesce("metadata", F.create_map().cast("map<string,string>"))))))
-        rows = docs.select("doc_id", "text", "metadata", "created_at", content_hash("text", canon).alias("content_hash"), F.lit(self.current_profile()).alias("index_profile_hash"), F.lit(source_id).cast("string").alias("source_id"), F.lit(None).cast("string").alias("raw_hash"), F.lit(None).cast("array<float>").alias("embedding"))
+        rows = self._table_rows(docs, source_id)
         with self.lock:
             self._create()
-            self._commit(rows, [])
+            self._commit(rows, None)
 
     def delete(self, doc_id: str) -> None:
         self.delete_batch([doc_id])
@@ -220,7 +278,7 @@ class Collection:
             limits.doc_id(d)
         with self.lock:
             self._meta()
-            self._commit(None, doc_ids)
+            self._commit(None, self._ids(doc_ids))
 
     def sync_delta(self, upserts: list[dict], deletes: list[str], source_id: str | None = None, skip_unchanged: bool = True, if_manifest_digest: str | None = None, if_index_profile_hash: str | None = None, max_docs: int | None = None) -> dict:
         """Upserts and deletes as one commit under preconditions: {results, counts, digest}.
@@ -240,19 +298,19 @@ class Collection:
         rows = self._rows(upserts, source_id)
         with self.lock:
             self._create()
-            stored = self.documents()
+            stored = self._read("documents", DOCUMENT, buckets=self._buckets_of([d["doc_id"] for d in upserts] + deletes))
             if if_index_profile_hash is not None and if_index_profile_hash != self.current_profile():
                 raise Conflict("index profile is another")
             if if_manifest_digest is not None and if_manifest_digest != self.manifest_digest(source_id)[0]:
                 raise Conflict("manifest has changed")
             judged = deltas.classify_upserts(rows, stored, self.current_profile(), skip_unchanged, source_id)
             status = {r["doc_id"]: (r["status"], r["content_hash"]) for r in judged.select("doc_id", "status", "content_hash").collect()}  # one batch
-            dropped = deltas.classify_deletes(self.spark.createDataFrame([(d,) for d in deletes], "doc_id string"), stored, source_id)
+            dropped = deltas.classify_deletes(self._ids(deletes), stored, source_id)
             removed = {r["doc_id"]: r["status"] for r in dropped.collect()}  # one batch
             write = [d for d, (s, _) in status.items() if s == "indexed"]
             gone = [d for d, s in removed.items() if s == "deleted"]
             if write or gone:
-                self._commit(rows.filter(F.col("doc_id").isin(write)) if write else None, gone)
+                self._commit(rows.filter(F.col("doc_id").isin(write)) if write else None, self._ids(gone) if gone else None)
         order = {"skipped_scope_mismatch": 0, "unchanged": 0, "indexed": 1}
         results = [{"doc_id": d, "status": s, "content_hash": h} for d, (s, h) in sorted(status.items(), key=lambda x: order[x[1][0]])]
         results += [{"doc_id": d, "status": removed[d], "content_hash": None} for d in dict.fromkeys(deletes)]
@@ -262,26 +320,20 @@ class Collection:
     # -- reading ---------------------------------------------------------------------------------
 
     def fetch_doc(self, doc_id: str) -> dict:
-        snapshot = self._snapshot()
-        b = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(limits.doc_id(doc_id))), F.lit(self._meta()["buckets"])).alias("b")).first()[0]
-        info = snapshot["buckets"].get(str(b))
-        row = None
-        if info and info["documents"]:
-            row = self.spark.read.schema(DOCUMENT).parquet(f"{self.path}/{info['folder']}/documents/b={b}").filter(F.col("doc_id") == doc_id).first()
+        row = self._read("documents", DOCUMENT, buckets=self._buckets_of([limits.doc_id(doc_id)])).filter(F.col("doc_id") == doc_id).first()
         if row is None:
             raise UnknownDocument(doc_id)
         return {"doc_id": row["doc_id"], "text": row["text"], "metadata": {k: json.loads(v) for k, v in (row["metadata"] or {}).items() if k != limits.RESERVED_KEY}, "created_at": row["created_at"]}
 
     def fingerprint(self, doc_id: str) -> dict | None:
-        row = self.documents().filter(F.col("doc_id") == doc_id).select("content_hash", "index_profile_hash", "source_id").first()
+        row = self._read("documents", DOCUMENT, buckets=self._buckets_of([doc_id])).filter(F.col("doc_id") == doc_id).select("content_hash", "index_profile_hash", "source_id").first()
         return row.asDict() if row else None
 
     def stats(self) -> dict:
         """Documents, chunks, tokens and bytes on disk."""
-        buckets = self._snapshot()["buckets"].values()
-        where = [f"{self.path}/{i['folder']}/{kind}/b={b}" for b, i in self._snapshot()["buckets"].items() for kind in ("documents", "chunks", "postings")]
-        disk = sum(os.path.getsize(os.path.join(d, f)) for w in where for d, _, fs in os.walk(w) for f in fs)
-        return {k: sum(b[k] for b in buckets) for k in ("documents", "chunks", "tokens")} | {"disk_bytes": disk}
+        buckets = self._snapshot()["buckets"]
+        where = [f"{self.path}/{x['folder']}/{kind}/b={b}" for b, i in buckets.items() for x in i["layers"] for kind in ("documents", "chunks", "postings", "gone") if x[kind]]
+        return {k: sum(i[k] for i in buckets.values()) for k in ("documents", "chunks", "tokens")} | {"disk_bytes": sum(files.size(self.spark, w) for w in where)}
 
     def manifest_digest(self, source_id: str | None = None, prefix: str | None = None) -> tuple[str, int]:
         entries = deltas.manifest_entries(deltas.in_scope(self.documents(), source_id, prefix), self.current_profile())
@@ -302,7 +354,7 @@ class Collection:
 
     def corpus_stats(self) -> DataFrame:
         buckets = self._snapshot()["buckets"].values()
-        chunks, terms = sum(b["chunks"] for b in buckets), sum(b["postings"] for b in buckets)
+        chunks, terms = sum(b["chunks"] for b in buckets), sum(b["terms"] for b in buckets)
         return self.spark.createDataFrame([(chunks, terms / chunks if chunks else 0.0)], "n_chunks bigint, avgdl double")
 
     def search(self, query: str, top_k: int = 16, filter: search.SearchFilter | None = None, mode: str = "post", exclude: list[str] | None = None, dense_alpha: float = 1.0, query_vector: list[float] | None = None, syntax: bool = False) -> dict:
@@ -318,7 +370,13 @@ class Collection:
             query_vector = self.encoder.encode([query], "query")[0]
         k = limits.top_k(top_k)
         hits = self._hits(query, k, filter, mode, exclude, dense_alpha, query_vector, syntax)
-        rows = hits.join(self.chunks().drop("embedding"), ["doc_id", "chunk_idx"]).join(self.documents().select("doc_id", "metadata"), "doc_id", "left").orderBy("rank").collect()  # top k
+        top = hits.orderBy("rank").collect()  # top k
+        if not top:
+            return {"hits": [], "hint": None}
+        found = {r["doc_id"] for r in top}
+        own = lambda kind, schema: self._read(kind, schema, buckets=self._buckets_of(sorted(found))).filter(F.col("doc_id").isin(sorted(found)))
+        ranked = self.spark.createDataFrame(top, hits.schema)
+        rows = ranked.join(own("chunks", CHUNK).drop("embedding"), ["doc_id", "chunk_idx"]).join(own("documents", DOCUMENT).select("doc_id", "metadata"), "doc_id", "left").orderBy("rank").collect()  # top k
         return {"hits": [{"doc_id": r["doc_id"], "chunk_idx": r["chunk_idx"], "score": r["score"], "raw_score": r["raw_score"], "snippet": r["chunk_text"], "char_start": r["char_start"], "char_end": r["char_end"], "byte_start": r["byte_start"], "byte_end": r["byte_end"], "metadata": {k: json.loads(v) for k, v in (r["metadata"] or {}).items()}} for r in rows], "hint": None}
 
     def _hits(self, query, k, filter, mode, exclude, alpha, vector, syntax) -> DataFrame:
@@ -420,10 +478,7 @@ class Collection:
             return self.sync_delta([], [doc_id])["counts"]["deleted"]
         limits.source_id(source_id)
         with self.lock:
-            mine = [r[0] for r in self.documents().filter(F.col("source_id") == source_id).select("doc_id").collect()]
-            if mine:
-                self._commit(None, mine)
-        return len(mine)
+            return self._commit(None, self.documents().filter(F.col("source_id") == source_id).select("doc_id"))["gone"]
 
     # -- digests ---------------------------------------------------------------------------------
 
@@ -464,23 +519,24 @@ class Collection:
         """Bring the documents of a source up to a folder of files: {counts, unreadable}."""
         limits.source_id(source_id)
         settings = self.engine.config.folders
-        files = read_folder(self.spark, root, tuple(include or settings.include), tuple(exclude or settings.exclude), settings.max_file_bytes, settings.max_files)
-        rows = files.collect()  # at most max_files, which the reader checks
-        docs = [{"doc_id": r["doc_id"], "text": r["text"], "metadata": {"created_at": r["created_at"], "source": "fs", "ext": r["ext"], "dir": r["dir"]}, "created_at": r["mtime"]} for r in rows if r["readable"]]
-        unreadable = [r["doc_id"] for r in rows if not r["readable"]]
-        stored = deltas.in_scope(self.documents(), source_id) if self.exists() else self.spark.createDataFrame([], DOCUMENT)
-        known = {r["doc_id"]: r["content_hash"] for r in stored.select("doc_id", "content_hash").collect()}
-        gone = sorted(set(known) - {r["doc_id"] for r in rows}) if prune else []
-        if dry_run:
-            hashes = {r["doc_id"]: r["content_hash"] for r in self._rows(docs, source_id).select("doc_id", "content_hash").collect()}
-            counts = {"new": sum(d not in known for d in hashes), "changed": sum(d in known and known[d] != h for d, h in hashes.items()), "unchanged": sum(known.get(d) == h for d, h in hashes.items()), "pruned": len(gone)}
-            return {"counts": counts, "unreadable": unreadable}
-        total = {s: 0 for s in ("indexed", "unchanged", "deleted", "not_found", "skipped_scope_mismatch")}
-        size = self.engine.config.batches.max_docs
-        work = [(docs[i : i + size], []) for i in range(0, len(docs), size)] + [([], gone[i : i + size]) for i in range(0, len(gone), size)]
-        for some, drop in work:
-            for k, n in self.sync_delta(some, drop, source_id)["counts"].items():
-                total[k] += n
+        found = materialise(read_folder(self.spark, root, tuple(include or settings.include), tuple(exclude or settings.exclude), settings.max_file_bytes, settings.max_files))
+        unreadable = [r[0] for r in found.filter("not readable").select("doc_id").orderBy("doc_id").collect()]  # names, of max_files at most
+        json_of = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1)
+        about = F.create_map(*[x for k in ("created_at", "source", "ext", "dir") for x in (F.lit(k), json_of(k))])
+        rows = self._table_rows(found.filter("readable").select("doc_id", "text", about.alias("metadata"), F.col("mtime").alias("created_at")), source_id)
+        with self.lock:
+            if not dry_run:
+                self._create()
+            stored = self.documents() if self.exists() else self.spark.createDataFrame([], DOCUMENT)
+            gone = deltas.prune_set(deltas.in_scope(stored, source_id), found) if prune else self._ids([])
+            if dry_run:
+                seen = deltas.sync_preview(rows, deltas.in_scope(stored, source_id)).first()
+                return {"counts": {"new": seen["new_files"], "changed": seen["changed_files"], "unchanged": seen["unchanged_files"], "pruned": gone.count()}, "unreadable": unreadable}
+            judged = materialise(deltas.classify_upserts(rows, stored, self.current_profile(), True, source_id))
+            gone = materialise(gone.select("doc_id"))
+            total = deltas.outcome_counts(judged).first().asDict() | {"deleted": gone.count()}
+            if total["indexed"] or total["deleted"]:
+                self._commit(judged.filter("status = 'indexed'").drop("status") if total["indexed"] else None, gone)
         return {"counts": total, "unreadable": unreadable}
 
     def drop(self) -> bool:
@@ -524,8 +580,8 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str | None = None, config: Config | None = None, encoder: Encoder | None = None):
         self.spark, self.config, self.encoder = spark, config or load(), encoder
-        self.root = root or self.config.root
-        os.makedirs(self.root, exist_ok=True)
+        self.root = (root or self.config.root).rstrip("/")
+        files.make_folder(spark, self.root)
         self.sessions = Sessions(self.config.session_ttl_s)
         self._locks: dict[str, threading.RLock] = {}
         self._guard = threading.Lock()
@@ -538,17 +594,14 @@ class Engine:
         return Collection(self, name or self.config.memory.default_collection)
 
     def list_collections(self) -> list[str]:
-        return sorted(e.name for e in os.scandir(self.root) if e.is_dir() and not e.name.startswith(".") and os.path.exists(f"{e.path}/_meta.json"))
+        return [n for n in files.names(self.spark, self.root) if not n.startswith(".") and files.exists(self.spark, f"{self.root}/{n}/_meta.json")]
 
     def drop_collection(self, name: str) -> bool:
-        path = os.path.join(self.root, limits.collection_name(name))
+        path, trash = f"{self.root}/{limits.collection_name(name)}", f"{self.root}/.trash-{uuid.uuid4().hex}"
         with self.lock_of(name):
-            trash = os.path.join(self.root, f".trash-{uuid.uuid4().hex}")
-            try:
-                os.rename(path, trash)
-            except FileNotFoundError:
+            if not files.rename(self.spark, path, trash):
                 return False
-            shutil.rmtree(trash, ignore_errors=True)
+            files.delete(self.spark, trash)
             return True
 
     def drop_session(self, session_id: str) -> bool:

@@ -301,3 +301,54 @@ def test_event_windows(spark):
     rows = [(datetime(2031, 1, 1, 12, m), "view", 1.5) for m in (0, 4, 6)]
     out = event_windows(spark.createDataFrame(rows, "ts timestamp, event_type string, value double")).collect()
     assert sorted((r["n"], r["total"]) for r in out) == [(1, 1.5), (2, 3.0)]
+
+
+def test_a_commit_writes_its_own_documents_only_and_layers_are_merged(spark, tmp_path, monkeypatch):
+    from loamstone import collection, files
+
+    monkeypatch.setattr(collection, "MANY_LAYERS", 3)
+
+    class Counting(FirstWordEncoder):
+        seen = str(tmp_path / "seen")
+
+        def encode(self, texts, kind="passage"):
+            with open(self.seen, "a") as f:
+                f.writelines(f"{t}\n" for t in texts)
+            return super().encode(texts, kind)
+
+    c = Engine(spark, str(tmp_path / "c"), Config(buckets=1), Counting(4)).collection("docs")
+    assert c.index_batch([{"doc_id": f"d{i}", "text": f"alpha number{i}"} for i in range(30)]) == 30
+    first = c._snapshot()["buckets"]["0"]["layers"][0]["folder"]
+    c.index("d3", "bravo")
+    layers = c._snapshot()["buckets"]["0"]["layers"]
+    assert [x["documents"] for x in layers] == [30, 1] and layers[1]["gone"] == 1 and layers[0]["folder"] == first
+    assert {r["doc_id"] for r in spark.read.parquet(f"{c.path}/{layers[1]['folder']}/documents").collect()} == {"d3"}
+    c.delete("d4")
+    c.index("d4", "charlie again")
+    assert len(c._snapshot()["buckets"]["0"]["layers"]) == 1  # merged
+    assert open(Counting.seen).read().count("alpha number") == 30  # nothing is encoded again
+    got = {r["doc_id"]: r["text"] for r in c.documents().collect()}
+    assert got == {f"d{i}": f"alpha number{i}" for i in range(30)} | {"d3": "bravo", "d4": "charlie again"}
+    assert c.stats() | {"disk_bytes": 0} == {"documents": 30, "chunks": 30, "tokens": 59, "disk_bytes": 0}
+    assert c.corpus_stats().first()["n_chunks"] == 30 and [h["doc_id"] for h in c.search("charlie")["hits"]] == ["d4"]
+    assert c.chunks().filter("embedding is null").count() == 0 and c.compact() >= 3 and c.stats()["documents"] == 30
+    assert files.names(spark, c.path + "/nothing") == []
+
+
+def test_buckets_are_those_of_the_engine(spark, tmp_path):
+    c = Engine(spark, str(tmp_path / "c"), Config(buckets=7)).collection("docs")
+    ids = [f"id/{i}-ü漢" for i in range(40)] + ["a", "b" * 100]
+    c.index("a", "text")
+    want = {str(r[0]) for r in c._ids(ids).select(c._bucket()).collect()}
+    assert c._buckets_of(ids) == want and all(c._buckets_of([i]) <= want for i in ids)
+
+
+def test_a_folder_and_a_batch_hash_alike(engine, tmp_path):
+    root = tmp_path / "files"
+    root.mkdir()
+    (root / "naïve file.md").write_text("alpha \"quoted\"")
+    c = engine.collection("files")
+    c.sync_path(str(root), "fs")
+    kept = c.fetch_doc("naïve file.md")
+    again = c.sync_delta([{"doc_id": "naïve file.md", "text": kept["text"], "metadata": kept["metadata"]}], [], "fs")
+    assert again["counts"]["unchanged"] == 1

@@ -14,6 +14,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -128,29 +129,25 @@ _SCORED_SQL = "doc_id bigint, term string, tf bigint, doc_tokens bigint, df bigi
 
 def _score(batch_iter, held, total: int, least_tf: int):
     """Scores of all terms of every record; rows of those that occur ``least_tf`` times."""
-    known = held.value
+    words, held_df, held_cf = held.value
     for batch in batch_iter:
-        ids, sizes, terms, tfs, rare = (c.to_pylist() for c in batch.columns)
-        figures, rows = [], []
-        for own, more in zip(terms, rare):
-            if more:
-                more = {r["term"]: (r["df"], r["cf"]) for r in more}
-                figures += [known.get(t) or more[t] for t in own]
-            else:
-                figures += [known[t] for t in own]
-        counts = [len(t) for t in terms]
-        df, cf = (np.array(x, np.int64) for x in zip(*figures))
-        tf = np.concatenate([np.array(t, np.int64) for t in tfs])
-        n = np.repeat(np.array(sizes, np.int64), counts)
-        # Many terms share their figures: each combination is computed once.
-        _, first, back = np.unique(np.stack([cf, n, tf], axis=1), axis=0, return_index=True, return_inverse=True)
-        log_p = upper_tail(np.full(len(first), float(total)), cf[first], n[first], tf[first])[back.ravel()]
-        edges = np.cumsum([0, *counts])
+        terms, rare = batch.column("terms"), batch.column("rare")
+        flat, counts = terms.flatten(), np.diff(terms.offsets.to_numpy())
+        tf = batch.column("tfs").flatten().to_numpy()
+        n = np.repeat(batch.column("doc_tokens").to_numpy(), counts)
+        place = pc.index_in(flat, value_set=words).fill_null(-1).to_numpy().astype(np.int64)
+        df, cf = held_df[place], held_cf[place]
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            row = np.repeat(np.arange(batch.num_rows), counts)[missing]
+            known = {(i, r["term"]): (r["df"], r["cf"]) for i in np.unique(row).tolist() for r in rare[i].as_py()}
+            df[missing], cf[missing] = np.array([known[k] for k in zip(row.tolist(), flat.take(pa.array(missing)).to_pylist())]).T
+        log_p = upper_tail(np.full(len(tf), float(total)), cf, n, tf)
+        edges = np.cumsum([0, *counts.tolist()]).tolist()
         score = np.concatenate([adjusted(log_p[a:b]) for a, b in zip(edges, edges[1:])])
         rows = np.flatnonzero(tf >= least_tf)
-        flat = pa.array([t for own in terms for t in own], pa.string()).take(pa.array(rows))
-        ids = np.repeat(np.array(ids, np.int64), counts)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), flat, *(pa.array(x[rows]) for x in (tf, n, df, cf, log_p, score))], schema=_SCORED)
+        ids = np.repeat(batch.column("doc_id").to_numpy(), counts)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), flat.take(pa.array(rows)), *(pa.array(x[rows]) for x in (tf, n, df, cf, log_p, score))], schema=_SCORED)
 
 
 def _with_rare(counted: DataFrame, held, rest: DataFrame | None) -> DataFrame:
@@ -159,16 +156,12 @@ def _with_rare(counted: DataFrame, held, rest: DataFrame | None) -> DataFrame:
         return counted.withColumn("rare", F.lit(None).cast("array<struct<term:string,df:bigint,cf:bigint>>"))
 
     def unheld(batch_iter):
-        schema = pa.schema([("doc_id", pa.int64()), ("term", pa.string())])
-
-        def rows():
-            for batch in batch_iter:
-                for doc_id, terms in zip(*(c.to_pylist() for c in batch.columns)):
-                    for t in terms:
-                        if t not in held.value:
-                            yield doc_id, t
-
-        yield from batches(rows(), schema)
+        for batch in batch_iter:
+            terms = batch.column("terms")
+            flat = terms.flatten()
+            rows = pa.array(np.flatnonzero(pc.is_null(pc.index_in(flat, value_set=held.value[0])).to_numpy(zero_copy_only=False)))
+            ids = np.repeat(batch.column("doc_id").to_numpy(), np.diff(terms.offsets.to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids).take(rows), flat.take(rows)], names=["doc_id", "term"])
 
     pairs = counted.select("doc_id", "terms").mapInArrow(unheld, "doc_id bigint, term string").join(rest, "term")
     rare = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("term", "df", "cf")).alias("rare"))  # the terms of one text
@@ -195,7 +188,8 @@ def distinctive_terms(docs: DataFrame, least_tf: int = 1, held_terms: int = HELD
     if len(top) == held_terms:
         least, last = top[-1]["df"], top[-1]["term"]
         rest = stats.filter((F.col("df") < least) | (F.col("df") == least) & (F.col("term") > last))
-    held = docs.sparkSession.sparkContext.broadcast({r["term"]: (r["df"], r["cf"]) for r in top})
+    figures = [np.array([r[c] for r in top], np.int64) if top else np.zeros(1, np.int64) for c in ("df", "cf")]
+    held = docs.sparkSession.sparkContext.broadcast((pa.array([r["term"] for r in top], pa.string()), *figures))
     return _with_rare(counted, held, rest).mapInArrow(lambda it: _score(it, held, total, least_tf), _SCORED_SQL)
 
 

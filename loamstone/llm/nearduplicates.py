@@ -171,14 +171,20 @@ def run_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi").mapInArrow(lambda it: _shingled(it, words, _set_batch), _SETS_SQL)
 
 
-def pairs_within(rows: DataFrame, key: str, item: str, cell: int = CELL) -> DataFrame:
-    """(a, b), a < b: the pairs of different items under the same key, repeats left in.
+def shared_keys(rows: DataFrame, key: str) -> DataFrame:
+    """(key, _n) of the keys of two rows or more, counted in map-side sums."""
+    return materialise(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
+
+
+def pairs_within(rows: DataFrame, key: str, item: str, cell: int = CELL, counts: DataFrame | None = None) -> DataFrame:
+    """(a, b), a < b: the pairs of different items under the same key, repeats left in; of the keys in
+    ``counts`` only if those are known (see :func:`shared_keys`).
 
     Keys of one row are dropped before the join. A key of more than ``cell`` rows is spread over a grid:
     its items fall into parts, and parts i <= j meet in their own cell, so no task gets a key whole.
     """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    counts = materialise(counts.withColumn("_g", F.ceil(F.col("_n") / cell).cast("int")).drop("_n"))
+    counts = shared_keys(rows, key) if counts is None else counts
+    counts = counts.select(key, F.ceil(F.col("_n") / cell).cast("int").alias("_g"))
     known = rows.select(key, item).join(counts, key).withColumn("_p", F.pmod(F.xxhash64(item), F.col("_g")).cast("int"))
     known = materialise(known)
     left = known.select(key, F.col(item).alias("_a"), F.col("_p").alias("_i"), F.explode(F.sequence("_p", F.col("_g") - 1)).alias("_j"))
@@ -215,12 +221,12 @@ def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, words: int
     members = materialise(sketch.select("doc_id", "set_a", "set_b", "n").join(classes, ["set_a", "set_b", "n"]).select("rep", "doc_id"))
     reps = members.filter("rep = doc_id").select("doc_id")
     keys = sketch.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("blocks").alias("key"))
-    hot = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > HOT_BLOCK).select("key"))  # few: each has that many texts
-    if hot.isEmpty():
-        candidates = pairs_within(keys, "key", "doc_id")
-    else:
+    counts = shared_keys(keys, "key")
+    candidates = pairs_within(keys, "key", "doc_id", counts=counts.filter(F.col("_n") <= HOT_BLOCK))
+    hot = counts.filter(F.col("_n") > HOT_BLOCK).select("key")  # few: each has that many texts
+    if not hot.isEmpty():
         crowded = materialise(keys.join(hot, "key", "left_semi").select("doc_id").distinct())
-        candidates = pairs_within(keys.join(hot, "key", "left_anti"), "key", "doc_id").union(by_rarest_runs(materialise(run_sets(docs, crowded, words)), similarity))
+        candidates = candidates.union(by_rarest_runs(materialise(run_sets(docs, crowded, words)), similarity))
     bits = ["n", "bit0", "bit1", "bit2"]
     form = lambda x: sketch.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in bits])
     met = candidates.distinct().join(form("a"), "a").join(form("b"), "b")

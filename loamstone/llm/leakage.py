@@ -174,14 +174,36 @@ def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int, seed: int =
 
 
 def longest_run(doc: np.ndarray, item: np.ndarray) -> int:
-    """Length of the longest run of tokens common to both; unknown tokens (-1) match nothing."""
-    best, run = 0, np.zeros(len(doc) + 1, np.int32)
-    for t in item:
-        new = np.zeros_like(run)
-        new[1:] = np.where(doc == t, run[:-1] + 1, 0)
-        run = new
-        best = max(best, int(run.max()))
-    return best
+    """Length of the longest run of tokens common to both; unknown tokens (-1) match nothing.
+
+    Places where runs of 1, 2, 4, ... tokens begin follow from each other; the longest length is put together
+    from the largest of these. Long texts are compared token by token."""
+    shared = np.isin(doc, item)
+    shared[1:] |= shared[:-1]  # a token that parts runs follows each
+    doc = doc[shared]
+    if len(doc) * len(item) > 1 << 22:
+        best, run = 0, np.zeros(len(doc) + 1, np.int32)
+        for t in item:
+            new = np.zeros_like(run)
+            new[1:] = np.where(doc == t, run[:-1] + 1, 0)
+            run = new
+            best = max(best, int(run.max()))
+        return best
+    runs, here = [], doc[:, None] == item
+    while here.any():
+        runs.append(here)
+        step = 1 << (len(runs) - 1)
+        here = here[:-step, :-step] & here[step:, step:]
+    if not runs:
+        return 0
+    here, length = runs[-1], 1 << (len(runs) - 1)
+    for k in range(len(runs) - 2, -1, -1):
+        more = runs[k][length:, length:]
+        rows, columns = min(len(here), len(more)), min(here.shape[1], more.shape[1])
+        longer = here[:rows, :columns] & more[:rows, :columns]
+        if longer.any():
+            here, length = longer, length + (1 << k)
+    return length
 
 
 def token_masks(item: np.ndarray) -> dict[int, int]:
@@ -321,7 +343,7 @@ class _Searcher:
         return [np.concatenate(x) for x in zip(*out)] if out else None
 
     def found(self, texts: list[np.ndarray], cosine: float):
-        """(text number, {(file, place): {window start: cosine}}) of the texts with windows like item passages."""
+        """(text number, {(file, place): [(window starts, best cosine)]}) of the texts with windows like item passages."""
         places = [_placed(self.place, t) for t in texts]
         hits: list[dict] = [{} for _ in texts]
         for width in self.leaders:
@@ -341,12 +363,14 @@ class _Searcher:
         found = self.search(np.concatenate([x[2] for x in todo]), np.concatenate([x[3] for x in todo]), width, cosine)
         if found is None:
             return
-        text = np.concatenate([np.full(len(x[1]), x[0]) for x in todo])
-        start = np.concatenate([x[1] for x in todo])
-        for row, file, pos, value in zip(*(x.tolist() for x in found)):
-            windows = hits[text[row]].setdefault((file, pos), {})
-            if value > windows.get(at := int(start[row]), -1.0):
-                windows[at] = value
+        row, file, pos, value = found
+        text = np.concatenate([np.full(len(x[1]), x[0]) for x in todo])[row]
+        start = np.concatenate([x[1] for x in todo])[row]
+        order = np.lexsort((start, pos, file, text))
+        text, file, pos, start, value = (x[order] for x in (text, file, pos, start, value))
+        first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (file[1:] != file[:-1]) | (pos[1:] != pos[:-1])])
+        for a, b, top in zip(first.tolist(), [*first[1:].tolist(), len(text)], np.maximum.reduceat(value, first).tolist()):
+            hits[text[a]].setdefault((int(file[a]), int(pos[a])), []).append((start[a:b], top))
 
     def _best(self, ids: np.ndarray, section: tuple[int, int], starts: list[int], least: float) -> int | None:
         """The longest subsequence of the item near one of the windows, if it is ``least`` or more. What
@@ -379,12 +403,12 @@ class _Searcher:
         ends = [*(at + len(answer)).tolist(), math.inf]  # of the first answer that starts near the window, if any
         return [s for s, k in zip(starts, first.tolist()) if ends[k] <= s + RUN + len(item)]
 
-    def check(self, ids: np.ndarray, section: tuple[int, int], windows: dict[int, float], lcs_share: float) -> tuple[float, int, int, float, bool] | None:
+    def check(self, ids: np.ndarray, section: tuple[int, int], windows: list[tuple[np.ndarray, float]], lcs_share: float) -> tuple[float, int, int, float, bool] | None:
         """(best cosine, longest run, subsequence, its share of the item, answer there), or None if the pair
         is neither: a repeated run has a window of cosine 1, a paraphrase enough of the item, and its
         answer if it has one, near one of its windows."""
         _, item, answer = self.sections[section[0]][section[1]]
-        starts, top = sorted(windows), max(windows.values())
+        starts, top = np.unique(np.concatenate([w for w, _ in windows])).tolist(), max(c for _, c in windows)
         answered = self._with_answer(ids, section, starts)
         lcs = self._best(ids, section, answered if len(answer) else starts, lcs_share * len(item))
         if lcs is None and top < _REPEATED:

@@ -41,8 +41,26 @@ class FirstWordEncoder:
         return out
 
 
-# Prompts that model families want before a text.
-PROMPTS = {"e5": ("query: ", "passage: "), "nomic": ("search_query: ", "search_document: ")}
+# What embedding models want before a query and before a passage, by name.
+PROMPTS = {
+    "nomic-embed-text": ("search_query: ", "search_document: "),
+    "nomic-embed-text-v2-moe": ("search_query: ", "search_document: "),
+    "snowflake-arctic-embed": ("query: ", ""),
+    "snowflake-arctic-embed2": ("query: ", ""),
+    "qwen3-embedding": ("Instruct: Given a web search query, retrieve relevant passages that answer the query\nQuery: ", ""),
+    "embeddinggemma": ("task: search result | query: ", "title: none | text: "),
+}
+
+
+def prompts_of(model: str) -> tuple[str, str]:
+    """What a model wants before queries and passages, its tag aside; nothing for models not known."""
+    return PROMPTS.get(model.partition(":")[0], ("", ""))
+
+
+def prompted(inner: Encoder) -> Encoder:
+    """An encoder with the prompts its model wants."""
+    query, passage = prompts_of(inner.model_id)
+    return PrefixedEncoder(inner, query, passage) if query or passage else inner
 
 
 class PrefixedEncoder:
@@ -51,7 +69,8 @@ class PrefixedEncoder:
     def __init__(self, inner: Encoder, query_prefix: str = "", passage_prefix: str = ""):
         self.inner, self.dim, self.model_id = inner, inner.dim, inner.model_id
         self.version = f"{inner.version}+{query_prefix}|{passage_prefix}"
-        self.prefix = {"query": query_prefix.replace("\\n", "\n"), "passage": passage_prefix.replace("\\n", "\n")}
+        plain = lambda p: p.replace("\\n", "\n").replace("\\t", "\t")  # noqa: E731  (settings write them as two characters)
+        self.prefix = {"query": plain(query_prefix), "passage": plain(passage_prefix)}
 
     def encode(self, texts: list[str], kind: str = "passage") -> list[list[float]]:
         return self.inner.encode([self.prefix[kind] + t for t in texts], kind)

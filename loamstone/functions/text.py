@@ -65,11 +65,6 @@ def after_marker(text: Column | str, marker: str = "FINAL:") -> Column:
     return F.when(F.contains(col(text), F.lit(marker)), F.trim(F.substring_index(col(text), marker, -1)))
 
 
-def bounded(text: Column | str, most: int) -> tuple[Column, Column]:
-    """(the first ``most`` characters, whether any were left out)."""
-    return F.left(col(text), F.lit(most)), F.length(col(text)) > most
-
-
 def rich_text(summary: Column | str, detail: Column | str, most: int) -> tuple[Column, Column, Column]:
     """(text, characters of detail, whether detail was cut): a blank detail leaves the summary alone."""
     d = F.regexp_replace(col(detail), r"^\s+|\s+$", "")
@@ -104,6 +99,21 @@ def low_signal_reason(text: Column | str, least_chars: int = 80) -> Column:
     return F.when(~low_signal(text, least_chars), F.lit(None)).when(chars < least_chars, short).when(dense < 0.4 * n, LOW_DENSITY).otherwise(REPEATED_LINES)
 
 
+#: Characters of a turn that stand for it: short, and in detail.
+TURN_CHARS, TURN_DETAIL = 120, 800
+
+
+def short_turn(text: Column | str, most: int = TURN_CHARS) -> Column:
+    """A turn by its beginning, white space squeezed."""
+    return F.left(squeeze(text), F.lit(most))
+
+
+def rich_turn(text: Column | str, clean, most: int = TURN_CHARS, detail: int = TURN_DETAIL) -> Column:
+    """A turn by its beginning and, made fit by ``clean``, some of what follows."""
+    whole = squeeze(text)
+    return rich_text(F.left(whole, F.lit(most)), clean(F.substring(whole, most + 1, 1 << 30)), detail)[0]
+
+
 def file_extension(path: Column | str) -> Column:
     """Lower-case extension; none for dot files, trailing dots and names without a dot."""
     name = F.substring_index(col(path), "/", -1)
@@ -152,9 +162,3 @@ def hash_state(content: Column | str, profile: Column | str, current: Column | s
 
 def capsule_id() -> Column:
     return F.concat(F.lit("mem-"), F.regexp_replace(F.uuid(), "-", ""))
-
-
-def canonical_map(m: Column | str) -> Column:
-    """A string map as JSON with sorted keys; an absent map is an empty one."""
-    entries = F.map_entries(F.coalesce(col(m), F.create_map().cast("map<string,string>")))
-    return F.to_json(F.map_from_entries(F.array_sort(entries)), {"ignoreNullFields": "false"})

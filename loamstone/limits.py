@@ -101,14 +101,6 @@ def valid_name(c: Column) -> Column:
     return F.coalesce(F.regexp_like(c, F.lit("^[A-Za-z0-9_:-]{1,128}$")), F.lit(False))
 
 
-def valid_id(c: Column, most: int = MAX_ID_BYTES) -> Column:
-    return F.coalesce(F.octet_length(c).between(1, most) & ~F.contains(c, F.lit("\0")), F.lit(False))
-
-
-def valid_text(c: Column) -> Column:
-    return F.coalesce(F.octet_length(c) <= MAX_TEXT_BYTES, F.lit(False))
-
-
 def valid_query(c: Column) -> Column:
     return F.coalesce((F.octet_length(c) <= MAX_QUERY_BYTES) & F.regexp_like(c, F.lit(r"\S")), F.lit(False))
 

@@ -96,12 +96,10 @@ def select_candidates(docs: DataFrame, digests: DataFrame | None = None, options
     top = materialise(top_terms(term_weights(docs, options.max_term_df), options.top_terms_per_doc))
     members = materialise(group_members(docs, similarity_edges(top, options.min_shared_terms)))
     info = members.join(docs.select("doc_id", "session", "created_at", F.length("text").alias("chars")), "doc_id")
-    # A group lists its documents: that is what a candidate is.
     groups = info.groupBy("group_id").agg(
         F.count(F.lit(1)).alias("members"),
         F.count_distinct("session").alias("sessions"),
         F.sum("chars").alias("total_chars"),
-        F.transform(F.array_sort(F.collect_list(F.struct("created_at", "doc_id"))), lambda x: x["doc_id"]).alias("doc_ids"),
     )
     groups = groups.filter((F.col("members") >= options.min_members) & (F.col("sessions") >= options.min_sessions))
     own = term_keys(members, top).withColumnRenamed("key", "own_key")
@@ -114,8 +112,13 @@ def select_candidates(docs: DataFrame, digests: DataFrame | None = None, options
         named = named.withColumn("key", F.col("own_key")).withColumn("recorded", F.lit(None).cast("bigint"))
     named = named.filter(F.coalesce(F.col("key") != "", F.lit(False)))
     fresh = F.col("recorded").isNotNull() & (F.col("members") <= F.col("recorded") + options.stale_margin)
-    out = named.filter(~F.coalesce(fresh, F.lit(False))).select("key", "doc_ids", "members", "total_chars", F.col("recorded").isNotNull().alias("stale"))
-    return out if all_groups else out.orderBy(F.col("stale").desc(), F.col("members").desc(), "key").limit(options.max_candidates)
+    out = named.filter(~F.coalesce(fresh, F.lit(False))).select("group_id", "key", "members", "total_chars", F.col("recorded").isNotNull().alias("stale"))
+    order = [F.col("stale").desc(), F.col("members").desc(), "key"]
+    out = materialise(out if all_groups else out.orderBy(*order).limit(options.max_candidates))
+    # Only what is chosen lists its documents; of other groups, however large, there are figures alone.
+    chosen = info.join(out.select("group_id"), "group_id", "left_semi").groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "doc_id"))), lambda x: x["doc_id"]).alias("doc_ids"))
+    out = out.join(chosen, "group_id").select("key", "doc_ids", "members", "total_chars", "stale")
+    return out if all_groups else out.orderBy(*order)
 
 
 def member_texts(candidates: DataFrame, docs: DataFrame, most: int = 12_000) -> DataFrame:

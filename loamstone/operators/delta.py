@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamstone import limits
@@ -67,19 +66,21 @@ def manifest_entries(stored: DataFrame, profile: str) -> DataFrame:
     return stored.select("doc_id", "content_hash", "index_profile_hash", "source_id", state.alias("hash_state"))
 
 
-def manifest_digest(entries: DataFrame, prefix_bytes: int = 2) -> DataFrame:
+def manifest_digest(entries: DataFrame) -> DataFrame:
     """One row (digest, total_count) over the ids and hashes of all entries, in any order.
 
-    Two levels: entries are hashed together by the leading digits of their id's hash, each group in id
-    order, and then the group digests. A group holds a 256th of the entries for each pair of digits (
-    ``prefix_bytes`` pairs), so none has to be gathered whole.
+    Entries are hashed together by the first eight digits of their id's hash, in id order, these groups by
+    the first four, and the rest at last: no group holds more than about 65,536 hashes of a level below,
+    for as many entries as there may be.
     """
     item = F.concat(F.octet_length("doc_id").cast("string"), F.lit(":"), F.col("doc_id"), F.coalesce(F.concat(F.octet_length("content_hash").cast("string"), F.lit(":"), F.col("content_hash")), F.lit("-")))
-    part = F.left(F.sha2("doc_id", 256), F.lit(2 * prefix_bytes))
-    hashed = entries.select(part.alias("_part"), "doc_id", F.sha2(item, 256).alias("_h"))
-    groups = hashed.groupBy("_part").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "_h"))), lambda x: x["_h"]), ""), 256).alias("_g"), F.count(F.lit(1)).alias("_n"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_part", "_g"))), lambda x: F.concat(x["_part"], x["_g"])), "")  # 256 ** prefix_bytes at most
-    return groups.agg(F.sha2(F.concat(F.lit("manifest:v1:"), joined), 256).alias("digest"), F.coalesce(F.sum("_n"), F.lit(0)).alias("total_count"))
+    hashed = entries.select(F.left(F.sha2("doc_id", 256), F.lit(8)).alias("_at"), F.col("doc_id").alias("_by"), F.sha2(item, 256).alias("_h"), F.lit(1).alias("_n"))
+    together = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_by", "_h"))), lambda x: F.concat(x["_by"], x["_h"])), ""), 256)
+    level = lambda df: df.groupBy("_at").agg(together.alias("_h"), F.sum("_n").alias("_n"))
+    for digits in (4, 0):
+        hashed = level(hashed).select(F.left("_at", F.lit(digits)).alias("_at"), F.col("_at").alias("_by"), "_h", "_n")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_by", "_h"))), lambda x: F.concat(x["_by"], x["_h"])), "")
+    return hashed.agg(F.sha2(F.concat(F.lit("manifest:v1:"), joined), 256).alias("digest"), F.coalesce(F.sum("_n"), F.lit(0)).alias("total_count"))
 
 
 def manifest_page(entries: DataFrame, limit: int | None = None, cursor: str | None = None) -> tuple[DataFrame, int]:
@@ -102,9 +103,3 @@ def sync_preview(scanned: DataFrame, manifest: DataFrame) -> DataFrame:
     new = F.col("_there").isNull()
     same = F.coalesce(F.col("_h") == F.col("content_hash"), F.lit(False))
     return joined.agg(F.count_if(new).alias("new_files"), F.count_if(~new & ~same).alias("changed_files"), F.count_if(~new & same).alias("unchanged_files"))
-
-
-def first_pages(stored: DataFrame, page: int) -> DataFrame:
-    """Page number of every document in id order within its source, without gathering the table."""
-    w = W.partitionBy("source_id").orderBy("doc_id")
-    return stored.withColumn("page", F.floor((F.row_number().over(w) - 1) / page))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,6 +53,12 @@ def alpha_sweep(pool: DataFrame, qrels: DataFrame, alphas: list[float], k: int =
     return mean_metrics(metrics, ["alpha"])
 
 
+def retrieval_sweep(pool: DataFrame, qrels: DataFrame, alphas: list[float], cuts: list[int]) -> DataFrame:
+    """(topn, alpha, queries, ndcg, mrr, recall): :func:`alpha_sweep` at every length of list in ``cuts``."""
+    cells = [alpha_sweep(pool, qrels, alphas, k).withColumn("topn", F.lit(k)) for k in cuts]
+    return reduce(DataFrame.unionByName, cells)
+
+
 def mean_metrics(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
     return metrics.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("queries"), *[F.round(F.avg(c), PLACES).alias(c) for c in ("ndcg", "mrr", "recall")])
 
@@ -76,6 +84,23 @@ def expand_digests(hits: DataFrame, digests: DataFrame) -> DataFrame:
     return known.select("query_id", "rank", F.posexplode(members).alias("pos", "doc_id")).select("query_id", "doc_id", "rank", "pos")
 
 
+def expanded_coverage(hits: DataFrame, digests: DataFrame, sessions: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
+    """:func:`evidence_coverage` where a digest among the hits (query_id, doc_id, rank) covers the sessions of
+    its members, in their order. ``sessions`` has (doc_id, session)."""
+    order = W.partitionBy("query_id").orderBy("rank", "pos")
+    spread = expand_digests(hits, digests).join(sessions, "doc_id").withColumn("rank", F.row_number().over(order)).select("query_id", "session", "rank")
+    return evidence_coverage(spread, gold, k)
+
+
+def evidence_picks(hits: DataFrame, digests: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, doc_id, rank): the ``k`` best documents, members of digests among the first ``k`` left out
+    and later documents moved up. ``hits`` has one row a document."""
+    first = hits.filter(F.col("rank") <= k).join(digests.select("doc_id", "member_ids"), "doc_id")
+    covered = first.select("query_id", F.explode("member_ids").alias("doc_id")).distinct()
+    left = hits.join(covered, ["query_id", "doc_id"], "left_anti")
+    return left.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).filter(F.col("rank") <= k).select("query_id", "doc_id", "rank")
+
+
 def recency(score: Column | str, age_days: Column | str, half_life: float = 30.0, floor: float = 0.2) -> Column:
     """A score that fades with age to ``floor`` of itself; a negative age counts as none."""
     return col(score) * (floor + (1 - floor) * F.pow(F.lit(0.5), F.greatest(F.lit(0.0), col(age_days).cast("double")) / half_life))
@@ -118,6 +143,21 @@ def presence_rates(contexts: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("queries"), rate(F.col("f")).alias("full_rate"), rate(F.col("s")).alias("snippet_rate"), F.round(100 * (F.count_if("f") - F.count_if("s")) / F.count(F.lit(1)), 4).alias("delta_points"), F.count_if(F.col("f") & F.col("s")).alias("both"), F.count_if(~F.col("f") & ~F.col("s")).alias("neither"))
 
 
+#: Share of the answers within reach that full texts must bring for the gate to pass.
+LEAST_CAPTURE = 0.95
+
+
+def ablation_gate(contexts: DataFrame, least_capture: float = LEAST_CAPTURE) -> DataFrame:
+    """One row of answer presence in three contexts (full, snippet, oracle) of (answer, ...): rates, difference
+    in points, the share of the oracle's answers that full texts bring (1 if it has none), and whether that
+    is enough and more than snippets bring."""
+    present = [F.coalesce(contains_answer(c, "answer"), F.lit(False)).alias(c) for c in ("full", "snippet", "oracle")]
+    n = F.greatest(F.lit(1), F.count(F.lit(1)))
+    rows = contexts.select(*present).agg(F.count(F.lit(1)).alias("queries"), *[(F.count_if(c) / n).alias(c) for c in ("full", "snippet", "oracle")])
+    capture = F.when(F.col("oracle") > 0, F.col("full") / F.col("oracle")).otherwise(1.0)
+    return rows.select("queries", *[F.round(c, PLACES).alias(f"{c}_rate") for c in ("full", "snippet", "oracle")], F.round(100 * (F.col("full") - F.col("snippet")), 4).alias("delta_points"), F.round(capture, PLACES).alias("oracle_capture"), ((capture >= least_capture) & (F.col("full") > F.col("snippet"))).alias("passed"))
+
+
 def token_f1(pairs: DataFrame) -> DataFrame:
     """(id, f1, em) of (id, pred, gold): overlap of the normalised words as multisets, and equality."""
     words = lambda c: F.filter(F.split(squad_form(c), " "), lambda t: t != "")
@@ -132,6 +172,13 @@ def category_means(rows: DataFrame, category: str, value: str) -> DataFrame:
     return rows.groupBy(category).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), PLACES).alias(f"mean_{value}"), F.round(F.count_if(F.col(value) == 0) / F.count(F.lit(1)), PLACES).alias("miss_rate"))
 
 
+def evidence_by_category(coverage: DataFrame, category: str, k: int = 5) -> DataFrame:
+    """(category, n, hit_rate, coverage) of :func:`evidence_coverage` rows: how often a gold session is among
+    the first ``k``, and the mean share of gold sessions covered."""
+    hit = F.coalesce(F.col("first_gold_rank") < k, F.lit(False)).cast("int")
+    return coverage.groupBy(category).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(hit), PLACES).alias("hit_rate"), F.round(F.avg(F.col("covered") / F.greatest(F.lit(1), F.col("total"))), PLACES).alias("coverage"))
+
+
 def paired_bootstrap(pairs: DataFrame, resamples: int = 1000, seed: int = 17) -> DataFrame:
     """One row (mean_delta, low, high): the mean of (id, a, b)'s b - a and its 95 % interval.
 
@@ -148,8 +195,8 @@ def paired_bootstrap(pairs: DataFrame, resamples: int = 1000, seed: int = 17) ->
 
 
 def seeded_sample(rows: DataFrame, category: str, key: str, n: int, seed: int = 17) -> DataFrame:
-    """``n`` rows of each category, by the hash of their key."""
-    w = W.partitionBy(category).orderBy(F.xxhash64(F.lit(seed), key), key)
+    """``n`` rows of each category, by the hash of seed and key."""
+    w = W.partitionBy(category).orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), key)
     return rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
 
 
@@ -158,3 +205,23 @@ def render_turns(turns: DataFrame) -> DataFrame:
     line = F.concat(F.lit("["), F.col("date").cast("string"), F.lit("] "), F.col("role"), F.lit(": "), F.col("text"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda x: x["l"])  # one session
     return turns.groupBy("session").agg(F.array_join(lines, "\n").alias("rendered"))
+
+
+def render_memories(evidence: DataFrame, dated: bool = False) -> DataFrame:
+    """(query_id, rendered): texts of (query_id, rank, text, date) numbered in the order of their ranks, with
+    their dates if ``dated``."""
+    date = F.coalesce(F.col("date").cast("string"), F.lit("unknown date"))
+    number = F.row_number().over(W.partitionBy("query_id").orderBy("rank")).cast("string")
+    head = F.concat(F.lit("[memory "), number, *([F.lit(" — "), date] if dated else []), F.lit("] "), F.col("text"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("rank", "part"))), lambda x: x["part"])  # one answer's evidence
+    return evidence.withColumn("part", head).groupBy("query_id").agg(F.array_join(parts, "\n\n").alias("rendered"))
+
+
+def render_sessions(evidence: DataFrame) -> DataFrame:
+    """(query_id, rendered): texts of (query_id, rank, text, date, session) by session under its date, sessions
+    in the order of their dates, texts in that of their ranks."""
+    dated = evidence.withColumn("date", F.coalesce(F.col("date").cast("string"), F.lit("unknown")))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("- "), F.col("text")).alias("line")))), lambda x: x["line"])
+    groups = dated.groupBy("query_id", "date", "session").agg(F.min("rank").alias("first"), F.array_join(lines, "\n").alias("body"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("date", "first", "body"))), lambda x: F.concat(F.lit("[session of "), x["date"], F.lit("]\n"), x["body"]))  # one answer's evidence
+    return groups.groupBy("query_id").agg(F.array_join(parts, "\n\n").alias("rendered"))

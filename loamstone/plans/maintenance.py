@@ -149,9 +149,10 @@ def manifest_page(spark, d):
     return delta.manifest_page(delta.manifest_entries(scope, profile(spark, d)), 20, "fs-02/m")[0]
 
 
-@query(f"""with {_STORED}, h as (select left(sha256(doc_id), 4) as part, doc_id, sha256(strlen(doc_id) || ':' || doc_id || coalesce(strlen(content_hash) || ':' || content_hash, '-')) as h from stored),
-g as (select part, sha256(string_agg(h, '' order by doc_id)) as g, count(*) as n from h group by part)
-select sha256('manifest:v1:' || string_agg(part || g, '' order by part)) as digest, sum(n)::bigint as total_count from g""")
+@query(f"""with {_STORED}, h as (select left(sha256(doc_id), 8) as part, doc_id, sha256(strlen(doc_id) || ':' || doc_id || coalesce(strlen(content_hash) || ':' || content_hash, '-')) as h from stored),
+g as (select part, sha256(string_agg(doc_id || h, '' order by doc_id)) as g, count(*) as n from h group by part),
+k as (select left(part, 4) as part, sha256(string_agg(part || g, '' order by part)) as g, sum(n) as n from g group by left(part, 4))
+select sha256('manifest:v1:' || string_agg(part || g, '' order by part)) as digest, sum(n)::bigint as total_count from k""")
 def manifest_digest(spark, d):
     return delta.manifest_digest(stored(spark, d))
 
@@ -256,6 +257,16 @@ def secret_token_scan(spark, d):
     return words.groupBy("doc_id").agg(F.count_if(texts.secret_shaped("w")).alias("secrets"))
 
 
+@query(r"select doc_id, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 120) as short from documents where text is not null and kind = 'turn'")
+def short_turns(spark, d):
+    return documents(spark, d).filter("kind = 'turn'").select("doc_id", texts.short_turn("text").alias("short"))
+
+
+@query()
+def rich_turns(spark, d):
+    return documents(spark, d).filter("kind = 'turn'").select("doc_id", texts.rich_turn("text", sanitized).alias("rich"))
+
+
 @query()
 def sanitized_texts(spark, d):
     return documents(spark, d).select("doc_id", sanitized("text").alias("text"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loamstone.functions.columns import cosine_unit
 from loamstone.functions.text import CHUNK_WORD, INDEX_TOKEN, contains_answer, plain_query
-from loamstone.operators import chunking, evaluation, interleave, scoring, search
+from loamstone.operators import chunking, evaluation, interleave, query_syntax, scoring, search
 from loamstone.plans.registry import query
 from loamstone.session import materialise, read_table
 
@@ -314,12 +314,12 @@ def search_iterative_r2(spark, d):
 _JUDGED = "rel as (select distinct query_id, doc_id from chunk_hits where arm = 'dense' and raw_score > 0.5), nrel as (select query_id, count(*) as n_rel from rel group by query_id)"
 
 
-def _metrics_sql(ranked: str, cells: str = "", by: str = "") -> str:
+def _metrics_sql(ranked: str, cells: str = "", by: str = "", k: int = 10, name: str = "") -> str:
     keys = f"{by}, query_id" if by else "query_id"
-    return f"""per as (select {keys}, count(*) as n, coalesce(sum(1 / log2(rank + 1)) filter (rel), 0) as dcg, min(rank) filter (rel) as first, count(*) filter (rel) as found
-  from (select r.*, exists (select 1 from rel where rel.query_id = r.query_id and rel.doc_id = r.doc_id) as rel from {ranked} r where rank <= 10) group by {keys}),
-metrics as (select {keys}, round(case when least(n_rel, coalesce(n, 0)) > 0 then coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n_rel, coalesce(n, 0)) + 1), lambda i: 1 / log2(i + 1))) else 0 end, 6) as ndcg,
-  round(coalesce(1 / first, 0), 6) as mrr, round(coalesce(found, 0) / n_rel, 6) as recall from nrel {cells} left join per using ({keys}))"""
+    return f"""per{name} as (select {keys}, count(*) as n, coalesce(sum(1 / log2(rank + 1)) filter (rel), 0) as dcg, min(rank) filter (rel) as first, count(*) filter (rel) as found
+  from (select r.*, exists (select 1 from rel where rel.query_id = r.query_id and rel.doc_id = r.doc_id) as rel from {ranked} r where rank <= {k}) group by {keys}),
+metrics{name} as (select {keys}, round(case when least(n_rel, coalesce(n, 0)) > 0 then coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n_rel, coalesce(n, 0)) + 1), lambda i: 1 / log2(i + 1))) else 0 end, 6) as ndcg,
+  round(coalesce(1 / first, 0), 6) as mrr, round(coalesce(found, 0) / n_rel, 6) as recall from nrel {cells} left join per{name} using ({keys}))"""
 
 
 @query(f"with hits as ({HITS}), {DOCS_OF}, {_JUDGED}, {_metrics_sql('docs_of')} select * from metrics")
@@ -338,11 +338,28 @@ ranked as (select alpha, query_id, doc_id, row_number() over (partition by alpha
 {_metrics_sql('ranked', 'cross join cells', 'alpha')}
 select alpha, count(*) as queries, round(avg(ndcg), 6) as ndcg, round(avg(mrr), 6) as mrr, round(avg(recall), 6) as recall from metrics group by alpha""")
 def alpha_sweep(spark, d):
+    return evaluation.alpha_sweep(_with_cosine(spark, d), judged(spark, d), _ALPHAS)
+
+
+def _with_cosine(spark, d):
     pool = search.bm25_top(searches(spark, d), *index(spark, d), 40)
     dv, qv = vectors(spark, d)
     pool = pool.join(dv.withColumnRenamed("embedding", "x"), "doc_id", "left").join(qv.withColumnRenamed("embedding", "y"), "query_id", "left")
-    pool = materialise(pool.withColumn("cosine", cosine_unit(F.col("y"), F.col("x"))).drop("x", "y"))
-    return evaluation.alpha_sweep(pool, judged(spark, d), _ALPHAS)
+    return materialise(pool.withColumn("cosine", cosine_unit(F.col("y"), F.col("x"))).drop("x", "y"))
+
+
+_CUTS = [3, 10, 20]
+
+
+@query(f"""with {BM25}, {_pool(40)}, cells as (select unnest([1.0, 0.5, 0.0])::double as alpha),
+cos as materialized (select p.*, {_COS} as cosine from pool p {_WITH_COS}),
+mixed as (select cos.*, alpha, round(alpha * score + (1 - alpha) * cosine, 9) as mixed from cos, cells),
+ranked as (select alpha, query_id, doc_id, row_number() over (partition by alpha, query_id order by mixed desc, rank) as rank from (
+  select * from mixed qualify row_number() over (partition by alpha, query_id, doc_id order by mixed desc, rank) = 1)), {_JUDGED},
+{', '.join(_metrics_sql('ranked', 'cross join cells', 'alpha', k, f'_{k}') for k in _CUTS)}
+{' union all '.join(f"select {k} as topn, alpha, count(*) as queries, round(avg(ndcg), 6) as ndcg, round(avg(mrr), 6) as mrr, round(avg(recall), 6) as recall from metrics_{k} group by alpha" for k in _CUTS)}""")
+def retrieval_sweep(spark, d):
+    return evaluation.retrieval_sweep(_with_cosine(spark, d), judged(spark, d), [1.0, 0.5, 0.0], _CUTS)
 
 
 @query("select event_type, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95 from events group by event_type")
@@ -364,14 +381,15 @@ def _context_sql(texts: str, budget: int) -> str:
   select *, {budget} - coalesce(sum(length(text) + 1) over (partition by query_id order by rank rows between unbounded preceding and 1 preceding), 0) as room from {texts}) where room > 0 group by query_id"""
 
 
-def _contexts(spark, d):
+def _contexts(spark, d, reach: int | None = None):
     hits = materialise(_item_hits(spark, d))
     docs = documents(spark, d).select("doc_id", "text")
     full = search.documents_of(hits).join(docs, "doc_id").select("query_id", "rank", "text")
     parts = hits.join(chunks(spark, d), ["doc_id", "chunk_idx"]).select("query_id", "rank", F.col("chunk_text").alias("text"))
     items = read_table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "answer")
     context = lambda t, name: evaluation.appended_context(t, 4000).withColumnRenamed("context", name)
-    return items.join(context(full, "full"), "query_id", "left").join(context(parts, "snippet"), "query_id", "left")
+    out = items.join(context(full, "full"), "query_id", "left").join(context(parts, "snippet"), "query_id", "left")
+    return out if reach is None else out.join(evaluation.appended_context(full, reach).withColumnRenamed("context", "oracle"), "query_id", "left")
 
 
 _CONTEXTS = f"""{_ITEM_HITS}, full_t as (select query_id, rank, text from docs_of join documents using (doc_id)), part_t as (select query_id, rank, chunk_text as text from hits join chunks using (doc_id, chunk_idx)),
@@ -386,6 +404,17 @@ def injection_ablation(spark, d):
     return evaluation.presence_rates(_contexts(spark, d))
 
 
+@query(f"""with {_CONTEXTS},
+o as ({_context_sql('full_t', 100_000_000)}),
+q as (select coalesce({_FORM.format('answer')} <> '' and contains({_FORM.format('f.context')}, {_FORM.format('answer')}), false)::int as f, coalesce({_FORM.format('answer')} <> '' and contains({_FORM.format('s.context')}, {_FORM.format('answer')}), false)::int as s,
+  coalesce({_FORM.format('answer')} <> '' and contains({_FORM.format('o.context')}, {_FORM.format('answer')}), false)::int as o from eval_items i left join f on f.query_id = item_id left join s on s.query_id = item_id left join o on o.query_id = item_id),
+r as (select count(*) as queries, avg(f) as f, avg(s) as s, avg(o) as o from q)
+select queries, round(f, 6) as full_rate, round(s, 6) as snippet_rate, round(o, 6) as oracle_rate, round(100 * (f - s), 4) as delta_points, round(case when o > 0 then f / o else 1 end, 6) as oracle_capture, case when o > 0 then f / o else 1 end >= 0.95 and f > s as passed from r""")
+def ablation_gate(spark, d):
+    """Full texts under a budget against snippets, and against the same texts whole: what is within reach."""
+    return evaluation.ablation_gate(_contexts(spark, d, 100_000_000))
+
+
 @query(f"""with {_ITEM_HITS}, has as (select query_id, max(contains({_FORM.format('text')}, {_FORM.format('answer')}) and {_FORM.format('answer')} <> '') as has
   from (select h.query_id, d.text, i.answer from docs_of h join documents d using (doc_id) join eval_items i on i.item_id = h.query_id) group by query_id)
 select item_id as query_id, case when coalesce({_FORM.format('answer')}, '') = '' then 'no_answer' when {_FORM.format('answer')} in ('yes', 'no') then 'yes_no' when coalesce(has, false) then 'extractive' else 'not_extractive' end as verdict
@@ -425,6 +454,65 @@ def evidence_coverage(spark, d):
     return evaluation.evidence_coverage(_dated_hits(spark, d).filter("session is not null"), _used(spark, d).join(docs, "doc_id"), 5)
 
 
+@query(f"""with hits as ({HITS}), {DOCS_OF}, s as (select query_id, metadata['day'] as session, min(rank) as r from docs_of join documents using (doc_id) where metadata['day'] is not null group by all),
+o as (select *, row_number() over (partition by query_id order by r, session) - 1 as pos from s),
+gold as (select distinct query_id, metadata['day'] as session from chunk_hits join documents using (doc_id) where arm = 'usage' and metadata['day'] is not null),
+c as (select query_id, min(pos) as first, count(*) filter (pos < 5) as covered, count(*) as total from gold left join o using (query_id, session) group by query_id)
+select coll_name, count(*) as n, round(avg(coalesce(first < 5, false)::int), 6) as hit_rate, round(avg(covered / total), 6) as coverage from c join search_params using (query_id) group by coll_name""")
+def evidence_by_category(spark, d):
+    named = evidence_coverage(spark, d).join(read_table(spark, d, "search_params").select("query_id", "coll_name"), "query_id")
+    return evaluation.evidence_by_category(named, "coll_name")
+
+
+_DIGESTS = """g as (select distinct on (group_key) group_key, doc_ids from candidates where group_key is not null and doc_ids is not null order by group_key, doc_ids),
+digests as (select doc_ids[1] as doc_id, min(list_filter(doc_ids[2:], lambda x, i: list_position(doc_ids[2:], x) = i)) as member_ids from g where len(doc_ids) > 0 and doc_ids[1] is not null group by all)"""
+
+
+def _digests(spark, d):
+    """The first document of every proposed group plays the digest of the others; of several the smallest."""
+    groups = read_table(spark, d, "candidates").filter("group_key is not null and doc_ids is not null").groupBy("group_key").agg(F.min("doc_ids").alias("ids"))
+    named = groups.select(F.try_element_at("ids", F.lit(1)).alias("doc_id"), F.expr("array_distinct(slice(ids, 2, greatest(size(ids) - 1, 0)))").alias("member_ids"))
+    return named.filter("doc_id is not null").groupBy("doc_id").agg(F.min("member_ids").alias("member_ids"))
+
+
+@query(f"""with hits as ({HITS}), {DOCS_OF}, {_DIGESTS},
+m as (select query_id, rank, coalesce(member_ids, [docs_of.doc_id]) as ids from docs_of left join digests using (doc_id)),
+e as (select query_id, rank, i, ids[i] as doc_id from m, unnest(range(1, len(ids) + 1)) as u(i)),
+x as (select query_id, metadata['day'] as session, row_number() over (partition by query_id order by rank, i) as rank from e join documents using (doc_id) where metadata['day'] is not null),
+s as (select query_id, session, min(rank) as r from x group by all), o as (select *, row_number() over (partition by query_id order by r, session) - 1 as pos from s),
+gold as (select distinct query_id, metadata['day'] as session from chunk_hits join documents using (doc_id) where arm = 'usage' and metadata['day'] is not null)
+select query_id, min(pos) as first_gold_rank, count(*) filter (pos < 5) as covered, count(*) as total from gold left join o using (query_id, session) group by query_id""")
+def expanded_coverage(spark, d):
+    docs = documents(spark, d).select("doc_id", F.try_element_at("metadata", F.lit("day")).alias("session")).filter("session is not null")
+    return evaluation.expanded_coverage(bm25_doc_rank(spark, d), _digests(spark, d), docs, _used(spark, d).join(docs, "doc_id"), 5)
+
+
+_WIDE_DOCS = f"{BM25}, {_pool(40)}, hits as ({_cut(40, 'pool')}), {DOCS_OF}"
+
+
+@query(f"""with {_WIDE_DOCS}, {_DIGESTS},
+covered as (select distinct query_id, m.id as doc_id from docs_of join digests using (doc_id), unnest(member_ids) as m(id) where rank <= 10)
+select query_id, doc_id, row_number() over (partition by query_id order by rank) as rank from (select * from docs_of anti join covered using (query_id, doc_id)) qualify row_number() over (partition by query_id order by rank) <= 10""")
+def evidence_picks(spark, d):
+    return evaluation.evidence_picks(search.documents_of(search.search_many(searches(spark, d), *index(spark, d), 40)), _digests(spark, d))
+
+
+_SYNTAX = '+the (queue OR planner) -cache "the queue"^2'
+
+
+@query(f"""with {INDEX}, n as (select doc_id, chunk_idx, t, len(t) as dl, len(list_filter(t, lambda x: x = 'the')) as a, len(list_filter(t, lambda x: x = 'queue')) as b, len(list_filter(t, lambda x: x = 'planner')) as c,
+  len(list_filter(t, lambda x: x = 'cache')) as d, len(list_filter(range(1, len(t)), lambda i: t[i] = 'the' and t[i + 1] = 'queue')) as p from toks),
+w as (select max(avgdl) as avgdl, ln(1 + (max(n_chunks) - count(*) filter (a > 0) + 0.5) / (count(*) filter (a > 0) + 0.5)) as wa, ln(1 + (max(n_chunks) - count(*) filter (b > 0) + 0.5) / (count(*) filter (b > 0) + 0.5)) as wb,
+  ln(1 + (max(n_chunks) - count(*) filter (c > 0) + 0.5) / (count(*) filter (c > 0) + 0.5)) as wc from n, stats)
+select doc_id, chunk_idx, round(wa * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avgdl)) + wb * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / avgdl)) + wc * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * dl / avgdl))
+  + 2 * (wa + wb) * p * 2.2 / (p + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) as raw_score from n, w where a > 0 and d = 0""")
+def boolean_search(spark, d):
+    """All chunks that match a boolean query with a phrase and a boost."""
+    c = chunks(spark, d)
+    forward, stats = index(spark, d)
+    return query_syntax.boolean_search(spark, _SYNTAX, c, scoring.forward_postings(forward), stats)
+
+
 _SQUAD = r"array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w not in ('a', 'an', 'the')), ' ')"
 
 
@@ -453,7 +541,7 @@ def bootstrap_ci(spark, d):
     return evaluation.paired_bootstrap(a.join(b, "id"))
 
 
-@query()
+@query("""select doc_id, lang from documents where text is not null qualify row_number() over (partition by lang order by sha256('17:' || doc_id), doc_id) <= 5""")
 def seeded_sample(spark, d):
     return evaluation.seeded_sample(documents(spark, d).select("doc_id", "lang"), "lang", "doc_id", 5)
 
@@ -466,6 +554,30 @@ def render_structured(spark, d):
     return evaluation.render_turns(turns)
 
 
+_EVIDENCE = f"with hits as ({HITS}), {DOCS_OF}, e as (select query_id, rank, text, created_at::timestamp::date as date, metadata['day'] as session from docs_of join documents using (doc_id) where text is not null)"
+
+
+def _evidence(spark, d):
+    docs = documents(spark, d).select("doc_id", "text", F.to_date("created_at").alias("date"), F.try_element_at("metadata", F.lit("day")).alias("session"))
+    return bm25_doc_rank(spark, d).join(docs, "doc_id")
+
+
+@query(f"{_EVIDENCE}, n as (select *, row_number() over (partition by query_id order by rank) as i from e) select query_id, string_agg('[memory ' || i || '] ' || text, chr(10) || chr(10) order by i) as rendered from n group by query_id")
+def render_flat(spark, d):
+    return evaluation.render_memories(_evidence(spark, d))
+
+
+@query(f"{_EVIDENCE}, n as (select *, row_number() over (partition by query_id order by rank) as i from e) select query_id, string_agg('[memory ' || i || ' — ' || coalesce(date::varchar, 'unknown date') || '] ' || text, chr(10) || chr(10) order by i) as rendered from n group by query_id")
+def render_dated(spark, d):
+    return evaluation.render_memories(_evidence(spark, d), dated=True)
+
+
+@query(f"""{_EVIDENCE}, g as (select query_id, coalesce(date::varchar, 'unknown') as date, session, min(rank) as first, string_agg('- ' || text, chr(10) order by rank) as body from e group by all)
+select query_id, string_agg('[session of ' || date || ']' || chr(10) || body, chr(10) || chr(10) order by date, first) as rendered from g group by query_id""")
+def render_sessions(spark, d):
+    return evaluation.render_sessions(_evidence(spark, d))
+
+
 @query(f"""select item_id, coalesce(bool_or({_FORM.format('answer')} <> '' and contains({_FORM.format('text')}, {_FORM.format('answer')})), false) as has_answer from eval_items group by item_id""")
 def answer_presence(spark, d):
     return read_table(spark, d, "eval_items").select("item_id", F.coalesce(contains_answer("text", "answer"), F.lit(False)).alias("has_answer"))

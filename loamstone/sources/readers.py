@@ -7,11 +7,10 @@ import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamstone.errors import InvalidInput
-from loamstone.functions.text import file_extension, folder, rfc3339
+from loamstone.functions.text import date_head, file_extension, folder, rfc3339
 
 _JSONL = "_id string, text string"
 
@@ -85,7 +84,7 @@ def read_long_memory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     zipped = F.arrays_zip("haystack_session_ids", "haystack_dates", "haystack_sessions")
     sessions = raw.select("question_id", "answer_session_ids", F.posexplode(zipped).alias("session_pos", "s"))
     turns = sessions.select("question_id", "answer_session_ids", "session_pos", F.col("s.haystack_session_ids").alias("session_id"), F.col("s.haystack_dates").alias("day"), F.posexplode("s.haystack_sessions").alias("turn", "t"))
-    date = F.to_date(F.try_to_timestamp(F.left("day", F.lit(10)), F.lit("yyyy/MM/dd")))
+    date = date_head("day")
     turns = turns.select("question_id", "session_id", "session_pos", date.alias("date"), "turn", F.col("t.role").alias("role"), F.col("t.content").alias("text"), F.array_contains("answer_session_ids", F.col("session_id")).alias("is_gold"))
     return raw.drop("haystack_dates", "haystack_session_ids", "haystack_sessions"), turns
 
@@ -133,9 +132,3 @@ def read_folder(spark: SparkSession, root: str, include: tuple[str, ...] = ("**/
         raise InvalidInput(f"over {max_files} files")
     text = F.when(F.col("length") <= max_bytes, F.try_validate_utf8(F.col("content").cast("string")))
     return files.select("doc_id", text.alias("text"), file_extension("doc_id").alias("ext"), folder("doc_id").alias("dir"), rfc3339("mtime").alias("created_at"), F.lit("fs").alias("source"), "mtime").withColumn("readable", F.col("text").isNotNull())
-
-
-def with_ordinals(df: DataFrame, key: str) -> DataFrame:
-    """Ordinals from 0 within ``key`` in the order of the other columns."""
-    rest = [c for c in df.columns if c != key]
-    return df.withColumn("ordinal", F.row_number().over(W.partitionBy(key).orderBy(*rest)) - 1)

@@ -93,3 +93,32 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "o")).count() == 1
     sinks.write_report({"b": 1, "a": 2}, str(tmp_path / "r.json"))
     assert json.loads((tmp_path / "r.json").read_text()) == {"a": 2, "b": 1}
+
+
+def test_gate_needs_capture_and_a_lead(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "answer string, full string, snippet string, oracle string")
+    one = ev.ablation_gate(rows(("red fox", "a Red  fox", "none", "red fox"), ("x", None, None, None), (None, "a", "a", "a"))).first()
+    assert (one["queries"], one["full_rate"], one["snippet_rate"], one["oracle_capture"], one["passed"]) == (3, pytest.approx(1 / 3, abs=1e-6), 0, 1, True)
+    assert not ev.ablation_gate(rows(("a", "a", "a", "a"))).first()["passed"]
+    assert not ev.ablation_gate(rows(("a", "a", "", "a"), ("b", "", "", "b"))).first()["passed"]
+    empty = ev.ablation_gate(rows(("a", "a", "a", "a")).limit(0)).first()
+    assert (empty["queries"], empty["oracle_capture"], empty["passed"]) == (0, 1, False)
+
+
+def test_picks_move_up_and_digests_cover_their_members_sessions(spark):
+    hits = spark.createDataFrame([("q", d, i + 1) for i, d in enumerate(["a", "dig", "b", "c", "d"])], "query_id string, doc_id string, rank int")
+    digests = spark.createDataFrame([("dig", ["b", "zz", None]), ("d", ["a"])], "doc_id string, member_ids array<string>")
+    picks = lambda k: [r["doc_id"] for r in ev.evidence_picks(hits, digests, k).orderBy("rank").collect()]
+    assert picks(3) == ["a", "dig", "c"] and picks(1) == ["a"] and picks(9) == ["dig", "c", "d"]
+    sessions = spark.createDataFrame([("a", "s1"), ("b", "s2"), ("zz", "s3"), ("c", "s4")], "doc_id string, session string")
+    gold = spark.createDataFrame([("q", "s3"), ("q", "s4"), ("q", "s9")], "query_id string, session string")
+    assert tuple(ev.expanded_coverage(hits, digests, sessions, gold, 3).first()) == ("q", 2, 1, 3)
+
+
+def test_renderers(spark):
+    rows = [("q", 2, "two", "2031-01-02", "s"), ("q", 1, "one", None, None), ("q", 5, "five", "2031-01-02", "s"), ("q", 3, "three", "2031-01-01", "t")]
+    e = spark.createDataFrame(rows, "query_id string, rank int, text string, date string, session string")
+    assert ev.render_memories(e).first()["rendered"] == "[memory 1] one\n\n[memory 2] two\n\n[memory 3] three\n\n[memory 4] five"
+    assert ev.render_memories(e, True).first()["rendered"].startswith("[memory 1 — unknown date] one\n\n[memory 2 — 2031-01-02] two")
+    assert ev.render_sessions(e).first()["rendered"] == "[session of 2031-01-01]\n- three\n\n[session of 2031-01-02]\n- two\n- five\n\n[session of unknown]\n- one"
+    assert ev.render_memories(e.limit(0)).count() == ev.render_sessions(e.limit(0)).count() == 0

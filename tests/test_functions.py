@@ -208,3 +208,25 @@ def test_config(tmp_path):
     f.write_text("nonsense = 1\n")
     with pytest.raises(ConfigError):
         load(str(f))
+
+
+def test_models_get_the_prompts_they_want():
+    class Named(encoders.FirstWordEncoder):
+        model_id = "nomic-embed-text:v1.5"
+
+    seen = []
+    inner = Named(4)
+    inner.encode = lambda texts, kind="passage": seen.extend(texts) or [[0.0] * 4 for _ in texts]
+    made = encoders.prompted(inner)
+    made.encode(["a"], "query"), made.encode(["b"])
+    assert seen == ["search_query: a", "search_document: b"]
+    assert encoders.prompts_of("unknown:latest") == ("", "") and encoders.prompted(encoders.FirstWordEncoder(4)).model_id == encoders.FirstWordEncoder(4).model_id
+    assert encoders.PrefixedEncoder(inner, "a\\n\\tb").prefix["query"] == "a\n\tb"
+
+
+def test_turns_short_and_rich(spark):
+    long = "word  " * 60
+    assert one(spark, text.short_turn("t"), t=long) == ("word " * 24)
+    rich = one(spark, text.rich_turn("t", exact.sanitized), t=long + "api_key=verysecret99")
+    assert rich.startswith("summary: word") and "[redacted]" in rich and "verysecret" not in rich
+    assert one(spark, text.rich_turn("t", exact.sanitized), t="short turn") == "short turn"

@@ -56,7 +56,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
     """All hits, ordered along the first principal component."""
-    return ranking.fused_ranking(read_table(spark, d, "chunk_hits"), "query_id", ["doc_id", "chunk_idx"], "arm", "raw_score", ARMS)
+    fused = ranking.fused_ranking(read_table(spark, d, "chunk_hits"), "query_id", ["doc_id", "chunk_idx"], "arm", "raw_score", ARMS)
+    return fused.select("query_id", "doc_id", "chunk_idx", *[F.round(f"f_{a}", 9).alias(f"f_{a}") for a in ARMS], F.round("fused", 4).alias("fused"))
+
+
+def p3_loadings(spark: SparkSession, d: str) -> DataFrame:
+    """The first principal component of the arms' rank-transformed scores."""
+    wide = ranking.wide_footing(read_table(spark, d, "chunk_hits"), "query_id", ["doc_id", "chunk_idx"], "arm", "raw_score", ARMS)
+    loadings, _ = ranking.first_component(wide, [f"f_{a}" for a in ARMS], [1] * len(ARMS))
+    return spark.createDataFrame([(a, round(float(x), 4)) for a, x in zip(ARMS, loadings)], "arm string, loading double")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +124,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (p1_found, p1_pieces, p1_ranges, p1_files, p2_found, p2_groups, p3_found, p3_ranking, p4_found, p4_groups, p5_found, p5_scores, p7_found, p7_leaks, p8_found, p8_report, p8_balance, p8_mix, p9_found)
+    names = (p1_found, p1_pieces, p1_ranges, p1_files, p2_found, p2_groups, p3_found, p3_ranking, p3_loadings, p4_found, p4_groups, p5_found, p5_scores, p7_found, p7_leaks, p8_found, p8_report, p8_balance, p8_mix, p9_found)
     return {f.__name__: f for f in names}
 
 
@@ -126,10 +134,39 @@ _TOKENS = f"regexp_extract_all(lower(text), '{TOKEN_PATTERN_SQL}')"
 _RUNS_SQL = f"""t as (select doc_id, {_TOKENS} as t from documents where text is not null),
             s as (select distinct doc_id, array_to_string(t[i:i + 4], ' ') as s from t, unnest(range(1, len(t) - 3)) as u(i)),
             n as (select doc_id, count(*) as n from s group by doc_id)"""
+# Hits with the rank-transformed scores of the arms, and the first eigenvector of their correlation matrix by
+# squaring it again and again.
+_RANKED_SQL = """wide as (
+              select query_id, doc_id, chunk_idx, max(raw_score) filter (arm = 'lexical') as l,
+                max(raw_score) filter (arm = 'dense') as d, max(raw_score) filter (arm = 'usage') as u
+              from chunk_hits where query_id is not null group by all),
+            filled as (
+              select query_id, doc_id, chunk_idx, coalesce(l, min(l) over q, 0) as l, coalesce(d, min(d) over q, 0) as d, coalesce(u, min(u) over q, 0) as u
+              from wide window q as (partition by query_id)),
+            ranked as (
+              select *, (rank() over (partition by query_id order by l) + (count(*) over (partition by query_id, l) - 1) / 2 - 0.5) / count(*) over (partition by query_id) as rl,
+                (rank() over (partition by query_id order by d) + (count(*) over (partition by query_id, d) - 1) / 2 - 0.5) / count(*) over (partition by query_id) as rd,
+                (rank() over (partition by query_id order by u) + (count(*) over (partition by query_id, u) - 1) / 2 - 0.5) / count(*) over (partition by query_id) as ru
+              from filled)"""
+_LOADINGS_SQL = """power as (
+              select 0 as i, 1.0::double as a, corr(rl, rd) as b, corr(rl, ru) as c, 1.0::double as d, corr(rd, ru) as e, 1.0::double as f from ranked
+              union all
+              select i + 1, (a * a + b * b + c * c) / t, (a * b + b * d + c * e) / t, (a * c + b * e + c * f) / t, (b * b + d * d + e * e) / t, (b * c + d * e + e * f) / t, (c * c + e * e + f * f) / t
+              from (select *, a * a + d * d + f * f + 2 * (b * b + c * c + e * e) as t from power) where i < 24),
+            w as (select case when a >= d and a >= f then [a / sqrt(a), b / sqrt(a), c / sqrt(a)] when d >= f then [b / sqrt(d), d / sqrt(d), e / sqrt(d)] else [c / sqrt(f), e / sqrt(f), f / sqrt(f)] end as w from power where i = 24),
+            l as (select list_transform(w, lambda x: case when list_sum(w) < 0 then -x else x end) as v from w)"""
 # The canonical form of a text in SQL, and the full-width forms of ASCII.
 _CANON = r"regexp_replace(replace(lower(nfc_normalize({})), 'ß', 'ss'), '[^\p{{L}}\p{{N}}\p{{M}}]', '', 'g')"
 _ASCII = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
 _FULL_WIDTH = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
+_COPIES_SQL = rf"""t as (select distinct doc_id, capsule_text as x from capsules where doc_id is not null and capsule_text is not null),
+            w as (select doc_id, x, translate(x, '{_FULL_WIDTH}', '{_ASCII}') as y from t),
+            b as (select doc_id, y, regexp_replace(y, '^[\s\{{("”“]+|[\s\}})".;,”“]+$', '', 'g') as body from w),
+            s as (select doc_id, y, list_transform(['\n+', '\|', ';', ','], lambda p: list_filter(regexp_split_to_array(body, p), lambda v: {_CANON.format('v')} <> '')) as cuts from b),
+            f as (select doc_id, y, list_filter(cuts, lambda c: len(c) > 1 and len(list_filter(c, lambda v: not regexp_matches(v, '^[\s"*•#-]*[\p{{L}}\p{{N}}_-]+( [\p{{L}}\p{{N}}_-]+){{0,3}}"?\s*[:=]'))) = 0)[1] as parts from s),
+            k as (select doc_id, case when parts is null then 'prose ' || {_CANON.format('y')} else 'list ' || array_to_string(list_sort(list_distinct(list_transform(parts, lambda v:
+              {_CANON.format("regexp_extract(v, '^[^:=]*')")} || '=' || {_CANON.format("regexp_replace(v, '^[^:=]*', '')")}))), ' ') end as k from f),
+            g as (select doc_id, k, min(doc_id) over (partition by k) as keep from k)"""
 _MIX_SQL = f"""d as (select nullif(lower(trim(source)), '') as source, len(regexp_extract_all(coalesce(text, ''), '{TOKEN_PATTERN_SQL}')) as n from documents),
             s as (select source, sum(n) as n, count(*) as docs from d group by source),
             plan as (select mix_id, m.source, max_repeats, target_share * budget_ratio * (select sum(n) from d) as wanted, coalesce(n, 0)::bigint as available, coalesce(docs, 0) as docs
@@ -153,32 +190,23 @@ def _oracle_sql() -> dict[str, str]:
             select doc_id, 'split' as reason from c where n > size
             union all select doc_id, 'hard' from c where n > size and m > size""",
         "p2_found": rf"""
-            with t as (select distinct doc_id, capsule_text as x from capsules where doc_id is not null and capsule_text is not null),
-            w as (select doc_id, x, translate(x, '{_FULL_WIDTH}', '{_ASCII}') as y from t),
-            b as (select doc_id, y, regexp_replace(y, '^[\s\{{("”“]+|[\s\}})".;,”“]+$', '', 'g') as body from w),
-            s as (select doc_id, y, list_transform(['\n+', '\|', ';', ','], lambda p: list_filter(regexp_split_to_array(body, p), lambda v: {_CANON.format('v')} <> '')) as cuts from b),
-            f as (select doc_id, y, list_filter(cuts, lambda c: len(c) > 1 and len(list_filter(c, lambda v: not regexp_matches(v, '^[\s"*•#-]*[\p{{L}}\p{{N}}_-]+( [\p{{L}}\p{{N}}_-]+){{0,3}}"?\s*[:=]'))) = 0)[1] as parts from s),
-            k as (select doc_id, case when parts is null then 'prose ' || {_CANON.format('y')} else 'list ' || array_to_string(list_sort(list_distinct(list_transform(parts, lambda v:
-              {_CANON.format("regexp_extract(v, '^[^:=]*')")} || '=' || {_CANON.format("regexp_replace(v, '^[^:=]*', '')")}))), ' ') end as k from f),
-            g as (select doc_id, min(doc_id) over (partition by k) as keep from k)
+            with {_COPIES_SQL}
             select min(keep) as keep_id, doc_id as copy_id from g where keep <> doc_id group by doc_id""",
-        "p3_found": """
-            with wide as (
-              select query_id, doc_id, chunk_idx, max(raw_score) filter (arm = 'lexical') as l,
-                max(raw_score) filter (arm = 'dense') as d, max(raw_score) filter (arm = 'usage') as u
-              from chunk_hits where query_id is not null group by all),
-            filled as (
-              select query_id, doc_id, chunk_idx, coalesce(l, min(l) over q, 0) as l, coalesce(d, min(d) over q, 0) as d, coalesce(u, min(u) over q, 0) as u
-              from wide window q as (partition by query_id)),
-            ranked as (
-              select *, (rank() over (partition by query_id order by l) + (count(*) over (partition by query_id, l) - 1) / 2 - 0.5) / count(*) over (partition by query_id) as rl,
-                (rank() over (partition by query_id order by d) + (count(*) over (partition by query_id, d) - 1) / 2 - 0.5) / count(*) over (partition by query_id) as rd,
-                (rank() over (partition by query_id order by u) + (count(*) over (partition by query_id, u) - 1) / 2 - 0.5) / count(*) over (partition by query_id) as ru
-              from filled),
+        "p2_groups": rf"""
+            with {_COPIES_SQL}
+            select keep as keep_id, doc_id as copy_id, count(*) over (partition by k) as copies, starts_with(k, 'list') as is_list from (select distinct * from g)""",
+        "p3_found": f"""
+            with {_RANKED_SQL},
             scored as (select query_id, doc_id, chunk_idx, round(coalesce(dense_alpha, 1)::double * rl + (1 - coalesce(dense_alpha, 1)::double) / 2 * (rd + ru), 12) as s
               from ranked join search_params using (query_id))
             select query_id, doc_id, chunk_idx from scored
             qualify row_number() over (partition by query_id order by s desc, doc_id, chunk_idx) = 1""",
+        "p3_loadings": f"""
+            with recursive {_RANKED_SQL}, {_LOADINGS_SQL}
+            select unnest(['lexical', 'dense', 'usage']) as arm, round(unnest(v), 4) as loading from l""",
+        "p3_ranking": f"""
+            with recursive {_RANKED_SQL}, {_LOADINGS_SQL}
+            select query_id, doc_id, chunk_idx, round(rl, 9) as f_lexical, round(rd, 9) as f_dense, round(ru, 9) as f_usage, round(v[1] * rl + v[2] * rd + v[3] * ru, 4) as fused from ranked, l""",
         "p4_found": f"""
             with {_RUNS_SQL},
             p as (select a.doc_id as doc_a, b.doc_id as doc_b, count(*) as shared from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by all)

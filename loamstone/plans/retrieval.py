@@ -119,6 +119,16 @@ def chunks_overlap(spark, d):
     return chunking.chunk_documents_exact(docs, 64, 16)
 
 
+@query("""with w as (select doc_id, regexp_extract_all(text, '[A-Za-z]+') as w from documents where text is not null),
+c as (select doc_id, w, k - 1 as k, (k - 1) * 48 as a, least((k - 1) * 48 + 64, len(w)) as b from w, unnest(range(1, len(w) // 48 + 2)) as u(k) where (k - 1) * 48 < len(w) and (k = 1 or (k - 2) * 48 + 64 < len(w))),
+t as (select *, array_to_string(w[a + 1:b], ' ') as chunk_text, case when a = 0 then 0 else length(array_to_string(w[1:a], ' ')) + 1 end as s from c)
+select doc_id::varchar as doc_id, k as chunk_idx, chunk_text, s as char_start, s + length(chunk_text) as char_end, s as byte_start, s + length(chunk_text) as byte_end, b - a as token_count from t""")
+def chunks_overlap_words(spark, d):
+    """Overlapping chunks of the texts' plain words, which both engines take for words."""
+    plain = F.array_join(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), " ")
+    return chunking.chunk_documents_exact(documents(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), plain.alias("text")), 64, 16)
+
+
 @query(f"with {INDEX} select term, df from dfs")
 def term_stats(spark, d):
     return scoring.document_frequency(scoring.forward_index(chunks(spark, d)))

@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamstone import files
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder (a file or a folder of part files)."""
@@ -52,12 +54,26 @@ def remove_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(remove)
 
 
+_kept: list[tuple[SparkSession, str]] = []
+
+
+def release() -> int:
+    """Delete the tables written by :func:`materialise` so far; gives their number. For long sessions, once
+    the results made from them are written."""
+    n = len(_kept)
+    while _kept:
+        files.delete(*_kept.pop())
+    return n
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends at files that outlive
-    any executor, the planner knows the size, and later reads prune columns."""
+    any executor, the planner knows the size, and later reads prune columns. They go when the driver ends or
+    with :func:`release`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loamstone-{os.getpid()}-{uuid.uuid4().hex}"
     remove_at_exit(spark, path)
+    _kept.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,4 +1,5 @@
 import hashlib
+import os
 from datetime import datetime
 
 import pytest
@@ -115,3 +116,13 @@ def test_target_drops_partitions_whose_rows_are_all_filtered(spark, tmp_path):
     never = PartitionedTarget(str(tmp_path / "n"), "id", 8)
     never.run(off.filter("id < 15"), active)
     assert never.read(spark).count() == 0
+
+
+def test_materialised_tables_can_be_released(spark):
+    from loamstone import session
+
+    session.release()
+    df = session.materialise(spark.range(5))
+    path = df.inputFiles()[0]
+    assert df.count() == 5 and session.release() == 1 and session.release() == 0
+    assert not os.path.exists(path.replace("file://", ""))

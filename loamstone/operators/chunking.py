@@ -45,6 +45,17 @@ def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
     return cut.withColumn("chunk_idx", F.col("chunk_idx").cast("bigint")).withColumn("token_count", word_count("chunk_text"))
 
 
+#: A text from its first word to its last.
+WHOLE = f"(?s){CHUNK_WORD}(?:.*{CHUNK_WORD})?"
+
+
+def one_chunk_documents(docs: DataFrame) -> DataFrame:
+    """:func:`chunk_documents` with one chunk a text, from its first word to its last, however long."""
+    whole = docs.withColumn("chunk_text", F.regexp_extract("text", WHOLE, 0)).filter("chunk_text <> ''")
+    rest = [c for c in docs.columns if c != "text"]
+    return whole.select(*rest, F.lit(0).cast("bigint").alias("chunk_idx"), "chunk_text", word_count("chunk_text").alias("token_count"))
+
+
 def words(text: str) -> list[tuple[int, int]]:
     """Spans of words by the Unicode word-boundary rules: parts between boundaries with a letter, a
     digit or an underscore in them."""

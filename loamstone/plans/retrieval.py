@@ -95,10 +95,10 @@ def chunks_64(spark, d):
     return chunks(spark, d)
 
 
-@query(f"""select doc_id, 0 as chunk_idx, c[1] as chunk_text, len(regexp_extract_all(c[1], '{CHUNK_WORD.replace(chr(39), chr(39) * 2)}')) as token_count
-from (select doc_id, regexp_extract_all(text, '{chunking.chunk_pattern(96).replace("'", "''")}') as c from documents where text is not null) where len(c) > 0""")
-def first_chunks_96(spark, d):
-    return chunks(spark, d, 96).filter("chunk_idx = 0")
+@query(f"""with c as (select doc_id, regexp_extract(text, '{chunking.WHOLE.replace(chr(39), chr(39) * 2)}') as c from documents where text is not null)
+select doc_id, 0 as chunk_idx, c as chunk_text, len(regexp_extract_all(c, '{CHUNK_WORD.replace(chr(39), chr(39) * 2)}')) as token_count from c where c <> ''""")
+def one_chunk_documents(spark, d):
+    return chunking.one_chunk_documents(documents(spark, d).select("doc_id", "text"))
 
 
 @query(f"""with c as (select doc_id, regexp_extract_all(text, '{chunking.chunk_pattern(96).replace("'", "''")}') as c from documents where text is not null)

@@ -24,4 +24,4 @@ def test_registered_core_queries_need_no_training_data_package():
 
 def test_chunks_of_96_cover_whole_texts(spark, data):
     longest = QUERIES["chunks_96"](spark, data).groupBy("doc_id").count().agg({"count": "max"}).first()[0]
-    assert longest > 1 and QUERIES["chunks_96"](spark, data).filter("chunk_idx = 0").count() == QUERIES["first_chunks_96"](spark, data).count()
+    assert longest > 1 and QUERIES["chunks_96"](spark, data).filter("chunk_idx = 0").count() == QUERIES["one_chunk_documents"](spark, data).count()

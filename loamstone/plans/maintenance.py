@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamstone import limits
+from loamstone.functions import exact
 from loamstone.functions import text as texts
 from loamstone.functions.exact import fnv_hex, sanitized
 from loamstone.operators import consolidate, delta, incremental, memory
@@ -262,16 +263,41 @@ def short_turns(spark, d):
     return documents(spark, d).filter("kind = 'turn'").select("doc_id", texts.short_turn("text").alias("short"))
 
 
-@query()
-def rich_turns(spark, d):
-    return documents(spark, d).filter("kind = 'turn'").select("doc_id", texts.rich_turn("text", sanitized).alias("rich"))
+# The same masking for an engine without look-around: boundaries are captured, shapes are judged word by word.
+_CORE, _EDGE, _NO_WORD = r"[\p{L}\p{N}\-_.+/=]", r"[^ \n\p{L}\p{N}\-_.+/=]", r"[^ \n\p{L}\p{N}_]"
+_KEY = "(?i:" + "|".join(sorted(exact.SENSITIVE_KEYS, key=len, reverse=True)) + ")"
+_NAMED = rf"""(^|[ \n])(?:((?:{_NO_WORD}*_*(?:(?i:bearer)|{_KEY})_*{_NO_WORD}*|[^ =\n]*{_KEY}{_NO_WORD}*[=:]) (?:[ =:]* )?)(?:{_EDGE}*{_CORE}){{8}}[^ \n]*|([^ =\n]*{_KEY}[^\p{{L}}\p{{N}}_= \n-]*=)[^ \n]+|([^ :\n]*{_KEY}[^\p{{L}}\p{{N}}_: \n-]*:)[^ \n]+)"""
+_SHAPED = rf"""(regexp_matches(lower({_BARE}), '{texts.SECRET_PREFIX}') and length({_BARE}) >= 12 or regexp_matches({_BARE}, '^AKIA[A-Z0-9]{{16}}$') or regexp_matches({_BARE}, '^eyJ[^.]*\..*\.') and length({_BARE}) >= 24 or regexp_matches({_BARE}, '^[0-9A-Fa-f]{{40,}}$')
+  or regexp_matches({_BARE}, '^[A-Za-z0-9+/=_-]{{32,}}$') and regexp_matches({_BARE}, '[A-Z]')::int + regexp_matches({_BARE}, '[a-z]')::int + regexp_matches({_BARE}, '[0-9]')::int >= 2)"""
+_WS = r"\p{Z}\t\r\f\x0B"
 
 
-@query()
+def _clean_sql(source: str) -> str:
+    """Tables up to ``clean`` (id, t) for a query that gives (id, text)."""
+    return rf"""src as ({source}),
+one_space as (select id, regexp_replace(replace(chr(10) || text, chr(13) || chr(10), chr(10)), '[ \t]+', ' ', 'g') as t from src),
+no_keys as (select id, regexp_replace(t, '(\n) ?-----BEGIN[^\n]*KEY[^\n]*(?s:.*?)(?:\n ?-----END[^\n]*|\z)', '\1{exact.REDACTED} key block', 'g') as t from one_space),
+lines as (select id, i, x[i] as line, len(x) as last from (select id, string_split(t, chr(10)) as x from no_keys), unnest(range(1, len(x) + 1)) as u(i)),
+fences as (select *, regexp_matches(line, '^[{_WS}]*```') as fence, sum(regexp_matches(line, '^[{_WS}]*```')::int) over (partition by id order by i) as n from lines),
+placed as (select *, case when n % 2 = 1 and not fence then row_number() over (partition by id, n, fence order by i) else 0 end as pos from fences),
+cut as (select id, string_agg(case when pos = {exact.FENCE_LINES + 1} and not (line = '' and i = last) then '{exact.FENCE_TRUNCATED}' else line end, chr(10) order by i) as t from placed where pos <= {exact.FENCE_LINES + 1} group by id),
+masked as (select id, regexp_replace(regexp_replace(t, '\n[{_WS}\n]*\n', chr(10) || chr(10), 'g'), '{_NAMED}', '\1\2\3\4{exact.REDACTED}', 'g') as t from cut),
+shaped as (select id, array_to_string(list_transform(string_split(t, chr(10)), lambda l: array_to_string(list_transform(string_split(l, ' '), lambda w: case when {_SHAPED} then '{exact.REDACTED}' else w end), ' ')), chr(10)) as t from masked),
+clean as (select id, regexp_replace(t, '^[{_WS}\n]+|[{_WS}\n]+$', '', 'g') as t from shaped)"""
+
+
+@query(f"with {_clean_sql('select doc_id as id, text from documents where text is not null')} select id as doc_id, t as text from clean")
 def sanitized_texts(spark, d):
     return documents(spark, d).select("doc_id", sanitized("text").alias("text"))
 
 
+@query(f"""with whole as (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as w from documents where text is not null and kind = 'turn'),
+{_clean_sql('select doc_id as id, substr(w, 121) as text from whole')}
+select doc_id, case when t = '' then left(w, 120) else 'summary: ' || left(w, 120) || chr(10) || 'detail: ' || left(t, 800) end as rich from whole join clean on id = doc_id""")
+def rich_turns(spark, d):
+    return documents(spark, d).filter("kind = 'turn'").select("doc_id", texts.rich_turn("text", sanitized).alias("rich"))
+
+
 @query("select distinct source_id, split_part(source_id, '-', 1) as session from capsules where source_id is not null")
 def session_of(spark, d):
     return read_table(spark, d, "capsules").filter("source_id is not null").select("source_id", texts.session_of("source_id", "-").alias("session")).distinct()
@@ -309,7 +335,15 @@ def remember_dedup(spark, d):
     return out.select("doc_id", dup.alias("deduplicated"), F.when(dup, F.col("first")).alias("existing"))
 
 
-@query()
+@query(f"""with {_clean_sql("select distinct doc_id || '|' || sha256(capsule_text) as id, capsule_text as text from capsules where capsule_text is not null and doc_id is not null")},
+r as (select src.id, split_part(src.id, '|', 1) as request_id, t as c, sha256('content:v1:' || strlen(text) || ':' || text || '2:{{}}') as raw_hash, length(t) as n, length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]', '', 'g')) as a,
+  list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') as l from src join clean using (id)),
+g as (select *, n < 80 or a < 0.4 * n or (len(l) >= 3 and len(list_distinct(l)) = 1) as low from r),
+f as (select raw_hash, min(request_id) as first, 'mem-' || left(sha256(raw_hash || ':' || min(request_id)), 32) as new_id from g where not low group by raw_hash)
+select request_id, case when not low then new_id end as doc_id, case when not low then 'summary: ' || c || chr(10) || 'detail: ' || left(c, 800) end as capsule_text, g.raw_hash, not low and request_id <> first as deduplicated,
+  case when not low and request_id <> first then new_id end as existing_doc_id, false as forced,
+  case when not low then null when n < 80 then 'text too short (' || n || ' chars; minimum 80)' when a < 0.4 * n then '{texts.LOW_DENSITY}' else '{texts.REPEATED_LINES}' end as low_signal_reason
+from g left join f on f.raw_hash = g.raw_hash""")
 def remember_batch(spark, d):
     c = read_table(spark, d, "capsules").filter("capsule_text is not null")
     requests = c.select(F.col("doc_id").alias("request_id"), F.col("capsule_text").alias("text")).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamstone.plans import maintenance, retrieval  # noqa: F401  (they register their queries)
+from loamstone.plans import client, maintenance, retrieval  # noqa: F401  (they register their queries)
 from loamstone.plans.registry import QUERIES, SQL, Query
 
 

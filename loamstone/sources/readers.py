@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstone.errors import InvalidInput
+from loamstone.files import exists
 from loamstone.functions.text import date_head, file_extension, folder, rfc3339
 
 _JSONL = "_id string, text string"
@@ -107,24 +108,27 @@ def glob_pattern(glob: str) -> str:
 
 
 def read_folder(spark: SparkSession, root: str, include: tuple[str, ...] = ("**/*.md", "**/*.txt"), exclude: tuple[str, ...] = (), max_bytes: int = 10 << 20, max_files: int = 20_000) -> DataFrame:
-    """(doc_id, text, ext, dir, created_at, source, mtime, readable) of the text files below a folder.
+    """(doc_id, text, ext, dir, created_at, source, mtime, readable) of the text files below a folder, a path or
+    the address of one on any file system that Spark reads.
 
     ``doc_id`` is the path below ``root``. Files that are too large or not UTF-8 have no text and are not
     ``readable``; too many files are an error. Links that lead out of the folder are left out.
     """
-    real = os.path.realpath(root)
-    if not os.path.isdir(real):
+    root = root.removeprefix("file://")
+    local = "://" not in root
+    real = os.path.realpath(root) if local else root.rstrip("/")
+    if not (os.path.isdir(real) if local else exists(spark, real)):
         raise InvalidInput(f"{root} is not a folder")
     inside = real.rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{real}")
-    rel = F.substring_index(F.regexp_replace("path", "^file:/+", "/"), inside, -1)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{real}" if local else real)
+    rel = F.substring_index(F.regexp_replace("path", "^file:/+", "/") if local else F.col("path"), inside, -1)
     files = files.select(rel.alias("doc_id"), F.col("modificationTime").alias("mtime"), "length", "content")
     wanted = F.lit(False)
     for g in include:
         wanted = wanted | F.regexp_like("doc_id", F.lit(glob_pattern(g)))
     for g in exclude:
         wanted = wanted & ~F.regexp_like("doc_id", F.lit(glob_pattern(g)))
-    links = [os.path.relpath(os.path.join(d, n), real) for d, ds, ns in os.walk(real) for n in [*ds, *ns] if os.path.islink(os.path.join(d, n)) and not os.path.realpath(os.path.join(d, n)).startswith(inside)]
+    links = [] if not local else [os.path.relpath(os.path.join(d, n), real) for d, ds, ns in os.walk(real) for n in [*ds, *ns] if os.path.islink(os.path.join(d, n)) and not os.path.realpath(os.path.join(d, n)).startswith(inside)]
     for link in links:
         wanted = wanted & ~((F.col("doc_id") == link) | F.startswith("doc_id", F.lit(link + "/")))
     files = files.filter(wanted)

@@ -266,7 +266,9 @@ def test_sync_path(engine, tmp_path):
     assert preview["counts"]["new"] == 2 and preview["unreadable"] == ["bad.md"]
     assert c.sync_path(str(root), "fs", ("**/*.md",))["counts"]["indexed"] == 2
     assert c.fetch_doc("sub/b.md")["metadata"]["dir"] == "sub"
-    assert c.sync_path(str(root), "fs", ("**/*.md",))["counts"]["unchanged"] == 2
+    assert c.sync_path(f"file://{root}", "fs", ("**/*.md",))["counts"]["unchanged"] == 2
+    with pytest.raises(InvalidInput):
+        c.sync_path(str(root / "nowhere"), "fs")
     (root / "a.md").unlink()
     assert c.sync_path(str(root), "fs", ("**/*.md",), prune=True)["counts"]["deleted"] == 1
     engine.config.folders.max_files = 0

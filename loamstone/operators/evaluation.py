@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loamstone.functions.columns import col
 from loamstone.functions.text import answer_form, contains_answer, squad_form
+from loamstone.session import materialise
 
 PLACES = 6
 
@@ -184,13 +185,16 @@ def paired_bootstrap(pairs: DataFrame, resamples: int = 1000, seed: int = 17) ->
 
     Every row draws its own Poisson(1) weight for each resample from a hash of its id, which is how a
     bootstrap is distributed: no resample is ever gathered, only ``resamples`` sums."""
-    u = lambda b: (F.pmod(F.xxhash64(F.lit(seed), b, "id"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    spark = pairs.sparkSession
+    pairs = materialise(pairs.select("id", (F.col("b") - F.col("a")).alias("d")))  # read twice below
     cuts = [0.36787944117, 0.73575888234, 0.91969860292, 0.98101184312, 0.99634015317, 0.99940581518]
-    draws = pairs.select("id", (F.col("b") - F.col("a")).alias("d")).withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    weight = sum(((u(F.col("s")) > c).cast("int") for c in cuts), F.lit(0))
+    spread = pairs.repartition(spark.sparkContext.defaultParallelism, "id")  # few bytes, but ``resamples`` draws a row
+    draws = spread.withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    draws = draws.withColumn("u", (F.pmod(F.xxhash64(F.lit(seed), "s", "id"), F.lit(1 << 30)) + 0.5) / float(1 << 30))
+    weight = sum(((F.col("u") > c).cast("int") for c in cuts), F.lit(0))
     means = draws.withColumn("w", weight).groupBy("s").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("m"))
     bounds = means.agg(F.expr("percentile_disc(0.025) WITHIN GROUP (ORDER BY m)").alias("low"), F.expr("percentile_disc(0.975) WITHIN GROUP (ORDER BY m)").alias("high"))
-    mean = pairs.agg(F.avg(F.col("b") - F.col("a"))).first()[0]
+    mean = pairs.agg(F.avg("d")).first()[0]
     return bounds.select(F.round(F.lit(mean).cast("double"), PLACES).alias("mean_delta"), *[F.round(c, PLACES).alias(c) for c in ("low", "high")])
 
 

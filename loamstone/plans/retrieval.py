@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamstone import limits
 from loamstone.functions.columns import cosine_unit
 from loamstone.functions.text import CHUNK_WORD, INDEX_TOKEN, contains_answer, plain_query
 from loamstone.operators import chunking, evaluation, interleave, query_syntax, scoring, search
@@ -546,8 +547,11 @@ def category_means(spark, d):
 def bootstrap_ci(spark, d):
     """Recall of the blend against that of words alone, with its interval."""
     rel = judged(spark, d)
-    a = evaluation.ranking_metrics(bm25_doc_rank(spark, d), rel, 10).select(F.col("query_id").alias("id"), F.col("recall").alias("a"))
-    b = evaluation.ranking_metrics(search.documents_of(hybrid_alpha_03(spark, d)), rel, 10).select(F.col("query_id").alias("id"), F.col("recall").alias("b"))
+    pool = materialise(search.bm25_top(searches(spark, d), *index(spark, d), limits.fetch_limit(10, True)))  # both rank it
+    dv, qv = vectors(spark, d)
+    words = search.cut_and_rank(pool, 10, [F.col("rank")])
+    blend = search.cut_and_rank(search.blended(pool, 0.3, dv, qv), 10, [F.col("score").desc(), F.col("rank")])
+    a, b = (evaluation.ranking_metrics(search.documents_of(hits), rel, 10).select(F.col("query_id").alias("id"), F.col("recall").alias(name)) for hits, name in ((words, "a"), (blend, "b")))
     return evaluation.paired_bootstrap(a.join(b, "id"))
 
 

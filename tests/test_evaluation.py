@@ -54,6 +54,19 @@ def test_bootstrap_is_repeatable_and_brackets_the_mean(spark):
     assert one == two and one["low"] <= one["mean_delta"] <= one["high"]
 
 
+def test_bootstrap_evaluates_its_pairs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    p = spark.createDataFrame([(i, 0.2, 0.2 + (i % 3) * 0.1) for i in range(90)], "id int, a double, b double")
+    ev.paired_bootstrap(p.mapInArrow(count, p.schema), 50).collect()
+    assert seen.value == 90
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 10), (7, 7), (None, 1), *[(100, i) for i in range(101, 130)]]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a int, b int"), "a", "b").collect()}
